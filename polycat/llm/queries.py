@@ -31,6 +31,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, compiled(tokenizer_path(TOKENIZER)), limit=1024)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE 100 * i.n >= 85 * (x.n + y.n - i.n)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polycat.llm.fingerprints import exact_duplicates
 
@@ -71,8 +95,8 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {"op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
+    return {"op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL}
