@@ -51,12 +51,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``limit`` bytes each, or of one row."""
+def steps(offsets: np.ndarray, limit: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``limit`` bytes (or one row) and ``rows`` rows each."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + rows, n)
         yield at, to
         at = to
 
@@ -67,16 +67,21 @@ def sliced(data: np.ndarray, offsets: np.ndarray, at: int, to: int) -> tuple[np.
     return data[off[0] : off[-1]], off - off[0]
 
 
+#: Separators where punctuation shouldn't stick to words: every ASCII byte but letters and digits.
+MARKS = np.zeros(256, dtype=bool)
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
+
+
 class Words:
-    """The words (runs of bytes that aren't white space) of a slice of texts.
+    """The words (runs of bytes that aren't separators) of a slice of texts.
 
     ``starts`` and ``ends`` are byte positions, ``doc`` the row of each word,
     ``first`` the index of the first word of each row (one more than rows).
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE):
         self.rows = len(offsets) - 1
-        solid = ~SPACE[data]
+        solid = ~separators[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.empty_like(solid)

@@ -24,6 +24,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.langid import identify, train
+    from polycat.llm.shared import fold
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold("doc_id", 4) == 2
+    model = train(docs.where(~held_out))
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.shared import fold
+    from polycat.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 5) == 0
+    model = train(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    scored = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polycat.llm.tokens import compiled, token_counts
 
@@ -126,8 +147,8 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_token_counts": op10_token_counts}
+    return {"op1_language_id": op1_language_id, "op3_toxicity": op3_toxicity, "op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_language_id": op1_language_id, "op3_toxicity": op3_toxicity, "op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
