@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polycat.llm.arrays import LOWER, Words, mix, sliced, steps, text_bytes
+from polycat.llm.filters import passes, row_filter
 from polycat.llm.shared import Workspace
 
 
@@ -106,32 +107,13 @@ def _signed(width: int, bands: int, rows: int):
     return run
 
 
-#: Bits of the filter of rows whose sets are needed; 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
-
-
-def _row_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids' xxhash64; executors join its parts."""
-    h = F.xxhash64("id")
-    bits = ids.select(F.explode(F.array(h.bitwiseAND(FILTER_BITS - 1), F.shiftright(h, 30).bitwiseAND(FILTER_BITS - 1))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("set").to_numpy().view(np.uint64)
-    return out
-
-
 def _sets(width: int, sent):
     """The sets of those rows that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column(0).to_numpy()
-            words = sent.value
-            hit = np.ones(len(h), bool)
-            for bit in (h & (FILTER_BITS - 1), (h >> 30) & (FILTER_BITS - 1)):
-                hit &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
-            some = batch.filter(pa.array(hit))
+            some = batch.filter(pa.array(passes(sent.value, h)))
             data, offsets = text_bytes(some.column(1))
             for a, b in steps(offsets):
                 values, first = shingles(*sliced(data, offsets, a, b), width)
@@ -260,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
     buckets = work.save(spread.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "id", "n")
-    sent = spark.sparkContext.broadcast(_row_filter(wanted))  # FILTER_BITS bits
+    sent = spark.sparkContext.broadcast(row_filter(wanted))
     rescanned = source.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_sets(width, sent), "node binary, `set` array<bigint>")
     sets = work.save(rescanned.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     # Stars first.

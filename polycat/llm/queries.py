@@ -34,6 +34,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.importance import resample
+
+    labels = _table(spark, sf_dir, "labels")
+    share = labels.agg(F.avg("quality")).first()[0]
+    good = labels.where("quality = 1").select("doc_id")
+    return resample(_table(spark, sf_dir, "documents"), good, share=share if share is not None else 1.0)
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polycat.llm.shared import fold
     from polycat.llm.toxicity import score, train
@@ -147,8 +162,8 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op3_toxicity": op3_toxicity, "op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_token_counts": op10_token_counts}
+    return {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op3_toxicity": op3_toxicity, "op4_mix_sources": op4_mix_sources, "op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_language_id": op1_language_id, "op3_toxicity": op3_toxicity, "op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op3_toxicity": op3_toxicity, "op4_mix_sources": op4_mix_sources, "op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
