@@ -91,6 +91,14 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.leaks import find_leaks
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", F.inline("leaks"))
+    return found.select("doc_id", "item_id", "cosine", "share", "start")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polycat.llm.fingerprints import exact_duplicates
 
@@ -162,7 +170,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op3_toxicity": op3_toxicity, "op4_mix_sources": op4_mix_sources, "op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_token_counts": op10_token_counts}
+    return {"op1_language_id": op1_language_id, "op2_importance_resampling": op2_importance_resampling, "op3_toxicity": op3_toxicity, "op4_mix_sources": op4_mix_sources, "op5_minhash_dedup": op5_minhash_dedup, "op6_line_dedup": op6_line_dedup, "op7_decontaminate": op7_decontaminate, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
