@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from polycat.llm.arrays import LOWER, Words, mix, sliced, steps, text_bytes
 from polycat.llm.filters import passes, row_filter
@@ -101,8 +102,8 @@ def _signed(width: int, bands: int, rows: int):
                 keys = band_keys(minima(values, first, bands * rows), rows)
                 n = np.diff(first)
                 each = np.where(n > 0, bands, 0)
-                arrays = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(_digest(values, first), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*arrays, _lists(keys[n > 0].ravel(), np.concatenate([[0], np.cumsum(each)]))], names=["row", "id", "n", "node", "bands"])
+                arrays = [*(batch.column(k)[a:b] for k in (0, 1, 3)), pa.array(n), pa.array(_digest(values, first), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, _lists(keys[n > 0].ravel(), np.concatenate([[0], np.cumsum(each)]))], names=["row", "id", "text_key", "n", "node", "bands"])
 
     return run
 
@@ -212,7 +213,7 @@ def _joined(one: dict, two: dict, percent: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, bands: int = 32, rows: int = 6, with_text_key: bool = False) -> DataFrame:
     """The group of near duplicates that each row of ``docs`` belongs to.
 
     A document's set: the distinct sequences of ``width`` words (split at ASCII
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Returns the id, ``n_shingles``, ``component_id`` (the smallest id of the group)
     and ``kept``: one row of each group, that of the smallest id; where rows
-    repeat with one id, one of them.  A null or blank text has no shingles, is
+    repeat with one id, one of them; on request also ``text_key``, the text's xxhash64.  A null or blank text has no shingles, is
     linked with nothing and kept.  A null id comes after all others; a group
     without any other has a null ``component_id``.  Other columns of ``docs`` are
     not read.
@@ -233,8 +234,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     work = Workspace(spark, "near")
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    signed = work.save(numbered.mapInArrow(_signed(width, bands, rows), f"row bigint, id {kind}, n bigint, node binary, bands array<bigint>"), "signed")
+    numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    signed = work.save(numbered.mapInArrow(_signed(width, bands, rows), f"row bigint, id {kind}, text_key bigint, n bigint, node binary, bands array<bigint>"), "signed")
     # Classes of equal sets, and the buckets of two or more of them.
     classes = signed.where("node is not null").select("node", "bands", "id", "n").dropDuplicates(["node"])
     classes = work.save(classes, "classes")
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     last = components(links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), work, "last")
     labels = star.unionByName(last.join(star.select("node"), "node", "left_anti").select("node", F.col("node").alias("label")))
     labels = labels.join(last.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    placed = signed.select("row", "id", "n", "node").join(labels, "node", "left").select("row", "id", "n", F.coalesce("label", "node").alias("label"))
+    placed = signed.select("row", "id", "text_key", "n", "node").join(labels, "node", "left").select("row", "id", "text_key", "n", F.coalesce("label", "node").alias("label"))
     placed = work.save(placed, "placed")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     groups = placed.where("label is not null").groupBy("label").agg(best)
@@ -272,9 +273,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         F.col("n").alias("n_shingles"),
         F.when(own, F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
         (own | (F.col("row") == F.col("best.row"))).alias("kept"),
+        *([F.col("text_key")] if with_text_key else []),
     )
 
 
+def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all columns.
+
+    Verdicts are found again by id and text; of rows in which both repeat as many
+    stay as were kept.
+    """
+    found = near_duplicates(docs.select(doc_id, text), doc_id=doc_id, text=text, with_text_key=True, **limits)
+    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
+    kept = found.where("kept").select(key.alias("_id"), F.col("text_key").alias("_key")).groupBy("_id", "_key").agg(F.count("*").alias("_copies"))
+    own = docs.withColumn("_id", key).withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = own.join(kept, ["_id", "_key"])
+    number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
+    return joined.withColumn("_number", number).where("_number <= _copies").select(*(f"`{c}`" for c in docs.columns))
+
+
 def _across(placed: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Links between different parts of a bucket: members in blocks, each block with each that may have links to it.
 
