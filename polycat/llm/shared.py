@@ -2,61 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[int, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
-
-    Only a local session without that setting gets a temporary folder; on a
-    cluster a missing setting is an error, since a machine's own folder isn't
-    seen by the others.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    key = id(spark.sparkContext)
-    if key not in _own:
-        kept = tempfile.TemporaryDirectory(prefix="polycat-")
-        atexit.register(kept.cleanup)
-        _own[key] = f"file://{kept.name}"
-    return _own[key]
-
-
-class Workspace:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/polycat/{name}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` written as Parquet and read again, with its lineage cut."""
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
+from polycat.storage import Workspace, shared_dir
 
-def same(left: DataFrame, right: DataFrame, *names: str):
-    """Equality of the named columns in which null equals null."""
-    on = F.lit(True)
-    for name in names:
-        on = on & left[name].eqNullSafe(right[name])
-    return on
+__all__ = ["Workspace", "fold", "partitions", "shared_dir"]
 
 
 def fold(doc_id: str, parts: int):
