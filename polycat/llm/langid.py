@@ -53,7 +53,7 @@ def codewords(languages: int) -> np.ndarray:
     """A codeword of +-1 for each language: all splits for up to 5 languages, else 10 log2(n) bits, the best of some random draws."""
     if languages <= 5:
         splits = range(1, 1 << max(0, languages - 1))
-        return np.array([[1 if k == 0 or not s >> (k - 1) & 1 else -1 for s in splits] for k in range(languages)], np.int8).reshape(languages, -1)
+        return np.array([[1 if k == 0 or not s >> (k - 1) & 1 else -1 for s in splits] for k in range(languages)], np.int8).reshape(languages, len(splits))
     draw, best, least = np.random.default_rng(5), None, -1
     for _ in range(200):
         code = draw.choice(np.array([-1, 1], np.int8), (languages, math.ceil(10 * math.log2(languages))))
@@ -104,7 +104,7 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list, *, rounds: int = 300
         w, b, t = new_w, new_b, after
     right = (weight * ((x @ w + b) * y > 0)).sum(0) if len(y) else np.ones(code.shape[1])
     trust = np.maximum(2 * right - 1, 0.05)
-    return Model(languages, code, w, b, (trust / max(float(trust.max()), 1e-9)).astype(np.float32))
+    return Model(languages, code, w, b, (trust / max(float(trust.max(initial=0.0)), 1e-9)).astype(np.float32))
 
 
 def train(docs: DataFrame, *, language: str = "lang", text: str = "text", key: str = "doc_id", sample: int = 2000, dims: int = 4096, most: int = 500) -> Model:
@@ -132,7 +132,11 @@ def train(docs: DataFrame, *, language: str = "lang", text: str = "text", key: s
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "h", "x"])
 
     got = drawn.mapInArrow(run, "lang string, h bigint, x binary").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+    packed = got.column("x").combine_chunks()
+    packed = packed if isinstance(packed, pa.Array) else packed.chunk(0)
+    _, offsets, raw = packed.buffers()
+    first, last = (np.frombuffer(offsets, np.int32)[packed.offset + k] for k in (0, len(packed))) if len(packed) else (0, 0)
+    x = np.frombuffer(raw, np.uint8)[first:last].view(np.float16).reshape(-1, dims).astype(np.float32) if len(packed) else np.zeros((0, dims), np.float32)
     at = {name: k for k, name in enumerate(languages)}
     return fit(x, np.array([at[name] for name in got.column("lang").to_pylist()], np.int64), languages)
 
