@@ -27,10 +27,14 @@ def common_divisor(weights: Column) -> Column:
     return F.when(F.exists(weights, lambda x: x == 1), F.lit(1).cast("bigint")).otherwise(F.aggregate(weights, F.lit(0).cast("bigint"), lambda a, x: F.when(a == 1, a).otherwise(pair(x, a))))
 
 
+def _each_with(weights: Column, value: Column, f) -> Column:
+    """f(weight, value) of each weight; the value is computed once, not in a lambda for each."""
+    return F.zip_with(weights, F.array_repeat(value, F.size(weights)), f)
+
+
 def reduced(weights: Column) -> Column:
     """The weights over their greatest common divisor."""
-    g = common_divisor(weights)
-    return F.transform(weights, lambda x: F.floor(x / g).cast("bigint"))
+    return _each_with(weights, common_divisor(weights), lambda x, g: F.call_function("div", x, g).cast("bigint"))
 
 
 def canonical(weights: Column) -> Column:
@@ -59,7 +63,8 @@ def multiplicities(weights: Column) -> Column:
 
 def gorenstein(weights: Column) -> Column:
     """Whether every weight divides the degree."""
-    return F.forall(weights, lambda x: (x > 0) & (total(weights) % F.when(x != 0, x) == 0))
+    divides = _each_with(weights, total(weights), lambda x, d: (x > 0) & (d % F.when(x != 0, x) == 0))
+    return F.forall(divides, lambda x: x)
 
 
 def may_be_interior(weights: Column) -> Column:

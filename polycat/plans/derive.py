@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from polycat.functions.weights import reduced, total
 from polycat.schema import METADATA, WEIGHTS
+from polycat.sources.files import spread
 
 #: Moduli of the six weights: 46 systems up to order, 2 of them without an interior origin.
 FEW = (2, 3, 4, 5, 7, 5)
@@ -30,7 +31,8 @@ def weights_sql(key: str, moduli: tuple = MANY) -> str:
 
 def weight_rows(df: DataFrame, key: Column, moduli: tuple = MANY) -> DataFrame:
     """Resolved weight rows of a table: its key is the source index; metadata is 0."""
-    w = df.select(key.cast("bigint").alias("source_index"), weights_of(key, moduli).alias("w"))
+    keys = spread(df.select(key.cast("bigint").alias("source_index")))
+    w = keys.select("source_index", weights_of(F.col("source_index"), moduli).alias("w"))
     return w.select(
         "source_index",
         F.lit(1).alias("nw"),

@@ -11,6 +11,7 @@ from polycat.operators import catalogue as K
 from polycat.operators import classify, enrich, generate, sampling
 from polycat.plans.derive import FEW, MANY, weight_rows, weights_of, weights_sql
 from polycat.schema import WEIGHTS, profile_of_structure
+from polycat.sources.files import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -49,12 +50,14 @@ FIRST = ", ".join(f"arg_min(ws[{k + 1}], key)::INTEGER AS weight{k}" for k in ra
 
 
 def _part_weights(spark: SparkSession, sf_dir: str, moduli: tuple = MANY) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), weights_of(F.col("p_partkey"), moduli).alias("ws"))
+    keys = spread(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")))
+    return keys.select("key", weights_of(F.col("key"), moduli).alias("ws"))
 
 
 def _line_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.expr(f"cast({LINE_KEY} as bigint)")
-    df = _table(spark, sf_dir, "lineitem").select(key.alias("source_index"), (F.col("l_orderkey") % 8).alias("shard"), weights_of(key, MANY).alias("ws"))
+    keys = spread(_table(spark, sf_dir, "lineitem").select(key.alias("source_index"), (F.col("l_orderkey") % 8).alias("shard")))
+    df = keys.select("source_index", "shard", weights_of(F.col("source_index"), MANY).alias("ws"))
     return df.select("source_index", "shard", W.shown(F.array_sort("ws")).alias("key"), *(F.get("ws", F.lit(k)).cast("int").alias(c) for k, c in enumerate(WEIGHTS)))
 
 

@@ -55,6 +55,16 @@ def first_rows(spark: SparkSession, folder: str, n: int) -> DataFrame:
     return read_weights(spark, folder, start=0, end=0, max_rows=n)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its scan has fewer partitions than there are.
+
+    A file of one row group is read by one task, and all expressions on its rows
+    would run there too.  Tables of many files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def by_position(df: DataFrame, positions: DataFrame, *, file: str = "file_name", row: str = "row_index") -> DataFrame:
     """Only the rows at the given places; heavy columns are read for these alone."""
     placed = df.withColumn("file_name", F.col("_metadata.file_name")).withColumn("row_index", F.col("_metadata.row_index"))
