@@ -28,8 +28,6 @@ from polycat.llm.shared import Workspace
 
 #: Rows of the plan up to which it is broadcast: one for each source and phase.
 MOST_SPANS = 20_000
-#: Groups that a source's documents are dealt into, so that none is numbered in one task.
-GROUPS = 4096
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -98,7 +96,8 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     ``weights``: source to target weight.  Sources without one get the weight that
     ``alpha`` gives them, (rows)^alpha, scaled so that a source with a weight of 1
     has that of a mean one; without ``weights`` all sources do.  A null source is a
-    source.  Each source's documents come in the order of a hash of their key, in
+    source.  Each source's documents come in the order of a hash of their key (its
+    first 12 bits deal them into groups that are numbered by themselves), in
     blocks of ``block`` (the last may be shorter).  ``mix_slot`` is the block's slot,
     ``mix_offset`` the place in the block, ``mix_position`` the place in the mixture,
     from 0 without gaps.  While a source lasts, the blocks placed of it differ at
@@ -111,13 +110,14 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     work = Workspace(spark, "mix")
     docs = docs.drop("mix_slot", "mix_offset", "mix_position")
     shown = docs.columns
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    rows = docs.withColumn("_h", h).withColumn("_g", F.pmod(F.col("_h"), F.lit(GROUPS)).cast("int")).withColumn("_s", F.to_json(F.struct(F.col(source).cast("string").alias("s"))))
+    h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    rows = docs.withColumn("_h", h).withColumn("_g", F.substring("_h", 1, 3)).withColumn("_s", F.to_json(F.struct(F.col(source).cast("string").alias("s"))))
     counts = work.save(rows.groupBy("_s", "_g").agg(F.count("*").alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_s", "_g", F.coalesce(before, F.lit(0)).alias("_before"))
     sizes = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     given = {_shown(s): float(w) for s, w in (weights or {}).items()}
+    sizes = dict(sorted(sizes.items()))
     mean = sum(n**alpha for n in sizes.values()) / max(1, len(sizes))
     target = {s: given.get(s, n**alpha / mean) for s, n in sizes.items()}
     plan = phases({s: -(-n // block) for s, n in sizes.items()}, target, period)
