@@ -193,6 +193,7 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         digests = digests.join(level, [*KEY, "sha"], "left").fillna(0, ["level"])
         key.append("level")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    groups = digests.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best"))
+    # Written first, so that the join is one of two shuffles, of which Spark can split a hot group's.
+    groups = work.save(digests.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best")), "best")
     found = digests.join(groups, key)
     return found.select(F.col("id").alias(doc_id), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))
