@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from polycat.functions.weights import canonical
 from polycat.operators.classify import classify
 from polycat.schema import REFLEXIVE_ONLY, WEIGHTS
+from polycat.storage import Workspace
+
+__all__ = ["REFLEXIVE_ONLY", "Workspace", "accounting", "catalogue", "classified", "count_first", "key_halves", "merge", "resume", "strict_union"]
 
 
 def count_first(df: DataFrame, key: list[str], payload: list[str], *, index: str = "source_index", count: Column | None = None) -> DataFrame:

@@ -33,14 +33,14 @@ def file_range(files: list[str], start: int = 0, end: int | None = None) -> list
     return files[start : len(files) if end is None else min(end, len(files) - 1) + 1]
 
 
-def read_weights(spark: SparkSession, folder: str, *, start: int = 0, end: int | None = None, max_rows: int | None = None) -> DataFrame:
-    """Weight rows of a range of a folder's files, resolved, at most ``max_rows`` of each file.
+def read_weights(spark: SparkSession, folder: str, *, start: int = 0, end: int | None = None, max_rows: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """Weight rows of a range of a folder's files (of those, ``only`` some names), resolved, at most ``max_rows`` of each file.
 
     ``source_index`` is the input's, or the file's place in the folder and the row's
     in the file: unique over all files, whatever range is read.
     """
     files = list_files(spark, folder)
-    chosen = file_range(files, start, end)
+    chosen = [f for f in file_range(files, start, end) if only is None or f.rsplit("/", 1)[-1] in set(only)]
     df = spark.read.parquet(*chosen)
     names = F.array(*(F.lit(f.rsplit("/", 1)[-1]) for f in files))
     place = F.array_position(names, F.col("_metadata.file_name")) - 1
