@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     star = components(links, work, "star")
     # Then buckets in which parts are still apart, in blocks.
     placed = buckets.join(star, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    apart = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    # Tables that are joined back to what they were counted from are written first: Spark can then split hot keys.
+    apart = work.save(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "buckets-apart")
     placed = work.save(placed.join(apart, "bucket"), "apart")
     links = _across(placed, sets, work, percent)
     links = links.join(star.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(star.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -265,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     placed = signed.select("row", "id", "text_key", "n", "node").join(labels, "node", "left").select("row", "id", "text_key", "n", F.coalesce("label", "node").alias("label"))
     placed = work.save(placed, "placed")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    groups = placed.where("label is not null").groupBy("label").agg(best)
+    groups = work.save(placed.where("label is not null").groupBy("label").agg(best), "best")
     out = placed.join(groups, "label", "left")
     own = F.col("label").isNull()
     return out.select(
