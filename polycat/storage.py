@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[key]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Workspace:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation.
+
+    They stay until ``drop`` or ``release``: a result that an operator returns is
+    computed from them when it is used.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/polycat/{name}-{uuid.uuid4().hex}"
+        _made.append(self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again, with its lineage cut."""
@@ -45,6 +56,15 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.base}/{name}")
+
+
+def mark() -> int:
+    """How many workspaces there have been: what ``release`` counts from."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables of all workspaces made after a mark, once the results that read them are written elsewhere."""
+    while len(_made) > since:
+        _delete(spark, _made.pop())
