@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.llm import langid, leaks, lines, minhash, mixing
-from polycat.llm.shared import Workspace
+from polycat.storage import Workspace, mark, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +60,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over ``documents``."""
     work = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
+        made = mark()
         docs = work.save(stage(spark, docs, sf_dir), name)
+        release(spark, made)  # what the stage needed on its way
+        if before is not None:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
