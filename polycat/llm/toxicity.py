@@ -48,7 +48,7 @@ class Model:
         return out
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.01, epochs: int = 16, seen: int = 3) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.01, epochs: int = 6, seen: int = 3) -> Model:
     """FTRL-proximal over rows of distinct features, in the order given; features in fewer than ``seen`` rows are left out."""
     size = (1 << BITS) + 1  # the last is the bias, without a penalty
     z, n = np.zeros(size), np.zeros(size)
@@ -73,7 +73,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, alpha: float = 1.0, beta:
     return Model(some, w[some].astype(np.float32), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 8000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 20000) -> Model:
     """A model from about ``sample`` of the rows of ``docs`` that ``labels`` marks 0 or 1, drawn by a hash of the key.
 
     The sample is learned in the order of that hash in one task, which returns the
