@@ -63,3 +63,29 @@ def identical_members(df: DataFrame, group: list[str], blob: str, canonical: str
     """For each group: whether all blobs are the same, and whether all canonical values are."""
     out = df.groupBy(*group).agg(F.count("*").cast("bigint").alias("members"), F.min(blob).alias("_a"), F.max(blob).alias("_b"), F.min(canonical).alias("_c"), F.max(canonical).alias("_d"))
     return out.select(*group, "members", F.col("_a").eqNullSafe(F.col("_b")).alias("same_bytes"), F.col("_c").eqNullSafe(F.col("_d")).alias("same_points"))
+
+
+def pair_verdicts(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """For each group of tested pairs: how many of each verdict, and what follows for the group.
+
+    DISTINCT: all pairs are inequivalent.  DUPLICATES: some pair is equivalent.  OPEN:
+    neither, since some pair couldn't be decided.
+    """
+    of = lambda v: F.count_if(F.col("verdict") == v).cast("bigint")
+    out = pairs.groupBy(*group).agg(F.count("*").cast("bigint").alias("pairs"), of("EQUIVALENT").alias("equivalent"), of("INEQUIVALENT").alias("inequivalent"))
+    verdict = F.when(F.col("equivalent") > 0, "DUPLICATES").when(F.col("inequivalent") == F.col("pairs"), "DISTINCT").otherwise("OPEN")
+    return out.withColumn("verdict", verdict)
+
+
+def fibre_mass(df: DataFrame, count: str, stratum: str) -> DataFrame:
+    """Per stratum: polytopes, the rows behind them, the largest count, singletons, and the running total of rows."""
+    from pyspark.sql.window import Window
+
+    out = df.groupBy(stratum).agg(
+        F.count("*").cast("bigint").alias("fibres"),
+        F.sum(count).cast("bigint").alias("n_rows"),
+        F.max(count).cast("bigint").alias("largest"),
+        F.count_if(F.col(count) == 1).cast("bigint").alias("singletons"),
+    )
+    # A row for each stratum, so one task is enough.
+    return out.withColumn("rows_up_to", F.sum("n_rows").over(Window.orderBy(stratum)).cast("bigint"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polycat.kernel.canonical import LAYERS, isomorphism, layers, normal_form, normal_form_bytes
+from polycat.kernel.hodge import hodge_numbers
 from polycat.kernel.polytope import Polytope, hull, lattice_points
 
 
@@ -120,6 +121,39 @@ def fingerprints(df: DataFrame, *, nf: str = "nf", wanted: tuple = LAYERS) -> Da
     return df.mapInArrow(run, ", ".join([fields, *(f"{k} string" for k in wanted), "full_key string"]))
 
 
+HODGE = ("dual_point_count", "h11", "h12", "h13", "h22", "chi")
+
+
+def with_hodge(df: DataFrame, *, nf: str = "nf") -> DataFrame:
+    """``df`` with ``reflexive`` and, for reflexive polytopes, the dual's point count, the Hodge numbers and the Euler number.
+
+    Columns of these names are replaced; all but ``reflexive`` are null for other
+    polytopes, and all where ``nf`` is null.
+    """
+    source = df.drop("reflexive", *HODGE)
+    names = source.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags, rows = [], []
+            for flat in batch.column(names.index(nf)).to_pylist():
+                p = vertices_of(flat) if flat else None
+                flags.append(None if p is None else p.reflexive)
+                rows.append(hodge_numbers(p) if p is not None and p.reflexive else {})
+            new = [pa.array(flags, pa.bool_()), *(pa.array([r.get(k) for r in rows], pa.int64()) for k in HODGE)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "reflexive", *HODGE])
+
+    return source.mapInArrow(run, ", ".join([fields, "reflexive boolean", *(f"{k} bigint" for k in HODGE)]))
+
+
+def dump(line: str) -> str:
+    """A weight line ``degree w0 w1 ...`` as ``dim vertices entries...`` of its normal form, or ``FAIL``."""
+    numbers = [int(x) for x in line.split()]
+    got = exact_kernel([numbers[1:]], [numbers[0]]) if len(numbers) == 7 else None
+    return "FAIL" if got is None else " ".join(map(str, (5, got[0], *got[3])))
+
+
 def isomorphic_pairs(pairs: DataFrame, *, left: str = "nf_a", right: str = "nf_b", cap: int = 200_000) -> DataFrame:
     """``pairs`` with ``verdict``: EQUIVALENT, INEQUIVALENT, DEGENERATE or TOO_BIG."""
     names = pairs.columns

@@ -406,3 +406,31 @@ def gl_equiv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = C.collisions(_forms(spark, sf_dir, FEW), ["vertex_count", "facet_count", "point_count"])
     pairs = C.pairs_within(forms, ["vertex_count", "facet_count", "point_count"], "nf_key", ["nf"])
     return classify.isomorphic_pairs(pairs).select("nf_key_a", "nf_key_b", "verdict")
+
+
+@_query()
+def nf_hodge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duals' points and Hodge numbers of the distinct polytopes of part."""
+    return classify.with_hodge(_forms(spark, sf_dir, MANY)).drop("nf")
+
+
+@_query()
+def gl_equiv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pairwise tests say of each group of polytopes with as many vertices, facets and points."""
+    key = ["vertex_count", "facet_count", "point_count"]
+    pairs = C.pairs_within(C.collisions(_forms(spark, sf_dir, FEW), key), key, "nf_key", ["nf"])
+    return C.pair_verdicts(classify.isomorphic_pairs(pairs), key)
+
+
+@_query(
+    f"""
+WITH {LINE_W}, g AS (SELECT {SHOWN} AS k, min(list_sum(ws))::BIGINT % 10 AS stratum, count(*) AS n FROM w GROUP BY 1)
+SELECT stratum, count(*) AS fibres, sum(n)::BIGINT AS n_rows, max(n) AS largest, count(*) FILTER (WHERE n = 1) AS singletons,
+       (sum(sum(n)) OVER (ORDER BY stratum))::BIGINT AS rows_up_to FROM g GROUP BY stratum
+"""
+)
+def fibre_mass_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_weights(spark, sf_dir)
+    degree = sum((F.col(c) for c in WEIGHTS[1:]), F.col(WEIGHTS[0])).cast("bigint")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("count"), (F.min(degree) % 10).alias("stratum"))
+    return C.fibre_mass(sizes, "count", "stratum")

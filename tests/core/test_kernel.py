@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 
 from polycat.kernel import canonical as C
 from polycat.kernel import exact as E
+from polycat.kernel.hodge import dual, hodge_numbers, points_in
 from polycat.kernel.polytope import hull, kernel_coordinates, lattice_points
 
 # weights: points, vertices, facets, reflexive
@@ -138,3 +139,26 @@ def test_candidate_counts():
         some = [w for w in combinations_with_replacement(range(1, degree), 6) if sum(w) == degree and 2 * w[-1] <= degree and np.gcd.reduce(w) == 1]
         made_ = [p for p in map(made, some) if p is not None and p.interior]
         assert (len(some), len(made_), sum(p.reflexive for p in made_)) == counts
+
+
+@pytest.mark.parametrize("w, h", [((1, 1, 1, 1, 1, 1), (1, 0, 426, 1752, 2610)), ((1, 1, 1, 1, 8, 12), (2, 0, 3878, 15564, 23328)), ((45, 56, 60, 70, 84, 105), (34, 18, 24, 240, 288))])
+def test_hodge_numbers(w, h):
+    p = made(w)
+    got = hodge_numbers(p)
+    assert tuple(got[k] for k in ("h11", "h12", "h13", "h22", "chi")) == h
+    assert got["point_count"] == len(lattice_points([list(w)], [sum(w)]))
+    mirror = hodge_numbers(dual(p))
+    assert (mirror["h11"], mirror["h12"], mirror["h13"]) == (h[2], h[1], h[0])
+    with pytest.raises(ValueError):
+        dual(made((1, 1, 1, 1, 1, 2)))
+
+
+def test_points_of_a_hull():
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        p = hull(rng.integers(-2, 3, (9, 4)))
+        if p is None:
+            continue
+        box = np.array(list(np.ndindex(*[7] * 4))) - 3
+        inside = box[((box @ p.normals.T + p.distances) >= 0).all(1)]
+        assert sorted(map(tuple, points_in(p.vertices).tolist())) == sorted(map(tuple, inside.tolist()))

@@ -267,3 +267,20 @@ def test_kernels_and_deep_keys(spark):
     assert len({r.full_key for r in keyed}) == len(keyed)
     pairs = spark.createDataFrame([(list(keyed[0].nf), list(keyed[0].nf)), (list(keyed[0].nf), list(keyed[1].nf)), (list(keyed[0].nf), None)], "nf_a array<bigint>, nf_b array<bigint>")
     assert [r.verdict for r in classify.isomorphic_pairs(pairs).collect()] == ["EQUIVALENT", "INEQUIVALENT", None]
+
+
+def test_hodge_columns_and_dump(spark, systems):
+    rows = resolved(spark, [*systems, (1, 1, 1, 1, 1, 2)])
+    forms = catalogue.classified(rows, schema.WEIGHTS)
+    out = classify.with_hodge(forms.select("ok", "nf", "point_count", F.lit(5).alias("h11"))).collect()
+    assert {r.h11 for r in out if r.point_count == 462} == {1, 2}
+    assert all(r.reflexive is None and r.h11 is None for r in out if not r.ok)
+    assert [r.chi for r in out if r.point_count == 496] == [None]
+    assert classify.dump("6 1 1 1 1 1 1").startswith("5 6 ") and classify.dump("7 1 1 1 1 1 1") == "FAIL" == classify.dump("11 1 1 1 1 1 6")
+
+
+def test_group_verdicts_and_mass(spark):
+    pairs = spark.createDataFrame([(1, "INEQUIVALENT"), (1, "INEQUIVALENT"), (2, "EQUIVALENT"), (2, "TOO_BIG"), (3, "TOO_BIG"), (3, "INEQUIVALENT")], "g int, verdict string")
+    assert {r.g: r.verdict for r in cascade.pair_verdicts(pairs, ["g"]).collect()} == {1: "DISTINCT", 2: "DUPLICATES", 3: "OPEN"}
+    df = spark.createDataFrame([(5, 1), (5, 4), (7, 1)], "nv int, count long")
+    assert [tuple(r) for r in cascade.fibre_mass(df, "count", "nv").orderBy("nv").collect()] == [(5, 2, 5, 4, 1, 5), (7, 1, 1, 1, 1, 6)]
