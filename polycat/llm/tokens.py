@@ -144,6 +144,8 @@ class Merges:
 
     CAP = 1 << 17  # states in the table; rows that no state uses take no memory
     FEW = 24
+    #: Pieces of more bytes are read in lanes, each after some bytes to guess its first state from.
+    LONG, LANE, WARM = 4096, 512, 256
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         strings = sorted(vocabulary)  # tokens are numbered in this order here: those below a trie node are a range
@@ -257,18 +259,33 @@ class Merges:
             state, gain = self._advance(self.states[key >> 8], key & 255)
             self.to[key] = (self._state(state) << 9) + 256 + gain
 
-    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each piece ``data[start:end]``; all pieces advance together, a byte a step."""
-        lens = ends - starts
-        order = np.argsort(-lens, kind="stable")
-        begin, lens = starts[order], lens[order]
-        total = np.zeros(len(order), np.int64)
+    def _run(self, data: np.ndarray, begin: np.ndarray, lens: np.ndarray, states: list[tuple] | None = None, ends: bool = False) -> tuple[np.ndarray, list]:
+        """Changes of the count over segments of bytes, all advanced together, a byte a step.
+
+        ``states``: where each segment starts (default: nothing read).  With ``ends``
+        also the states at the ends.
+        """
         if self.CAP - len(self.states) < self.CAP // 4:
             self.reset()
-        state = np.full(len(order), self.first, np.int32)
+        if states is not None and len(set(states)) > self.CAP // 4:
+            half = len(begin) // 2
+            parts = [self._run(data, begin[k], lens[k], states[k], ends) for k in (slice(0, half), slice(half, None))]
+            return np.concatenate([p[0] for p in parts]), parts[0][1] + parts[1][1]
+        order = np.argsort(-lens, kind="stable")
+        begin, lens = begin[order], lens[order]
+        total = np.zeros(len(order), np.int64)
+        state = np.full(len(order), self.first, np.int32) if states is None else np.array([self._state(states[k]) for k in order.tolist()], np.int32)
+        last: list = [None] * len(order)
         ascending = lens[::-1]
-        for k in range(int(lens[0]) if len(lens) else 0):
-            m = len(lens) - int(np.searchsorted(ascending, k, "right"))
+        m = len(order)
+        for k in range(int(lens[0]) + 1 if len(lens) else 0):
+            left = len(lens) - int(np.searchsorted(ascending, k, "right"))
+            if ends:
+                for at in range(left, m):
+                    last[at] = self.states[state[at]]
+            m = left
+            if not m:
+                break
             key = (state[:m] << 8) | data[begin[:m] + k]
             to = self.to[key]
             if not to.all():
@@ -276,9 +293,6 @@ class Merges:
                 if len(self.states) + len(wanted) > self.CAP:
                     # Only states that are still in use survive; the result is the same.
                     live = {int(s): self.states[int(s)] for s in np.unique(state[:m])}
-                    if len(live) + len(wanted) + 1 > self.CAP:
-                        half = len(starts) // 2
-                        return np.concatenate([self.counts(data, starts[:half], ends[:half]), self.counts(data, starts[half:], ends[half:])])
                     self.reset()
                     renamed = np.zeros(max(live) + 1, np.int32)
                     for s, what in live.items():
@@ -286,14 +300,67 @@ class Merges:
                     state[:m] = renamed[state[:m]]
                     key = (state[:m] << 8) | data[begin[:m] + k]
                     wanted = np.unique(key)
+                    if len(self.states) + len(wanted) > self.CAP:
+                        raise MemoryError("more states at a time than the table has; use smaller steps")
                 self._fill(wanted)
                 to = self.to[key]
             total[:m] += (to & 511) - 256
             state[:m] = to >> 9
         out = np.empty_like(total)
         out[order] = total
+        if ends:
+            back: list = [None] * len(order)
+            for at, k in enumerate(order.tolist()):
+                back[k] = last[at]
+            last = back
+        return out, last
+
+    def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each piece ``data[start:end]``."""
+        lens = ends - starts
+        out = np.zeros(len(starts), np.int64)
+        short = lens <= self.LONG
+        # So few pieces at a time that their states fit the table.
+        some = np.flatnonzero(short)
+        for lo in range(0, len(some), self.CAP // 3):
+            part = some[lo : lo + self.CAP // 3]
+            out[part] = self._run(data, starts[part], lens[part])[0]
+        for k in np.flatnonzero(~short).tolist():
+            out[k] = self._long(data, int(starts[k]), int(ends[k]))
         return out
 
+    def _long(self, data: np.ndarray, start: int, end: int) -> int:
+        """Tokens of one long piece, its lanes side by side.
+
+        A lane's first state is guessed from the bytes before it.  Going through the
+        lanes in order, a lane counts if the one before it ended in the state that
+        was guessed; else it is run again from the right one.  Lanes with the same
+        bytes and first state are run once.
+        """
+        total, state = 0, self.states[self.first]
+        known: dict[tuple, tuple] = {}
+        lanes = np.arange(start, end, self.LANE)
+        for lo in range(0, len(lanes), self.CAP // 4):
+            at = lanes[lo : lo + self.CAP // 4]
+            lens = np.minimum(self.LANE, end - at)
+            before = np.maximum(at - self.WARM, start)
+            guess = self._run(data, before, at - before, ends=True)[1]
+            guess[0] = state
+            gains, last = self._run(data, at, lens, guess, ends=True)
+            for k in range(len(at)):
+                if guess[k] == state:
+                    gain, state = int(gains[k]), last[k]
+                else:
+                    key = (data[at[k] : at[k] + lens[k]].tobytes(), state)
+                    if key not in known:
+                        if len(known) >= 1 << 12:
+                            known.clear()
+                        again, to = self._run(data, at[k : k + 1], lens[k : k + 1], [state], ends=True)
+                        known[key] = int(again[0]), to[0]
+                    gain, state = known[key]
+                total += gain
+        return total
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: character to byte.

@@ -60,6 +60,25 @@ def test_counts_dont_depend_on_the_size_of_the_table(tool, library):
         merges.reset()
 
 
+def test_long_pieces_are_read_in_lanes(tool, library):
+    r = random.Random(7)
+    letters = "".join(r.choice("abcdefghijklmnop") for _ in range(30000))
+    texts = [letters, "a" * 20001, "ab" * 9000, "=" * 9999, "the" * 4000 + "x" + "the" * 4000, "é" * 7000, letters[:4097], letters[:4096] + " " + letters[:5000]]
+    want = wanted(library, texts)
+    assert counted(tool, texts) == want
+    merges = tool.parts[1]
+    kept = merges.CAP, merges.LONG, merges.LANE, merges.WARM
+    try:
+        for merges.LONG, merges.LANE, merges.WARM in ((50, 7, 0), (100, 33, 5), (64, 64, 64)):
+            assert counted(tool, texts[1:]) == want[1:]
+        merges.CAP, merges.LONG, merges.LANE, merges.WARM = 2500, 1000, 50, 20
+        merges.reset()
+        assert counted(tool, texts) == want
+    finally:
+        merges.CAP, merges.LONG, merges.LANE, merges.WARM = kept
+        merges.reset()
+
+
 def test_pairs_follow_as_the_merges_say(tool):
     merges, r = tool.parts[1], random.Random(6)
     for _ in range(400):
