@@ -31,6 +31,7 @@ def sample_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(first.alias("ws"), F.when(found != "", found.cast("bigint")).otherwise(0).alias("point_count"))
 
 
+# Fixed value: how a block of a normal form begins in the text format.
 HEADER = re.compile(r"^\s*(\d+)\s+(\d+)\s+Normal form of vertices")
 
 
