@@ -200,25 +200,28 @@ def kept_text(value: str | None, n_lines: int, keep: bytes | None) -> str | None
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the texts that the bitmaps leave, all rows and columns; counts as ``_n_lines`` and ``_n_dropped``."""
-    marks = bitmaps.select(F.col(doc_id).alias("_id"), F.col("text_key").alias("_key"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    joined = docs.join(marks, docs[doc_id].eqNullSafe(marks["_id"]) & (_text_key(text) == marks["_key"])).drop("_id", "_key")
-    names = [c for c in joined.columns if c != "_keep"]
-    at = names.index(text)
+    """``docs`` with the texts that the bitmaps leave, all rows and columns; counts as ``_n_lines`` and ``_n_dropped``.
+
+    Columns of these two names are replaced.
+    """
+    docs = docs.drop("_n_lines", "_n_dropped")
+    others = [c for c in docs.columns if c != text]
+    marks = bitmaps.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"), "n_lines", "n_dropped", "keep")
+    # The table's own columns travel as one, so that no name of theirs meets one of these.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_kept"), F.col(text).alias("_text"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"), _text_key(text).alias("_key"))
+    joined = own.join(marks, ["_id", "_key"]).select("_kept", "_text", "n_lines", "n_dropped", "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in (*names, "_keep")}
-            keep = columns.pop("_keep")
+            rest, texts, lines, dropped, keep = batch.columns
             some = np.flatnonzero(~keep.is_null().to_numpy(zero_copy_only=False))
-            arrays = [columns[c] for c in names]
             if len(some):
-                take, values, new = pa.array(some), arrays[at], {}
-                for k, value, n, bits in zip(some.tolist(), values.take(take).to_pylist(), columns["_n_lines"].take(take).to_pylist(), keep.take(take).to_pylist(), strict=True):
-                    new[k] = kept_text(value, n, bits)
-                mask = np.zeros(len(values), bool)
+                each = zip(*(c.take(pa.array(some)).to_pylist() for c in (texts, lines, keep)), strict=True)
+                mask = np.zeros(len(texts), bool)
                 mask[some] = True
-                arrays[at] = pc.replace_with_mask(values, pa.array(mask), pa.array([new[k] for k in some.tolist()], values.type))
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([kept_text(*x) for x in each], texts.type))
+            yield pa.RecordBatch.from_arrays([rest, texts, lines, dropped], names=["_kept", "_text", "n_lines", "n_dropped"])
 
-    return joined.select(*(f"`{c}`" for c in names), "_keep").mapInArrow(run, ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names))
+    out = joined.mapInArrow(run, joined.drop("keep").schema)
+    columns = [F.col("_text").alias(c) if c == text else F.col(f"_kept.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))

@@ -287,10 +287,11 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     found = near_duplicates(docs.select(doc_id, text), doc_id=doc_id, text=text, with_text_key=True, **limits)
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
     kept = found.where("kept").select(key.alias("_id"), F.col("text_key").alias("_key")).groupBy("_id", "_key").agg(F.count("*").alias("_copies"))
-    own = docs.withColumn("_id", key).withColumn("_key", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    # The table's own columns travel as one, so that no name of theirs meets one of these.
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_kept"), key.alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
     joined = own.join(kept, ["_id", "_key"])
     number = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
-    return joined.withColumn("_number", number).where("_number <= _copies").select(*(f"`{c}`" for c in docs.columns))
+    return joined.withColumn("_number", number).where("_number <= _copies").select(*(F.col(f"_kept.`{c}`").alias(c) for c in docs.columns))
 
 
 def _across(placed: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:

@@ -111,7 +111,9 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     docs = docs.drop("mix_slot", "mix_offset", "mix_position")
     shown = docs.columns
     h = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    rows = docs.withColumn("_h", h).withColumn("_g", F.substring("_h", 1, 3)).withColumn("_s", F.to_json(F.struct(F.col(source).cast("string").alias("s"))))
+    named = F.to_json(F.struct(F.col(source).cast("string").alias("s")))
+    # The table's own columns travel as one, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in shown)).alias("_kept"), F.col(key).alias("_id"), h.alias("_h"), F.substring(h, 1, 3).alias("_g"), named.alias("_s"))
     counts = work.save(rows.groupBy("_s", "_g").agg(F.count("*").alias("n")), "counts")
     before = F.sum("n").over(Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_s", "_g", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -133,14 +135,14 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     if len(spans) <= MOST_SPANS:
         spans_df = F.broadcast(spans_df)
     # Each block's slot: a row for each block, by joins on what the weights alone give.
-    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_g").orderBy("_h", F.col(key))))
+    numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_g").orderBy("_h", "_id")))
     placed = numbered.join(offsets, ["_s", "_g"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
-    placed = placed.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("mix_offset", F.col("_rank") % block)
+    placed = placed.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_offset", F.col("_rank") % block)
     joined = placed.join(spans_df, "_s").where((F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")))
     at, each = F.col("_block") - F.col("_from"), F.size("_places")
     slot = F.col("_start") + F.floor(at / each) * F.col("_size") + F.element_at("_places", (at % each + 1).cast("int"))
-    joined = joined.withColumn("mix_slot", slot).withColumn("mix_position", slot * block + F.col("mix_offset") - F.col("_missing"))
-    return joined.select(*(f"`{c}`" for c in shown), "mix_slot", "mix_offset", "mix_position")
+    position = slot * block + F.col("_offset") - F.col("_missing")
+    return joined.select(*(F.col(f"_kept.`{c}`").alias(c) for c in shown), slot.alias("mix_slot"), F.col("_offset").alias("mix_offset"), position.alias("mix_position"))
 
 
 def _shown(value) -> str:

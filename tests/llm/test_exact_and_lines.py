@@ -10,7 +10,7 @@ import pytest
 from polycat.llm import fingerprints as fp
 from polycat.llm import lines as ln
 
-SCHEMA = "doc_id long, text string, row string, id string, keep string"
+SCHEMA = "doc_id long, text string, row string, _id string, keep string"
 
 
 def table(spark, rows):

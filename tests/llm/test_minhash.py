@@ -83,6 +83,17 @@ def test_groups(spark, percent, monkeypatch):
     assert m.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_dropping_keeps_all_columns(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, "a", 1), (2, text + " x", "b", 2), (3, "other words here", "c", 3), (3, "other words here", "d", 4), (4, None, "e", 5), (4, None, "f", 6), (None, "quite alone", "g", 7), (3, "a third text", "h", 8)]
+    docs = spark.createDataFrame(rows, "_id long, text string, _key string, _copies int")
+    out = minhash.drop_near_duplicates(docs, doc_id="_id")
+    assert out.columns == docs.columns
+    got = sorted(r._key for r in out.collect())
+    assert len(got) == 6 and {"a", "e", "f", "g", "h"} <= set(got) and len({"c", "d"} & set(got)) == 1
+    assert minhash.drop_near_duplicates(docs.where("false"), doc_id="_id").count() == 0
+
+
 def test_components_of_long_chains_and_stars(spark, tmp_path):
     r = random.Random(9)
     b = lambda k: bytes([k // 256, k % 256])

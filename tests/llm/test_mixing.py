@@ -58,9 +58,9 @@ def brute(rows, weights, block, period, alpha):
 @pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0}])
 def test_mixture(spark, weights):
     rows = [(k, "a") for k in range(300)] + [(k, "b") for k in range(300, 420)] + [(k, None) for k in range(420, 433)] + [(None, "b"), (7, "a"), (7, "a"), (500, "")]
-    docs = spark.createDataFrame([(d, s, "t", 1) for d, s in rows], "doc_id long, source string, text string, mix_slot int")
+    docs = spark.createDataFrame([(d, s, "t", 1, 2) for d, s in rows], "doc_id long, source string, _s string, mix_slot int, _id int")
     out = mixing.mix(docs, weights, block=8, period=40).collect()
-    assert out[0].asDict().keys() == {"doc_id", "source", "text", "mix_slot", "mix_offset", "mix_position"}
+    assert out[0].asDict().keys() == {"doc_id", "source", "_s", "_id", "mix_slot", "mix_offset", "mix_position"}
     assert sorted(map(str, ((r.doc_id, r.source) for r in out))) == sorted(map(str, rows))
     assert sorted(r.mix_position for r in out) == list(range(len(rows)))
     out.sort(key=lambda r: r.mix_position)
