@@ -13,10 +13,18 @@ def group_sizes(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").cast("bigint").alias("members"))
 
 
+def _joined(df: DataFrame, groups: DataFrame, key: list[str], how: str) -> DataFrame:
+    """A join on key columns in which nulls are equal, as they are when rows are grouped."""
+    named = groups.select(*(F.col(c).alias(f"_key{k}") for k, c in enumerate(key)), *(c for c in groups.columns if c not in key))
+    on = F.lit(True)
+    for k, c in enumerate(key):
+        on = on & df[c].eqNullSafe(named[f"_key{k}"])
+    return df.join(named, on, how).drop(*(f"_key{k}" for k in range(len(key))))
+
+
 def collisions(df: DataFrame, key: list[str]) -> DataFrame:
-    """The rows whose key some other row has too."""
-    shared = group_sizes(df, key).where("members > 1").select(*key)
-    return df.join(shared, key, "left_semi")
+    """The rows whose key some other row has too; nulls are equal."""
+    return _joined(df, group_sizes(df, key).where("members > 1").select(*key), key, "left_semi")
 
 
 def cascade(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
@@ -27,7 +35,7 @@ def cascade(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], Dat
     """
     left = expensive(collisions(df, free))
     shared = group_sizes(left, [*free, key]).where("members > 1")
-    return left.join(shared, [*free, key])
+    return _joined(left, shared, [*free, key], "inner")
 
 
 def cascade_report(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
@@ -56,7 +64,7 @@ def pairs_within(df: DataFrame, group: list[str], index: str, columns: list[str]
     """Unordered pairs of rows of a group, as ``_a`` and ``_b`` columns; for the small groups that a cascade leaves."""
     a = df.select(*group, *(F.col(c).alias(f"{c}_a") for c in [index, *columns]))
     b = df.select(*group, *(F.col(c).alias(f"{c}_b") for c in [index, *columns]))
-    return a.join(b, group).where(F.col(f"{index}_a") < F.col(f"{index}_b"))
+    return _joined(a, b, group, "inner").where(F.col(f"{index}_a") < F.col(f"{index}_b"))
 
 
 def identical_members(df: DataFrame, group: list[str], blob: str, canonical: str) -> DataFrame:

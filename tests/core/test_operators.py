@@ -151,12 +151,12 @@ def test_positional_merge(spark):
 
 def test_cascade(spark):
     r = random.Random(4)
-    rows = [(k, r.randrange(8), r.randrange(3), r.randrange(4)) for k in range(200)] + [(900, 99, 0, 0)]
+    rows = [(k, r.randrange(8), r.randrange(3), r.randrange(4)) for k in range(196)] + [(900, 99, 0, 0), (901, None, 1, 2), (902, None, 1, 2), (903, None, 1, None), (904, 5, None, 3)]
     df = spark.createDataFrame(rows, "row_id long, a int, b int, deep_value int")
     seen = []
     deep = lambda d: (seen.append(1), d.withColumn("deep", F.col("deep_value")))[1]
     (rep,) = cascade.cascade_report(df, ["a", "b"], deep, "deep").collect()
-    assert rep.distinct_keys == len({(a, b, d) for _, a, b, d in rows}) and rep.n_rows == 201
+    assert rep.distinct_keys == len({(a, b, d) for _, a, b, d in rows}) and rep.n_rows == 201 and rep.colliding == sum(sum(y[1:3] == x[1:3] for y in rows) > 1 for x in rows)
     left = cascade.cascade(df, ["a", "b"], deep, "deep").collect()
     same = lambda x: [y for y in rows if y[1:] == x[1:]]
     assert {(x.row_id, x.members) for x in left} == {(x[0], len(same(x))) for x in rows if len(same(x)) > 1}
