@@ -12,6 +12,8 @@ from polycat.operators import classify, enrich, generate, sampling
 from polycat.plans.derive import FEW, MANY, weight_rows, weights_of, weights_sql
 from polycat.schema import WEIGHTS, profile_of_structure
 from polycat.sources.files import spread
+from polycat.storage import Workspace
+from polycat.streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -436,3 +438,12 @@ def fibre_mass_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     degree = sum((F.col(c) for c in WEIGHTS[1:]), F.col(WEIGHTS[0])).cast("bigint")
     sizes = rows.groupBy("key").agg(F.count("*").alias("count"), (F.min(degree) % 10).alias("stratum"))
     return C.fibre_mass(sizes, "count", "stratum")
+
+
+@_query()
+def stream_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of part by a stream over files of its weight systems: the same rows as ``nf_catalogue``."""
+    work = Workspace(spark, "stream")
+    rows = work.save(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey")).select("source_index", *WEIGHTS).repartition(4), "in")
+    incremental.follow(spark, f"{work.base}/in", rows.schema, f"{work.base}/runs", f"{work.base}/state", files_per_batch=2).awaitTermination()
+    return _shown_catalogue(incremental.current(spark, f"{work.base}/runs"))
