@@ -5,12 +5,12 @@ of weight w releases its j-th block at slot floor((j - 1) / w) and must place it
 before slot ceil(j / w).  Earliest deadline first over the released blocks then
 keeps each source within less than one block of its share at every slot.
 
-Weights are rounded to multiples of 1/period, so the schedule repeats after
-``period`` slots, and its table (a row for each slot of one period) depends on the
-weights alone.  Where a source runs out, the others go on with their weights in
-proportion: a phase ends.  Documents are only sorted into blocks and given the
-slot of their block by joins with these tables; all of it is DataFrame
-operations.
+Weights are taken as exact fractions, so nothing adds up however long a phase is.
+(With ``period`` they are rounded to multiples of 1/period instead, and the schedule
+repeats after ``period`` slots.)  Where a source runs out, the others go on with
+their weights in proportion: a phase ends.  The driver makes the schedule, a
+number for each block.  Documents are only sorted into blocks and given the slot
+of their block by a join with it; all of it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -18,16 +18,21 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from array import array
 from bisect import bisect_left
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polycat.llm.shared import Workspace
 
-#: Rows of the plan up to which it is broadcast: one for each source and phase.
-MOST_SPANS = 20_000
+#: Blocks in a row of the schedule's table, and blocks up to which the table is broadcast.
+CHUNK = 1024
+MOST_BLOCKS = 1 << 21
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -90,7 +95,53 @@ def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source", key: str = "doc_id", block: int = 16, period: int = 1000, alpha: float = 0.5, seed: int = 0) -> DataFrame:
+def exact_slots(blocks: dict, weights: dict) -> dict:
+    """The slots of each source's blocks in order, by earliest deadline first with exact weights.
+
+    Sources without a positive weight come when all others ran out.
+    """
+    left = {s: n for s, n in blocks.items() if n > 0}
+    out: dict = {s: array("q") for s in left}
+    start = 0
+    while left:
+        order = sorted((s for s in left if weights[s] > 0), key=str) or sorted(left, key=str)
+        exact = [Fraction(weights[s]) if weights[s] > 0 else Fraction(1) for s in order]
+        unit = math.lcm(*(w.denominator for w in exact))
+        part = [int(w * unit) for w in exact]
+        total, done = sum(part), [0] * len(order)
+        slots, most = [out[s] for s in order], [left[s] for s in order]
+        coming = [(0, k) for k in range(len(order))]
+        ready: list = []
+        now = 0
+        while True:
+            while coming and coming[0][0] <= now:
+                k = heapq.heappop(coming)[1]
+                heapq.heappush(ready, (-(-(done[k] + 1) * total // part[k]), k))
+            deadline, k = heapq.heappop(ready)
+            if deadline <= now:
+                raise AssertionError("a block misses its deadline")
+            slots[k].append(start + now)
+            now += 1
+            done[k] += 1
+            if done[k] == most[k]:
+                break
+            heapq.heappush(coming, (done[k] * total // part[k], k))
+        start += now
+        left = {s: blocks[s] - len(out[s]) for s in left if len(out[s]) < blocks[s]}
+    return out
+
+
+def rounded_slots(blocks: dict, weights: dict, period: int) -> dict:
+    """The same with weights rounded to multiples of 1/period."""
+    out: dict = {s: [np.zeros(0, np.int64)] for s in blocks}
+    for p in phases(blocks, weights, period):
+        for s, n in p["placed"].items():
+            at, places = np.arange(n), np.array(p["places"][s], np.int64)
+            out[s].append(p["start"] + at // len(places) * p["size"] + places[at % len(places)])
+    return {s: np.concatenate(x) for s, x in out.items()}
+
+
+def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source", key: str = "doc_id", block: int = 16, period: int | None = None, alpha: float = 0.5, seed: int = 0) -> DataFrame:
     """``docs`` in the order of the mixture: all rows and columns, and ``mix_slot``, ``mix_offset`` and ``mix_position``.
 
     ``weights``: source to target weight.  Sources without one get the weight that
@@ -102,9 +153,9 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     ``mix_offset`` the place in the block, ``mix_position`` the place in the mixture,
     from 0 without gaps.  While a source lasts, the blocks placed of it differ at
     every slot by less than one from its share; once it ran out, the others keep
-    theirs in proportion.  Rows that repeat are each placed.  The tables that the
-    driver makes have a row for each source and slot of a period, whatever the
-    number of documents.
+    theirs in proportion.  With ``period`` that holds for weights rounded to multiples
+    of 1/period.  Rows that repeat are each placed.  The driver makes a number
+    for each block.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
@@ -122,26 +173,29 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     sizes = dict(sorted(sizes.items()))
     mean = sum(n**alpha for n in sizes.values()) / max(1, len(sizes))
     target = {s: given.get(s, n**alpha / mean) for s, n in sizes.items()}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, target, period)
-    short = {s: -n % block for s, n in sizes.items()}
-    spans, missing = [], 0
-    for p in plan:
-        for s, n in p["placed"].items():
-            if n:
-                spans.append({"_s": s, "_from": p["done"][s], "_to": p["done"][s] + n, "_size": p["size"], "_start": p["start"], "_missing": missing, "_places": p["places"][s]})
-        missing += sum(short[s] for s, n in p["placed"].items() if p["done"][s] + n == -(-sizes[s] // block))
-    kind = "array<struct<_s:string,_from:bigint,_to:bigint,_size:bigint,_start:bigint,_missing:bigint,_places:array<bigint>>>"
-    spans_df = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(spans)), kind)))
-    if len(spans) <= MOST_SPANS:
-        spans_df = F.broadcast(spans_df)
-    # Each block's slot: a row for each block, by joins on what the weights alone give.
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    slots = rounded_slots(blocks, target, period) if period else exact_slots(blocks, target)
+    # What is missing of the sources' last blocks, from the slots after them on.
+    last = sorted((x[-1], -sizes[s] % block) for s, x in slots.items())
+    gone, missing = np.array([x for x, _ in last], np.int64), np.cumsum([0, *(n for _, n in last)])
+    chunks: list[list] = [[], [], [], []]
+    for s, x in slots.items():
+        for c in range(0, len(x), CHUNK):
+            mine = np.array(x[c : c + CHUNK], np.int64)
+            for column, value in zip(chunks, (s, c // CHUNK, mine, mine * block - missing[np.searchsorted(gone, mine)]), strict=True):
+                column.append(value)
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    table = pa.table([pa.array(c, k) for c, k in zip(chunks, kinds, strict=True)], names=["_s", "_chunk", "_slots", "_starts"])
+    schedule_df = work.save(spark.createDataFrame(table), "schedule")
+    if sum(blocks.values()) <= MOST_BLOCKS:
+        schedule_df = F.broadcast(schedule_df)
+    # Each block's slot, from the row that has it.
     numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_g").orderBy("_h", "_id")))
     placed = numbered.join(offsets, ["_s", "_g"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
     placed = placed.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_offset", F.col("_rank") % block)
-    joined = placed.join(spans_df, "_s").where((F.col("_block") >= F.col("_from")) & (F.col("_block") < F.col("_to")))
-    at, each = F.col("_block") - F.col("_from"), F.size("_places")
-    slot = F.col("_start") + F.floor(at / each) * F.col("_size") + F.element_at("_places", (at % each + 1).cast("int"))
-    position = slot * block + F.col("_offset") - F.col("_missing")
+    joined = placed.withColumn("_chunk", F.floor(F.col("_block") / CHUNK)).join(schedule_df, ["_s", "_chunk"])
+    at = (F.col("_block") % CHUNK + 1).cast("int")
+    slot, position = F.element_at("_slots", at), F.element_at("_starts", at) + F.col("_offset")
     return joined.select(*(F.col(f"_kept.`{c}`").alias(c) for c in shown), slot.alias("mix_slot"), F.col("_offset").alias("mix_offset"), position.alias("mix_position"))
 
 

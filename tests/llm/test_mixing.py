@@ -71,3 +71,45 @@ def test_mixture(spark, weights):
     assert all(len({r.source for r in s}) == 1 and [r.mix_offset for r in s] == list(range(len(s))) for s in slots.values())
     assert [slots[k][0].source for k in range(len(slots))] == brute(rows, weights or {}, 8, 40, 0.5)
     assert mixing.mix(docs.where("false")).count() == 0
+
+
+def worst_drift(slots, weights):
+    """How far the blocks placed of any source are from its exact share, at most, until the first source runs out."""
+    order = [s for _, s in sorted((t, s) for s, x in slots.items() for t in x)]
+    total, seen, left, worst = sum(map(Fraction, weights.values())), Counter(), {s: len(x) for s, x in slots.items()}, 0
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        worst = max(worst, *(abs(seen[x] - t * Fraction(weights[x]) / total) for x in slots))
+        if seen[s] == left[s]:
+            return worst
+    return worst
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abc", max_size=3), st.tuples(st.integers(1, 150), st.floats(1e-6, 1e6)), min_size=1, max_size=6))
+def test_exact_weights_keep_every_source_within_a_block(both):
+    blocks, weights = {s: n for s, (n, _) in both.items()}, {s: w for s, (_, w) in both.items()}
+    slots = mixing.exact_slots(blocks, weights)
+    assert {s: len(x) for s, x in slots.items()} == blocks
+    assert sorted(t for x in slots.values() for t in x) == list(range(sum(blocks.values())))
+    assert worst_drift(slots, weights) < 1
+
+
+def test_no_drift_over_many_periods(spark):
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('s', id % 3) as source")
+    slots = defaultdict(list)
+    for r in mixing.mix(docs, {"s0": 1.0, "s1": 1.0, "s2": 1.0}, block=2).where("mix_offset = 0").collect():
+        slots[r.source].append(r.mix_slot)
+    assert worst_drift(slots, dict.fromkeys(slots, 1.0)) < 1
+
+
+def test_small_weights_are_not_raised():
+    weights = {"hot": 9990.0} | {f"s{k}": 1.0 for k in range(999)}
+    slots = mixing.exact_slots({"hot": 9000} | {f"s{k}": 3 for k in range(999)}, weights)
+    share = Fraction(9990, 9990 + 999)
+    assert all(abs(k - t * share) < 1 for k, t in enumerate(slots["hot"][:5000]))
+
+
+def test_a_source_without_weight_comes_last():
+    slots = mixing.exact_slots({"a": 3, "b": 2, "c": 2}, {"a": 1.0, "b": 0.0, "c": 2.0})
+    assert sorted(slots["b"]) == [5, 6]
