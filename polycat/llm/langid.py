@@ -57,7 +57,9 @@ def codewords(languages: int) -> np.ndarray:
     draw, best, least = np.random.default_rng(5), None, -1
     for _ in range(200):
         code = draw.choice(np.array([-1, 1], np.int8), (languages, math.ceil(10 * math.log2(languages))))
-        apart = (code[:, None] != code[None]).sum(2) + np.eye(languages, dtype=int) * code.shape[1]
+        wide = code.astype(np.float32)
+        apart = (code.shape[1] - wide @ wide.T) / 2
+        np.fill_diagonal(apart, code.shape[1])
         if apart.min() > least and (np.abs(code.sum(0)) < languages).all():
             best, least = code, apart.min()
     return best
@@ -80,7 +82,8 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The language with the least weighted loss for each row, and each language's probability."""
         margins = x @ self.weights + self.bias
-        loss = np.stack([(self.trust * np.logaddexp(0, -margins * word)).sum(1) for word in self.code], 1)
+        # log(1 + exp(-m c)) is log(1 + exp(-m)) + m (1 - c) / 2 for c = +-1.
+        loss = (self.trust * (np.logaddexp(0, -margins) + margins / 2)).sum(1)[:, None] - (self.trust * margins / 2) @ self.code.T.astype(np.float32)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         return loss.argmin(1), p
@@ -107,22 +110,21 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list, *, rounds: int = 300
     return Model(languages, code, w, b, (trust / max(float(trust.max(initial=0.0)), 1e-9)).astype(np.float32))
 
 
-def train(docs: DataFrame, *, language: str = "lang", text: str = "text", key: str = "doc_id", sample: int = 2000, dims: int = 4096, most: int = 500) -> Model:
-    """A model from about ``sample`` labelled rows of ``docs``, evenly many of each language.
+def train(docs: DataFrame, *, language: str = "lang", text: str = "text", key: str = "doc_id", each: int = 500, dims: int = 4096) -> Model:
+    """A model from about ``each`` labelled rows of every language of ``docs``, or all that it has.
 
     Rows are drawn by a hash of ``key``, so the same rows give the same model.  The
-    ``most`` frequent languages are learned.  Rows with a null language or text are
+    driver holds a row of ``dims`` numbers for each.  Rows with a null language or text are
     not learned from; without any row the model has no language.
     """
     rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(1)).alias("h"))
-    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
+    counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     languages = [name for name, _ in counts]
     if not languages:
         return Model([], codewords(0), np.zeros((dims, 0), np.float32), np.zeros(0), np.zeros(0))
-    share = F.lit(0)
-    for name, n in counts:
-        share = F.when(F.col("lang") == name, min(1 << 20, math.ceil((1 << 20) * sample / len(languages) / n))).otherwise(share)
-    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share)
+    share = pa.table({"lang": pa.array(languages, pa.string()), "share": pa.array([min(1 << 20, math.ceil((1 << 20) * each / n)) for _, n in counts], pa.int64())})
+    some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(share)), "lang")
+    drawn = some.where(F.pmod("h", F.lit(1 << 20)) < F.col("share")).select("lang", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

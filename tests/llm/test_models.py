@@ -63,6 +63,23 @@ def test_language_of_odd_rows(spark, corpus):
     assert {r.lang_pred for r in langid.identify(corpus, one).collect()} == {"aa"}
 
 
+def test_every_language_is_learned_and_rare_ones_take_no_rows_from_others(spark, corpus, monkeypatch):
+    r = random.Random(7)
+    words = {f"x{k}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(4)] for k in range(503)}
+    rows = [(10**6 + k, " ".join(w), la) for k, (la, w) in enumerate(words.items())]
+    rare = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda x, labels, languages: learned.append(np.bincount(labels)) or fit(x, labels, languages, rounds=100))
+    model = langid.train(corpus.select("doc_id", "text", "lang").unionByName(rare))
+    assert set(model.languages) == {"aa", "bb", "cc", *words}
+    size = {x["lang"]: x["count"] for x in corpus.groupBy("lang").count().collect()}
+    for la, n in size.items():
+        assert learned[0][model.languages.index(la)] >= min(n, 400)
+    out = langid.identify(rare, model).collect()
+    assert np.mean([x.lang_pred == x.lang for x in out]) > 0.95
+
+
 BAD = ["vile", "nasty", "rotten"]
 
 
