@@ -378,7 +378,7 @@ def nf_catalogue_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def nf_catalogue_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of a few systems in many rows, with the kernel on every row."""
+    """The catalogue of a few systems in many rows, none merged before; a task runs the kernel once for each system that it remembers."""
     return _shown_catalogue(K.catalogue(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey"), FEW), presort=False))
 
 
