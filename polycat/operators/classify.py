@@ -6,11 +6,13 @@ import struct
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polycat.kernel.canonical import LAYERS, isomorphism, layers, normal_form, normal_form_bytes
+from polycat.kernel.batch import DIM, FULL, WIDTH, classified, hulls
+from polycat.kernel.canonical import LAYERS, MOST_LEAVES, isomorphism, layers, normal_form, normal_form_bytes
 from polycat.kernel.hodge import hodge_numbers
 from polycat.kernel.polytope import Polytope, hull, lattice_points
 
@@ -36,10 +38,32 @@ def exact_kernel(rows: list[list[int]], degrees: list[int] | None = None) -> tup
     return len(p.vertices), len(p.normals), points, [int(x) for x in normal_form(p).ravel()]
 
 
-KERNELS: dict[str, Callable] = {"exact": exact_kernel}
+System = tuple[tuple, tuple]
 
 
-def kernel(name: str = "auto") -> Callable:
+def exact_batch(systems: list[System]) -> list[tuple | None]:
+    """The exact kernel on (rows, degrees) pairs, one after the other."""
+    return [exact_kernel([list(r) for r in rows], list(degrees)) if rows else None for rows, degrees in systems]
+
+
+def array_batch(systems: list[System]) -> list[tuple | None]:
+    """Single weight systems as one array; combined ones, and those whose numbers are too large for it, exactly."""
+    out: list = [False] * len(systems)
+    plain = [k for k, (rows, degrees) in enumerate(systems) if len(rows) == 1 and len(rows[0]) == WIDTH and min(rows[0]) > 0 and (not degrees or degrees[0] in (0, sum(rows[0])))]
+    if plain:
+        for k, got in zip(plain, classified(np.array([systems[k][0][0] for k in plain], np.int64), MOST_LEAVES), strict=True):
+            out[k] = got
+    rest = [k for k, got in enumerate(out) if got is False]
+    for k, got in zip(rest, exact_batch([systems[k] for k in rest]), strict=True):
+        out[k] = got
+    return out
+
+
+#: A kernel takes a batch of systems and returns what ``exact_kernel`` says of each.
+KERNELS: dict[str, Callable[[list[System]], list[tuple | None]]] = {"array": array_batch, "exact": exact_batch}
+
+
+def kernel(name: str = "auto") -> Callable[[list[System]], list[tuple | None]]:
     """A kernel by name; ``auto`` is the first that there is."""
     if name == "auto":
         return next(iter(KERNELS.values()))
@@ -63,8 +87,8 @@ def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None)
     """``df`` (with ``rows`` and ``degrees``) and what the kernel says of each row; its own counts replace those of the input.
 
     Rows are dealt anew over ``tasks`` (default: the session's parallelism times
-    four), since a row's cost grows with its lattice points.  A task remembers its
-    last systems, so repeats are computed once.
+    four), since a row's cost grows with its lattice points.  A task computes the
+    systems of an Arrow batch together and remembers its last ones, so repeats are computed once.
     """
     compute = kernel(backend)
     replaced = {"ok", "vertex_count", "facet_count", "point_count", "nf", "nf_key"}
@@ -77,15 +101,13 @@ def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None)
         for batch in batches:
             rows = batch.column(names.index("rows")).to_pylist()
             degrees = batch.column(names.index("degrees")).to_pylist()
-            out = []
-            for r, d in zip(rows, degrees, strict=True):
-                key = (tuple(map(tuple, r or ())), tuple(d or ()))
-                if key not in known:
-                    if len(known) >= REMEMBERED:
-                        known.popitem(last=False)
-                    got = compute(r, d) if r else None
-                    known[key] = (False, None, None, None, None, None) if got is None else (True, *got, nf_key(got[3]))
-                out.append(known[key])
+            keys = [(tuple(map(tuple, r or ())), tuple(d or ())) for r, d in zip(rows, degrees, strict=True)]
+            fresh = [k for k in dict.fromkeys(keys) if k not in known]
+            for key, got in zip(fresh, compute(fresh), strict=True):
+                known[key] = (False, None, None, None, None, None) if got is None else (True, *got, nf_key(got[3]))
+            out = [known[k] for k in keys]
+            while len(known) > REMEMBERED:
+                known.popitem(last=False)
             types = [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
             new = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "ok", "vertex_count", "facet_count", "point_count", "nf", "nf_key"])
@@ -96,9 +118,21 @@ def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None)
 
 def vertices_of(flat: list[int]) -> Polytope | None:
     """The polytope whose normal form is given, row by row."""
-    import numpy as np
+    return polytopes_of([flat])[0]
+
 
-    return hull(np.array(flat, np.int64).reshape(5, -1).T)
+def polytopes_of(forms: list[list[int] | None]) -> list[Polytope | None]:
+    """The polytopes whose normal forms are given, all of a batch at once; None for a null one."""
+    some = [k for k, flat in enumerate(forms) if flat]
+    out: list[Polytope | None] = [None] * len(forms)
+    if not some:
+        return out
+    points = [np.array(forms[k], np.int64).reshape(DIM, -1).T for k in some]
+    h = hulls(np.concatenate(points), np.repeat(np.arange(len(some)), [len(x) for x in points]), len(some))
+    for j, k in enumerate(some):
+        facets = h.facets[j, : h.nf[j]]
+        out[k] = Polytope(h.vertices[j, : h.nv[j]], facets[:, :DIM], facets[:, DIM]) if h.kind[j] == FULL else hull(points[j])
+    return out
 
 
 def fingerprints(df: DataFrame, *, nf: str = "nf", wanted: tuple = LAYERS) -> DataFrame:
@@ -111,8 +145,7 @@ def fingerprints(df: DataFrame, *, nf: str = "nf", wanted: tuple = LAYERS) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for flat in batch.column(names.index(nf)).to_pylist():
-                p = vertices_of(flat) if flat else None
+            for p in polytopes_of(batch.column(names.index(nf)).to_pylist()):
                 each = layers(p, wanted) if p is not None else dict.fromkeys(wanted)
                 got.append([*(each[k] for k in wanted), digest([each[k] for k in wanted]) if p is not None else None])
             new = [pa.array([g[k] for g in got], pa.string()) for k in range(len(wanted) + 1)]
@@ -137,8 +170,7 @@ def with_hodge(df: DataFrame, *, nf: str = "nf") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags, rows = [], []
-            for flat in batch.column(names.index(nf)).to_pylist():
-                p = vertices_of(flat) if flat else None
+            for p in polytopes_of(batch.column(names.index(nf)).to_pylist()):
                 flags.append(None if p is None else p.reflexive)
                 rows.append(hodge_numbers(p) if p is not None and p.reflexive else {})
             new = [pa.array(flags, pa.bool_()), *(pa.array([r.get(k) for r in rows], pa.int64()) for k in HODGE)]
@@ -150,7 +182,7 @@ def with_hodge(df: DataFrame, *, nf: str = "nf") -> DataFrame:
 def dump(line: str) -> str:
     """A weight line ``degree w0 w1 ...`` as ``dim vertices entries...`` of its normal form, or ``FAIL``."""
     numbers = [int(x) for x in line.split()]
-    got = exact_kernel([numbers[1:]], [numbers[0]]) if len(numbers) == 7 else None
+    (got,) = kernel()([((tuple(numbers[1:]),), (numbers[0],))]) if len(numbers) == 7 else (None,)
     return "FAIL" if got is None else " ".join(map(str, (5, got[0], *got[3])))
 
 
@@ -161,10 +193,9 @@ def isomorphic_pairs(pairs: DataFrame, *, left: str = "nf_a", right: str = "nf_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(*(batch.column(names.index(c)).to_pylist() for c in (left, right)), strict=True)
+            both = zip(*(polytopes_of(batch.column(names.index(c)).to_pylist()) for c in (left, right)), strict=True)
             verdicts = []
-            for a, b in both:
-                p, q = (vertices_of(x) if x else None for x in (a, b))
+            for p, q in both:
                 verdicts.append(None if p is None or q is None else isomorphism(p, q, cap))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.string())], names=[*names, "verdict"])
 

@@ -258,7 +258,7 @@ def test_stream(spark, tmp_path, systems):
 
 
 def test_kernels_and_deep_keys(spark):
-    assert classify.kernel("auto") is classify.exact_kernel
+    assert classify.kernel("auto") is classify.array_batch
     with pytest.raises(ValueError, match="no kernel"):
         classify.kernel("cuda")
     part = spark.range(40).select(F.col("id").alias("p_partkey"))
