@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.operators import catalogue as K
 from polycat.operators import enrich, generate
+from polycat.operators.classify import classify as timed
 from polycat.schema import WEIGHTS
 from polycat.sources import files, sinks
+from polycat.storage import Scope
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -28,9 +31,22 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--non-reflexive", action="store_true", help="leave out the dual's columns")
     c.add_argument("--no-presort", action="store_true", help="run the kernel on every row")
     c.add_argument("--backend", default="auto", help="kernel")
-    c.add_argument("--spill-runs", action="store_true", help="write partial catalogues under OUTPUT/runs and no catalogue")
+    c.add_argument("--spill-runs", action="store_true", help="write partial catalogues under OUTPUT/runs and no catalogue; those of other ranges stay")
     c.add_argument("--run-tag", default="run")
-    c.add_argument("--resume", action="store_true", help="skip files that OUTPUT/ledger has, and add to OUTPUT/runs")
+    c.add_argument("--every", type=int, metavar="N", help="a run for each N files, so that a crash costs N files at most")
+    c.add_argument("--resume", action="store_true", help="skip files that runs under OUTPUT/runs are of, and add to these runs")
+    c.add_argument("--no-store", action="store_true", help="only time kernel and hash: nothing is counted or written")
+    c.add_argument("--no-hash", action="store_true", help="with --no-store: only time the kernel")
+
+    s = sub.add_parser("shards", help="classify a folder in shards, one after the other, and merge them only if all of them succeeded")
+    s.add_argument("--input", required=True)
+    s.add_argument("--output", required=True)
+    s.add_argument("--shards", type=int, required=True)
+    s.add_argument("--non-reflexive", action="store_true")
+
+    r = sub.add_parser("progress", help="how many files of a folder the runs under OUTPUT/runs are of")
+    r.add_argument("--input", required=True)
+    r.add_argument("--output", required=True)
 
     m = sub.add_parser("merge", help="partial catalogues to one")
     m.add_argument("--input", required=True, nargs="+", help="folders of runs or catalogues")
@@ -46,6 +62,7 @@ def _parser() -> argparse.ArgumentParser:
     j.add_argument("--input", required=True)
     j.add_argument("--computed", required=True)
     j.add_argument("--output", required=True)
+    # The columns that a merge replaces, and what their successors are called.
     j.add_argument("--drop", nargs="*", default=["hash_lo", "hash_hi", "h11", "h12", "h13"])
     j.add_argument("--rename", nargs="*", default=["h11_c=h11", "h12_c=h12", "h13_c=h13"])
 
@@ -67,39 +84,86 @@ def _catalogue(rows: DataFrame, a: argparse.Namespace) -> tuple[DataFrame, DataF
 
 
 def classify(spark: SparkSession, a: argparse.Namespace) -> dict:
-    """One run over a range of files; its partial catalogue, its accounting and the ledger of its files."""
+    """Runs over a range of files, each with the names of its files; then their merged catalogue, and a summary.
+
+    Without ``--resume`` and ``--spill-runs`` this is a fresh start: whatever was under
+    OUTPUT goes first.  Files that other runs are of are never counted twice: with
+    ``--resume`` they are skipped, else they are an error.
+    """
+    began = time.perf_counter()
     if a.benchmark is not None:
         a.start, a.end, a.max_rows = 0, 0, a.benchmark
-    chosen = files.file_range(files.list_files(spark, a.input), a.start, a.end)
-    done = set()
-    if a.resume:
-        try:
-            done = {r.file for r in spark.read.parquet(f"{a.output}/ledger").select("file").distinct().collect()}  # a row for each file
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    todo = [f.rsplit("/", 1)[-1] for f in chosen if f.rsplit("/", 1)[-1] not in done]
-    tag = f"{a.run_tag}-{a.start:05d}-{len(done):05d}"
-    if todo:
-        rows = files.read_weights(spark, a.input, start=a.start, end=a.end, max_rows=a.max_rows, only=todo)
-        tried, found = _catalogue(rows, a)
-        kept = K.Workspace(spark, "classify").save(tried, "tried")  # the kernel's work, once for both results
-        found = K.count_first(kept.where("ok"), ["nf_key"], [c for c in found.columns if c not in ("nf_key", "count", "source_index")], count=F.col("count"))
-        sinks.write_run(found, f"{a.output}/runs", tag, 0)
-        spark.createDataFrame([(f,) for f in todo], "file string").coalesce(1).write.mode("overwrite" if not a.resume else "append").parquet(f"{a.output}/ledger")
-        sinks.write_metrics(kept, f"{a.output}/metrics/{tag}")
-        numbers = K.accounting(kept).first().asDict()
-    else:
-        numbers = {}
-    if not a.spill_runs:
-        sinks.write_catalogue(K.merge(spark.read.parquet(f"{a.output}/runs").drop("run")), f"{a.output}/catalogue", reflexive=not a.non_reflexive)
-    return {"files": len(todo), "skipped": len(chosen) - len(todo), **numbers}
+    every = [f.rsplit("/", 1)[-1] for f in files.list_files(spark, a.input)]
+    chosen = files.file_range(every, a.start, a.end)
+    if a.no_store:
+        rows = files.read_weights(spark, a.input, start=a.start, end=a.end, max_rows=a.max_rows)
+        tried = timed(rows.select("source_index", "rows", "degrees"), backend=a.backend, hashed=not a.no_hash)
+        numbers = tried.agg(F.count("*").alias("processed"), F.count_if(~F.col("ok")).alias("failed"), F.bit_xor(F.xxhash64("nf_key", "nf")).alias("sink")).first().asDict()
+        return {"files": len(chosen), **numbers, "seconds": time.perf_counter() - began}
+    runs = f"{a.output}/runs"
+    if not a.resume and not a.spill_runs:
+        for name in ("runs", "metrics", "catalogue", "summary"):
+            store, at = files.hadoop(spark, f"{a.output}/{name}")
+            store.delete(at, True)
+    known = sinks.run_files(spark, runs)
+    done = {f for some in known.values() for f in some} if a.resume else set()
+    todo = [f for f in chosen if f not in done]
+    parts = [todo[k : k + (a.every or len(todo))] for k in range(0, len(todo), a.every or len(todo) or 1)]
+    tags = [f"{a.run_tag}-{every.index(p[0]):05d}-{every.index(p[-1]):05d}" for p in parts]
+    twice = sorted({f for tag, some in known.items() if tag not in tags for f in some} & set(todo))
+    if twice:
+        raise SystemExit(f"other runs under {runs} are of {', '.join(twice[:5])} too; use --resume to skip such files")
+    total: dict = {}
+    for tag, part in zip(tags, parts, strict=True):
+        with Scope(spark):
+            rows = files.read_weights(spark, a.input, start=a.start, end=a.end, max_rows=a.max_rows, only=part)
+            tried, found = _catalogue(rows, a)
+            kept = K.Workspace(spark, "classify").save(tried, "tried")  # the kernel's work, once for all results
+            found = K.count_first(kept.where("ok"), ["nf_key"], [c for c in found.columns if c not in ("nf_key", "count", "source_index")], count=F.col("count"))
+            sinks.write_run(found, runs, tag, files=part)
+            sinks.write_metrics(kept, f"{a.output}/metrics/{tag}")
+            for name, n in K.accounting(kept).first().asDict().items():
+                total[name] = n if isinstance(n, bool) else total.get(name, 0) + n
+    report = dict(total)
+    if a.spill_runs:
+        seconds = time.perf_counter() - began
+        sinks.write_summary(spark, f"{a.output}/summary", total, seconds=seconds, files=len(todo), backend=a.backend, runs=len(parts))
+    elif known or parts:
+        sinks.write_catalogue(K.merge(spark.read.parquet(runs).drop("run")), f"{a.output}/catalogue", reflexive=not a.non_reflexive)
+        unique = spark.read.parquet(f"{a.output}/catalogue").agg(F.count("*").alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+        report |= {"unique_in_all": unique.n, "counted_in_all": unique.rows}
+        whole = total | {"unique": unique.n, "duplicate": unique.rows - unique.n}
+        sinks.write_summary(spark, f"{a.output}/summary", whole, seconds=time.perf_counter() - began, files=len(todo), backend=a.backend)
+    return {"files": len(todo), "skipped": len(chosen) - len(todo), **report}
+
+
+def shards(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Runs of contiguous shards, then one merge; a shard that fails leaves no catalogue, and its run can be made again."""
+    ranges = files.shard_ranges(len(files.list_files(spark, a.input)), a.shards)
+    same = ["--input", a.input, "--output", a.output, *(["--non-reflexive"] if a.non_reflexive else [])]
+    for k, (start, end) in enumerate(ranges):
+        classify(spark, _parser().parse_args(["classify", *same, "--start", str(start), "--end", str(end), "--spill-runs", "--resume", "--run-tag", f"shard{k:03d}"]))
+    sinks.write_catalogue(K.merge(spark.read.parquet(f"{a.output}/runs").drop("run")), f"{a.output}/catalogue", reflexive=not a.non_reflexive)
+    return {"shards": len(ranges), "unique": spark.read.parquet(f"{a.output}/catalogue").count()}
+
+
+def progress(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Files done, by run and in all, and whether there is a catalogue."""
+    names = {f.rsplit("/", 1)[-1] for f in files.list_files(spark, a.input)}
+    known = sinks.run_files(spark, f"{a.output}/runs")
+    done = {f for some in known.values() for f in some} & names
+    store, at = files.hadoop(spark, f"{a.output}/catalogue/_SUCCESS")
+    return {"runs": {tag: len(some) for tag, some in sorted(known.items())}, "files_done": len(done), "files": len(names), "percent": 100 * len(done) // len(names), "catalogue": store.exists(at)}
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Do what the command line says and return what is worth reporting."""
     if a.command == "classify":
         return classify(spark, a)
+    if a.command == "shards":
+        return shards(spark, a)
+    if a.command == "progress":
+        return progress(spark, a)
     if a.command == "merge":
         parts = [spark.read.parquet(x) for x in a.input]
         sinks.write_catalogue(K.merge(*(p.drop("run") for p in parts)), a.output, reflexive=not a.non_reflexive)

@@ -11,10 +11,15 @@ from polycat.schema import resolve_input
 FILE_STRIDE = 1 << 40
 
 
+def hadoop(spark: SparkSession, path: str):
+    """The file system that holds a path, and the path, as Hadoop sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def list_files(spark: SparkSession, folder: str, suffix: str = ".parquet") -> list[str]:
     """The folder's files with a suffix, by name; an empty folder is an error, and empty files are left out."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system, path = hadoop(spark, folder)
     if system.getFileStatus(path).isFile():
         return [folder]
     found = [s for s in system.listStatus(path) if s.isFile() and s.getPath().getName().endswith(suffix) and s.getLen() > 0]

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.operators.catalogue import accounting, strict_union
 from polycat.schema import CATALOGUE, REFLEXIVE_ONLY
+from polycat.sources.files import hadoop
+
+#: What a run's folder calls the list of its files; Spark doesn't read names that begin so.
+RUN_FILES = "_files.json"
 
 
 def write_catalogue(catalogue: DataFrame, path: str, *, reflexive: bool = False, key: str = "nf_key") -> None:
@@ -18,18 +25,86 @@ def write_catalogue(catalogue: DataFrame, path: str, *, reflexive: bool = False,
     catalogue.select(*columns).orderBy(key).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def write_run(catalogue: DataFrame, folder: str, tag: str, number: int, *, key: str = "nf_key") -> str:
-    """A sorted run in a folder of its own; writing the same run again replaces it."""
-    path = f"{folder.rstrip('/')}/run={tag}-{number:05d}"
-    catalogue.sortWithinPartitions(key).write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_run(catalogue: DataFrame, folder: str, tag: str, *, files: list[str] | None = None, key: str = "nf_key") -> str:
+    """A sorted run in a folder of its own, with the names of the files that it is of; writing the same run again replaces it.
+
+    Rows and file names are written beside the runs and become a run by one rename, so
+    there is never a run whose files aren't known.
+    """
+    spark = catalogue.sparkSession
+    folder = folder.rstrip("/")
+    path, hidden = f"{folder}/run={tag}", f"{folder}/.{tag}-{uuid.uuid4().hex}"
+    catalogue.sortWithinPartitions(key).write.option("compression", "zstd").parquet(hidden)
+    store, at = hadoop(spark, path)
+    out = store.create(hadoop(spark, f"{hidden}/{RUN_FILES}")[1], True)
+    out.write(bytearray(json.dumps(files or []), "utf-8"))
+    out.close()
+    store.delete(at, True)
+    if not store.rename(hadoop(spark, hidden)[1], at):
+        raise OSError(f"{path} couldn't be written")
     return path
 
 
+def run_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """The files that each run of a folder is of; without the folder none."""
+    store, at = hadoop(spark, folder)
+    if not store.exists(at):
+        return {}
+    out = {}
+    for status in store.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("run="):
+            stream = store.open(hadoop(spark, f"{folder.rstrip('/')}/{name}/{RUN_FILES}")[1])
+            out[name.removeprefix("run=")] = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+    return out
+
+
+def write_shards(df: DataFrame, folder: str, shard: str, number: int, *order: str) -> list[str]:
+    """The rows of each value 0, 1, ... of ``shard`` as one Parquet file, in order; files are named after the value."""
+    spark = df.sparkSession
+    out = []
+    for k in range(number):
+        mine = df.where(F.col(shard) == k).drop(shard).repartition(1).sortWithinPartitions(*order)
+        mine.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/.{k}")
+        store, at = hadoop(spark, f"{folder}/.{k}")
+        part = next(s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("part-"))
+        out.append(f"{folder}/shard-{k:05d}.parquet")
+        store.rename(part, hadoop(spark, out[-1])[1])
+        store.delete(at, True)
+    return out
+
+
+def write_residual(left: DataFrame, report: DataFrame, folder: str, *, row_id: str = "row_id", stratum: Column | None = None) -> None:
+    """What a cascade leaves: the ids of the rows as Parquet, the report (one row) and counts by stratum as JSON."""
+    left.select(row_id).orderBy(row_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/rows")
+    if stratum is not None:
+        by = left.groupBy(stratum.cast("string").alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("residual_by_stratum"))
+        report = report.crossJoin(F.broadcast(by))  # one row each
+    report.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+
+
 def write_metrics(tried: DataFrame, path: str) -> None:
     """The accounting of a run as a JSON record."""
     accounting(tried).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_summary(spark: SparkSession, path: str, numbers: dict, *, seconds: float, files: int, backend: str, runs: int | None = None) -> dict:
+    """The summary of a classification as a JSON record: one shape for a catalogue, another where only runs were written.
+
+    Fixed values: the names of the fields.
+    """
+    threads = spark.sparkContext.defaultParallelism
+    total, failed = int(numbers.get("processed") or 0), int(numbers.get("failed") or 0)
+    time = {"total_seconds": seconds, "throughput_cws_per_sec": total / seconds if seconds > 0 else 0.0, "files_processed": files, "threads": threads}
+    if runs is None:
+        record = {"total_cws": total, "failed_cws": failed, "duplicate_cws": int(numbers.get("duplicate") or 0), "unique_polytopes": int(numbers.get("unique") or 0), **time, "backend": backend}
+    else:
+        record = {"mode": "spill-runs", "total_cws": total, "failed_cws": failed, "runs_written": runs, **time}
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return record
+
+
 def write_golden(records: DataFrame, path: str) -> None:
     """Golden records as JSON lines."""
     records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.mode("overwrite").text(path)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
-_made: list[str] = []
+_open: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,31 +41,54 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Workspace:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
-    They stay until ``drop`` or ``release``: a result that an operator returns is
-    computed from them when it is used.
+    They stay until ``drop`` or the end of a ``Scope``: a result that an operator
+    returns is computed from them when it is used.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/polycat/{name}-{uuid.uuid4().hex}"
-        _made.append(self.base)
+        self.names: set[str] = set()
+        for scope in _open.get():
+            scope.made.append(self.base)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet and read again, with its lineage cut."""
         path = f"{self.base}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
+        self.names.discard(name)
         _delete(self.spark, f"{self.base}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Delete all tables but those that the result is computed from."""
+        for name in self.names - set(names):
+            self.drop(name)
 
-def mark() -> int:
-    """How many workspaces there have been: what ``release`` counts from."""
-    return len(_made)
 
+class Scope:
+    """The workspaces that are made while it is open, by whoever opened it and nobody else.
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables of all workspaces made after a mark, once the results that read them are written elsewhere."""
-    while len(_made) > since:
-        _delete(spark, _made.pop())
+    ``with Scope(spark): ...`` deletes their tables at the end; results that read them
+    must be written elsewhere before.  Other threads' workspaces aren't touched, and
+    scopes may be nested.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __enter__(self) -> Scope:
+        self._token = _open.set((*_open.get(), self))
+        return self
+
+    def __exit__(self, *error) -> None:
+        _open.reset(self._token)
+        self.release()
+
+    def release(self) -> None:
+        """Delete the tables of the workspaces made so far."""
+        while self.made:
+            _delete(self.spark, self.made.pop())

@@ -42,6 +42,54 @@ def test_classify_resume_merge_and_enrich(spark, shards):
     assert call(spark, "concat", "--input", path / "in", "--output", path / "one") == {"rows": 80}
 
 
+def counted(spark, path):
+    return spark.read.parquet(str(path / "catalogue")).selectExpr("sum(count)").first()[0]
+
+
+def test_a_fresh_start_forgets_what_was_there_and_nothing_counts_twice(spark, shards, monkeypatch):
+    path, rows = shards
+    good = lambda a, b: sum(max(w) != 6 for w in rows[20 * a : 20 * b])
+    out = path / "o"
+    base = ["classify", "--input", path / "in", "--output", out, "--non-reflexive"]
+    call(spark, *base, "--start", 0, "--end", 1)
+    assert counted(spark, out) == good(0, 2)
+    call(spark, *base, "--start", 2, "--end", 3)
+    assert counted(spark, out) == good(2, 4)
+    got = call(spark, *base, "--start", 0, "--end", 3, "--resume")
+    assert counted(spark, out) == good(0, 4) == got["counted_in_all"] and (got["files"], got["skipped"]) == (2, 2)
+    # A crash after a run was written: its files are known, and are not done again.
+    with monkeypatch.context() as m:
+        m.setattr("polycat.sources.sinks.write_metrics", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            call(spark, *base, "--every", 3)
+    assert call(spark, "progress", "--input", path / "in", "--output", out) == {"runs": {"run-00000-00002": 3}, "files_done": 3, "files": 4, "percent": 75, "catalogue": False}
+    got = call(spark, *base, "--resume")
+    assert (got["files"], got["skipped"]) == (1, 3) and counted(spark, out) == good(0, 4)
+    summary = spark.read.json(str(out / "summary")).first()
+    assert (summary.total_cws, summary.unique_polytopes, summary.files_processed, summary.backend) == (20, 3, 1, "auto")
+    # Runs of other ranges stay where only runs are written; one range replaces itself, and none may overlap another.
+    spill = ["classify", "--input", path / "in", "--output", path / "p", "--non-reflexive", "--spill-runs"]
+    for _ in range(2):
+        call(spark, *spill, "--start", 0, "--end", 1)
+        call(spark, *spill, "--start", 2, "--end", 2)
+    with pytest.raises(SystemExit, match="s1.parquet"):
+        call(spark, *spill, "--start", 1, "--end", 3)
+    assert spark.read.parquet(str(path / "p/runs")).selectExpr("sum(count)").first()[0] == good(0, 3)
+    summary = spark.read.json(str(path / "p/summary")).first()
+    assert (summary["mode"], summary.total_cws, summary.runs_written) == ("spill-runs", 20, 1)
+
+
+def test_shards_merge_when_all_are_done_and_timing(spark, shards):
+    path, rows = shards
+    got = call(spark, "shards", "--input", path / "in", "--output", path / "s", "--shards", 3, "--non-reflexive")
+    assert got == {"shards": 3, "unique": 3} and counted(spark, path / "s") == sum(max(w) != 6 for w in rows)
+    assert call(spark, "progress", "--input", path / "in", "--output", path / "s")["runs"] == {"shard000-00000-00001": 2, "shard001-00002-00002": 1, "shard002-00003-00003": 1}
+    for flags in (["--no-store"], ["--no-store", "--no-hash"]):
+        got = call(spark, "classify", "--input", path / "in", "--output", path / "t", *flags)
+        assert (got["processed"], got["failed"]) == (80, sum(max(w) == 6 for w in rows))
+    assert not (path / "t").exists()
+
+
 def test_generate_and_merge_computed(spark, tmp_path):
     assert call(spark, "generate", "--low", 6, "--high", 10, "--output", tmp_path / "g") == {"systems": 12}
     left = spark.createDataFrame([(0, k, k, 1) for k in range(4)], "source_row_group int, source_row_in_group int, count long, h11 int")

@@ -234,7 +234,8 @@ def test_sinks(spark, tmp_path, systems):
     keys = [bytes(r.nf_key) for f in sorted((tmp_path / "c").glob("part-*")) for r in spark.read.parquet(str(f)).collect()]
     assert keys == sorted(keys)
     for _ in range(2):
-        sinks.write_run(cat, str(tmp_path / "runs"), "a", 3)
+        sinks.write_run(cat, str(tmp_path / "runs"), "a-00003", files=["x"])
+    assert sinks.run_files(spark, str(tmp_path / "runs")) == {"a-00003": ["x"]} and sinks.run_files(spark, str(tmp_path / "none")) == {}
     assert as_rows(catalogue.merge(spark.read.parquet(str(tmp_path / "runs")).drop("run")).select(*cat.columns)) == as_rows(cat)
     sinks.write_metrics(catalogue.classified(rows, schema.WEIGHTS), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().processed == 120
@@ -284,3 +285,36 @@ def test_group_verdicts_and_mass(spark):
     assert {r.g: r.verdict for r in cascade.pair_verdicts(pairs, ["g"]).collect()} == {1: "DISTINCT", 2: "DUPLICATES", 3: "OPEN"}
     df = spark.createDataFrame([(5, 1), (5, 4), (7, 1)], "nv int, count long")
     assert [tuple(r) for r in cascade.fibre_mass(df, "count", "nv").orderBy("nv").collect()] == [(5, 2, 5, 4, 1, 5), (7, 1, 1, 1, 1, 6)]
+
+
+def test_scopes_delete_their_own_tables_alone(spark):
+    import threading
+
+    from polycat.storage import Scope, Workspace
+
+    made, opened, saved = {}, threading.Event(), threading.Event()
+
+    def other():
+        with Scope(spark):
+            opened.set()
+            made["other"] = Workspace(spark, "other").save(spark.range(3), "t")
+            saved.set()
+            closed.wait(60)
+            made["count"] = made["other"].count()
+
+    closed = threading.Event()
+    thread = threading.Thread(target=other)
+    with Scope(spark) as scope:
+        thread.start()
+        opened.wait(60)
+        work = Workspace(spark, "mine")
+        mine = work.save(spark.range(5), "t")
+        work.save(spark.range(2), "u")
+        work.keep("t")
+        saved.wait(60)
+        assert mine.count() == 5 and len(scope.made) == 1
+    closed.set()
+    thread.join()
+    assert made["count"] == 3
+    with pytest.raises(Exception, match="(?i)exist|FAILED_READ"):
+        mine.collect()
