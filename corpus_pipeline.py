@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.llm import langid, leaks, lines, minhash, mixing
-from polycat.storage import Workspace, mark, release
+from polycat.storage import Scope, Workspace
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told (see ``langid.rejected``); the others go."""
+    """Documents whose language can be told (see ``langid.rejected``); the others go.
+
+    The model learns from rows of the same documents that it judges: a filter, not a measure of accuracy.
+    """
     model = langid.train(docs)
     return langid.identify(docs, model).where(~langid.rejected()).select(*docs.columns)
 
@@ -62,9 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES[:-1]:
-        made = mark()
-        docs = work.save(stage(spark, docs, sf_dir), name)
-        release(spark, made)  # what the stage needed on its way
+        with Scope(spark):  # what the stage needs on its way
+            docs = work.save(stage(spark, docs, sf_dir), name)
         if before is not None:
             work.drop(before)
         before = name
