@@ -7,6 +7,7 @@ has too many vertices for a machine word, goes to the exact kernel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -354,11 +355,20 @@ def _chunks(w: np.ndarray) -> list[slice]:
     return out
 
 
-def classified(w: np.ndarray, most: int) -> list[tuple | None | bool]:
-    """(vertices, facets, points, normal form as a flat list) of each row of positive weights; None where the origin isn't strictly inside, False where the exact kernel must say."""
+@dataclass
+class Shapes:
+    """A chunk of systems: their places, lattice points, hulls, and whether the origin is strictly inside (never where the hull is UNKNOWN)."""
+
+    who: np.ndarray
+    points: np.ndarray
+    hulls: Hulls
+    inside: np.ndarray
+
+
+def shapes(w: np.ndarray) -> Iterator[Shapes]:
+    """Hulls of rows of positive weights, a chunk at a time; rows whose degree is too large for it are left out."""
     w = -np.sort(-w.astype(np.int64), axis=1)
     w //= np.maximum(np.gcd.reduce(w, axis=1), 1)[:, None]
-    out: list = [False] * len(w)
     small = np.flatnonzero(w.astype(np.float64).sum(1) < 2**31)
     for part in _chunks(w[small]):
         who = small[part]
@@ -366,11 +376,18 @@ def classified(w: np.ndarray, most: int) -> list[tuple | None | bool]:
         total, owner, x = corner_points(some, some.sum(1))
         h = hulls(np.einsum("pij,pj->pi", coordinates(some)[owner], x - 1), owner, len(some))
         inside = (h.kind == FULL) & ((h.facets[:, :, DIM] > 0) | (np.arange(h.facets.shape[1]) >= h.nf[:, None])).all(1)
-        which = np.flatnonzero(inside)
-        forms = dict(zip(which.tolist(), normal_forms(h, which, most) if len(which) else (), strict=True))
-        for k, at in enumerate(who.tolist()):
+        yield Shapes(who, total, h, inside)
+
+
+def classified(w: np.ndarray, most: int) -> list[tuple | None | bool]:
+    """(vertices, facets, points, normal form as a flat list) of each row of positive weights; None where the origin isn't strictly inside, False where the exact kernel must say."""
+    out: list = [False] * len(w)
+    for s in shapes(w):
+        which = np.flatnonzero(s.inside)
+        forms = dict(zip(which.tolist(), normal_forms(s.hulls, which, most) if len(which) else (), strict=True))
+        for k, at in enumerate(s.who.tolist()):
             if k in forms:
-                out[at] = False if forms[k] is None else (int(h.nv[k]), int(h.nf[k]), int(total[k]), forms[k].ravel().tolist())
-            elif h.kind[k] != UNKNOWN:
+                out[at] = False if forms[k] is None else (int(s.hulls.nv[k]), int(s.hulls.nf[k]), int(s.points[k]), forms[k].ravel().tolist())
+            elif s.hulls.kind[k] != UNKNOWN:
                 out[at] = None
     return out

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polycat.storage import Workspace
+
 
 def group_sizes(df: DataFrame, key: list[str]) -> DataFrame:
     """Distinct keys and their row counts."""
@@ -22,9 +24,14 @@ def _joined(df: DataFrame, groups: DataFrame, key: list[str], how: str) -> DataF
     return df.join(named, on, how).drop(*(f"_key{k}" for k in range(len(key))))
 
 
+def _written(groups: DataFrame) -> DataFrame:
+    """Groups that are joined back to the rows they were counted from: written first, so that Spark can split a hot one's rows."""
+    return Workspace(groups.sparkSession, "cascade").save(groups, "groups")
+
+
 def collisions(df: DataFrame, key: list[str]) -> DataFrame:
     """The rows whose key some other row has too; nulls are equal."""
-    return _joined(df, group_sizes(df, key).where("members > 1").select(*key), key, "left_semi")
+    return _joined(df, _written(group_sizes(df, key).where("members > 1").select(*key)), key, "left_semi")
 
 
 def cascade(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
@@ -34,19 +41,25 @@ def cascade(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], Dat
     the free columns.
     """
     left = expensive(collisions(df, free))
-    shared = group_sizes(left, [*free, key]).where("members > 1")
-    return _joined(left, shared, [*free, key], "inner")
+    left = _written(left)  # what was expensive is done once
+    return _joined(left, _written(group_sizes(left, [*free, key]).where("members > 1")), [*free, key], "inner")
 
 
-def cascade_report(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
+def cascade_report(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], DataFrame], key: str, *, flag: str | None = None) -> DataFrame:
     """One row: rows, free groups, colliding rows, and distinct (free, expensive) keys over all rows.
 
     Rows that don't collide have a key of their own, so the last number needs the
-    expensive key of the colliding ones alone.
+    expensive key of the colliding ones alone.  ``flag``: a boolean column that
+    ``expensive`` adds; ``unflagged`` counts the tested rows where it is false.
     """
-    sizes = group_sizes(df, free).agg(F.coalesce(F.sum("members"), F.lit(0)).cast("bigint").alias("n_rows"), F.count("*").cast("bigint").alias("free_groups"), F.coalesce(F.sum(F.when(F.col("members") > 1, F.col("members"))), F.lit(0)).cast("bigint").alias("colliding"))
-    keys = group_sizes(expensive(collisions(df, free)), [*free, key]).agg(F.count("*").cast("bigint").alias("keys_in_collisions"))
-    return sizes.join(F.broadcast(keys)).withColumn("distinct_keys", F.col("n_rows") - F.col("colliding") + F.col("keys_in_collisions"))
+    sizes = group_sizes(df, free).select("members", F.lit(0).cast("bigint").alias("keys"), F.lit(0).cast("bigint").alias("off"))
+    tested = expensive(collisions(df, free))
+    off = F.count_if(~F.col(flag)) if flag else F.lit(0)
+    keys = tested.groupBy(*free, key).agg(off.cast("bigint").alias("off")).select(F.lit(0).cast("bigint").alias("members"), F.lit(1).cast("bigint").alias("keys"), "off")
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    out = sizes.unionByName(keys).agg(some("members").alias("n_rows"), F.count_if(F.col("members") > 0).cast("bigint").alias("free_groups"), some(F.when(F.col("members") > 1, F.col("members"))).alias("colliding"), some("keys").alias("keys_in_collisions"), some("off").alias("unflagged"))
+    out = out.withColumn("distinct_keys", F.col("n_rows") - F.col("colliding") + F.col("keys_in_collisions"))
+    return out if flag else out.drop("unflagged")
 
 
 def histogram(df: DataFrame, stratum: Column, name: str = "stratum") -> DataFrame:
@@ -62,6 +75,7 @@ def verdicts(df: DataFrame, group: list[str], deep: str) -> DataFrame:
 
 def pairs_within(df: DataFrame, group: list[str], index: str, columns: list[str]) -> DataFrame:
     """Unordered pairs of rows of a group, as ``_a`` and ``_b`` columns; for the small groups that a cascade leaves."""
+    df = _written(df)
     a = df.select(*group, *(F.col(c).alias(f"{c}_a") for c in [index, *columns]))
     b = df.select(*group, *(F.col(c).alias(f"{c}_b") for c in [index, *columns]))
     return _joined(a, b, group, "inner").where(F.col(f"{index}_a") < F.col(f"{index}_b"))

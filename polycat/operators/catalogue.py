@@ -24,23 +24,24 @@ def count_first(df: DataFrame, key: list[str], payload: list[str], *, index: str
     return df.groupBy(*key).agg(total.cast("bigint").alias("count"), F.min(index).alias(index), *(F.min_by(c, index).alias(c) for c in payload if c != index))
 
 
-def catalogue(weights: DataFrame, *, reflexive: bool = False, presort: bool = True, backend: str = "auto", tasks: int | None = None) -> DataFrame:
+def catalogue(weights: DataFrame, *, reflexive: bool = False, presort: bool = True, remember: bool = True, backend: str = "auto", tasks: int | None = None) -> DataFrame:
     """The distinct polytopes of resolved weight rows, each with its count and first row.
 
     With ``presort`` rows whose weights differ only by order or a common factor are
     merged before the kernel runs: their polytopes are the same, and the kernel is
     nearly all of the cost.  Rows that the kernel rejects aren't in the catalogue.
+    ``remember=False`` without ``presort`` runs the kernel on every row, repeats too.
     ``reflexive`` adds the dual's columns.
     """
     payload = [*WEIGHTS, *(REFLEXIVE_ONLY if reflexive else [])]
-    tried = classified(weights, payload, presort=presort, backend=backend, tasks=tasks)
+    tried = classified(weights, payload, presort=presort, remember=remember, backend=backend, tasks=tasks)
     return count_first(tried.where("ok"), ["nf_key"], [*payload, "vertex_count", "facet_count", "point_count"], count=F.col("count"))
 
 
-def classified(weights: DataFrame, payload: list[str], *, presort: bool = True, backend: str = "auto", tasks: int | None = None) -> DataFrame:
+def classified(weights: DataFrame, payload: list[str], *, presort: bool = True, remember: bool = True, backend: str = "auto", tasks: int | None = None) -> DataFrame:
     """Kernel results with ``count`` rows behind each: one for each distinct system, or for each row without ``presort``."""
     if not presort:
-        return classify(weights.select("source_index", "rows", "degrees", *payload).withColumn("count", F.lit(1).cast("bigint")), backend=backend, tasks=tasks)
+        return classify(weights.select("source_index", "rows", "degrees", *payload).withColumn("count", F.lit(1).cast("bigint")), backend=backend, tasks=tasks, remember=remember)
     first = F.element_at("rows", 1)
     simple = (F.size("rows") == 1) & F.forall(first, lambda x: x > 0) & ((F.element_at("degrees", 1) == 0) | (F.element_at("degrees", 1) == F.aggregate(first, F.lit(0).cast("bigint"), lambda a, x: a + x)))
     like = F.when(simple, F.array(canonical(first))).otherwise(F.col("rows"))

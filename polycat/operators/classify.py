@@ -83,13 +83,14 @@ KERNEL_COLUMNS = "ok boolean, vertex_count int, facet_count int, point_count int
 REMEMBERED = 1 << 14
 
 
-def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None, hashed: bool = True) -> DataFrame:
+def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None, hashed: bool = True, remember: bool = True) -> DataFrame:
     """``df`` (with ``rows`` and ``degrees``) and what the kernel says of each row; its own counts replace those of the input.
 
     Rows are dealt anew over ``tasks`` (default: the session's parallelism times
     four), since a row's cost grows with its lattice points.  A task computes the
     systems of an Arrow batch together and remembers its last ones, so repeats are computed once.
-    ``hashed=False`` leaves the key null, to time the kernel alone.
+    ``hashed=False`` leaves the key null, to time the kernel alone;
+    with ``remember=False`` the kernel runs on every row.
     """
     compute = kernel(backend)
     replaced = {"ok", "vertex_count", "facet_count", "point_count", "nf", "nf_key"}
@@ -103,12 +104,14 @@ def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None,
             rows = batch.column(names.index("rows")).to_pylist()
             degrees = batch.column(names.index("degrees")).to_pylist()
             keys = [(tuple(map(tuple, r or ())), tuple(d or ())) for r, d in zip(rows, degrees, strict=True)]
-            fresh = [k for k in dict.fromkeys(keys) if k not in known]
-            for key, got in zip(fresh, compute(fresh), strict=True):
-                known[key] = (False, None, None, None, None, None) if got is None else (True, *got, nf_key(got[3]) if hashed else None)
-            out = [known[k] for k in keys]
-            while len(known) > REMEMBERED:
-                known.popitem(last=False)
+            fresh = [k for k in dict.fromkeys(keys) if k not in known] if remember else keys
+            made = [(False, None, None, None, None, None) if got is None else (True, *got, nf_key(got[3]) if hashed else None) for got in compute(fresh)]
+            if remember:
+                known.update(zip(fresh, made, strict=True))
+                made = [known[k] for k in keys]
+                while len(known) > REMEMBERED:
+                    known.popitem(last=False)
+            out = made
             types = [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
             new = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "ok", "vertex_count", "facet_count", "point_count", "nf", "nf_key"])

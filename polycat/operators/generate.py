@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import combinations, combinations_with_replacement
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.functions.weights import common_divisor
+from polycat.kernel.polytope import hull, lattice_points
 
 
 def candidates(spark: SparkSession, low: int, high: int, *, width: int = 6) -> DataFrame:
@@ -46,3 +51,117 @@ def padded_row(weights: Column, before: Column, after: Column) -> Column:
     """A row of a combined system's matrix: its weights between zeros."""
     zero = F.lit(0).cast("bigint")
     return F.concat(F.array_repeat(zero, before), weights, F.array_repeat(zero, after))
+
+
+def _extremes(points: list[tuple]) -> list[tuple[Fraction, ...]]:
+    """The vertices of {q >= 0 : q . x = 1 for all points}, each with as few non-zero numbers as it can."""
+    width = len(points[0])
+    out: dict[tuple, None] = {}
+    for n in range(1, width + 1):
+        for support in combinations(range(width), n):
+            q = _solved([[Fraction(x[k]) for k in support] for x in points])
+            if q is not None and all(v > 0 for v in q):
+                whole = [Fraction(0)] * width
+                for k, v in zip(support, q, strict=True):
+                    whole[k] = v
+                out[tuple(whole)] = None
+    return list(out)
+
+
+def _solved(rows: list[list[Fraction]]) -> list[Fraction] | None:
+    """The one solution of rows . q = 1, or None where there is none or more than one."""
+    m = [[*r, Fraction(1)] for r in rows]
+    width, top = len(rows[0]), 0
+    for col in range(width):
+        at = next((i for i in range(top, len(m)) if m[i][col]), None)
+        if at is None:
+            return None
+        m[top], m[at] = m[at], m[top]
+        m[top] = [x / m[top][col] for x in m[top]]
+        for i in range(len(m)):
+            if i != top and m[i][col]:
+                m[i] = [x - m[i][col] * y for x, y in zip(m[i], m[top], strict=True)]
+        top += 1
+    return [r[-1] for r in m[:width]] if all(not r[-1] for r in m[width:]) else None
+
+
+def _below(q: tuple[Fraction, ...]) -> Iterator[tuple[int, ...]]:
+    """All integer x >= 0 with q . x < 1, for positive q."""
+
+    def grow(head: tuple, left: Fraction) -> Iterator[tuple]:
+        if len(head) == len(q):
+            yield head
+            return
+        value = 0
+        while value * q[len(head)] < left:
+            yield from grow((*head, value), left - value * q[len(head)])
+            value += 1
+
+    yield from grow((), Fraction(1))
+
+
+def _interior(weights: tuple[int, ...]) -> bool:
+    if 2 * max(weights) > sum(weights):
+        return False
+    p = hull(lattice_points([list(weights)], [sum(weights)]))
+    return p is not None and p.interior
+
+
+def _searched(points: tuple[tuple, ...], seen: set) -> Iterator[tuple[int, ...]]:
+    """Weight systems with an interior origin whose polytopes have all the given points.
+
+    The mean q of the extreme solutions is one candidate.  Any other q' has an x with q' . x = 1
+    and q . x < 1, since else q . x >= 1 on its whole polytope, with equality inside; so
+    all others come from one point more.
+    """
+    extremes = _extremes(list(points))
+    if not extremes:
+        return
+    q = tuple(sum(c) / len(extremes) for c in zip(*extremes, strict=True))
+    if min(q) <= 0:
+        return
+    scale = lcm(*(v.denominator for v in q))
+    whole = [int(v * scale) for v in q]
+    weights = tuple(sorted(w // gcd(*whole) for w in whole))
+    if weights not in seen:
+        seen.add(weights)
+        if _interior(weights):
+            yield weights
+    if len(extremes) == 1:
+        return
+    for x in _below(q):
+        key = tuple(sorted((*points, x)))
+        # Coordinates can be renamed: of all names of one set of points one is enough.
+        key = min(tuple(sorted(tuple(p[k] for k in order) for p in key)) for order in _orders(len(x))) if len(x) < 5 else key
+        if key not in seen:
+            seen.add(key)
+            yield from _searched((*points, x), seen)
+
+
+def _orders(n: int) -> list[tuple[int, ...]]:
+    from itertools import permutations
+
+    return list(permutations(range(n)))
+
+
+def search(spark: SparkSession, width: int) -> DataFrame:
+    """All weight systems of ``width`` weights whose origin is strictly inside, by adding points, whatever their degree.
+
+    The first point to be added is dealt over tasks, each of which goes on alone.  There are 3 of
+    three weights and 95 of four; the numbers beyond grow so fast that only a cluster
+    should be asked.
+    """
+    start = (1,) * width
+    mean = (Fraction(1, width),) * width
+    first = sorted({tuple(sorted(x)) for x in _below(mean)})
+    seeds = spark.createDataFrame([(list(x),) for x in first], "x array<bigint>").repartition(len(first), "x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                found = list(_searched((start, tuple(x)), set()))
+                yield pa.RecordBatch.from_arrays([pa.array([list(w) for w in found], pa.list_(pa.int64()))], names=["weights"])
+
+    here = spark.createDataFrame([([1] * width,)], "weights array<bigint>")
+    found = seeds.mapInArrow(run, "weights array<bigint>").unionByName(here).distinct()
+    return found.select(F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("degree"), "weights")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _numbers(line: Column) -> Column:
@@ -32,28 +31,31 @@ def sample_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Fixed value: how a block of a normal form begins in the text format.
-HEADER = re.compile(r"^\s*(\d+)\s+(\d+)\s+Normal form of vertices")
-
-
-def parse_normal_forms(text: str) -> list[list[list[int]]]:
-    """Matrices of a stream of blocks, a header line with height and width and then the rows; a short or uneven block is an error."""
-    lines, out, at = text.splitlines(), [], 0
-    while at < len(lines):
-        head = HEADER.match(lines[at])
-        at += 1
-        if not head:
-            continue
-        height, width = int(head[1]), int(head[2])
-        rows = [[int(x) for x in line.split()] for line in lines[at : at + height]]
-        if len(rows) < height:
-            raise ValueError("a block of a normal form is cut short")
-        if any(len(r) != width for r in rows):
-            raise ValueError(f"a normal form's row hasn't {width} entries")
-        out.append(rows)
-        at += height
-    return out
-
-
+HEADER = r"^\s*(\d+)\s+(\d+)\s+Normal form of vertices"
+
+
+def normal_form_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks of normal forms as (file, line, height, width, nf): a header line, then as many rows as it says.
+
+    Lines are numbered within their file and belong to the header before them, by a running maximum; lines
+    beyond a block's height are ignored, as is text before the first header.  A short
+    or uneven block is an error.  A file is read whole (one row of ``wholetext``).
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
+    lines = whole.select("file", "line", F.when(F.regexp_like("value", F.lit(HEADER)), F.struct(F.regexp_extract("value", HEADER, 1).cast("int").alias("height"), F.regexp_extract("value", HEADER, 2).cast("int").alias("width"))).alias("head"), F.transform(tokens, lambda t: F.try_to_number(t, F.lit("S999999999999999999")).cast("bigint")).alias("numbers"))
+    by_file = Window.partitionBy("file").orderBy("line")
+    begun = lines.withColumn("begin", F.max(F.when(F.col("head").isNotNull(), F.col("line"))).over(by_file)).withColumn("shape", F.last("head", True).over(by_file))
+    rows = begun.where(F.col("begin").isNotNull() & (F.col("line") <= F.col("begin") + F.col("shape.height")))
+    blocks = rows.groupBy("file", "begin", "shape").agg(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("line", "numbers")))).alias("rows"))
+    nf = F.transform("rows", lambda r: r["numbers"])
+    height, width = F.col("shape.height"), F.col("shape.width")
+    good = (F.size(nf) == height) & F.forall(nf, lambda r: (F.size(r) == width) & F.forall(r, lambda x: x.isNotNull()))
+    checked = F.when(good, nf).otherwise(F.raise_error(F.concat(F.lit("the block of a normal form that begins at line "), F.col("begin").cast("string"), F.lit(" is short or uneven"))).cast("array<array<bigint>>"))
+    return blocks.select("file", F.col("begin").alias("line"), height.alias("height"), width.alias("width"), checked.alias("nf"))
+
+
+# The fields of a golden record.
 GOLDEN = "ws string, dim int, nv int, nf array<array<bigint>>, bytes_len int, digests map<string,string>"
 
 

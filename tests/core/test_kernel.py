@@ -27,14 +27,6 @@ def made(w):
     return hull(lattice_points([list(w)], [sum(w)]))
 
 
-def scrambled(vertices, rng):
-    u = np.eye(5, dtype=np.int64)
-    for _ in range(8):
-        i, j = rng.choice(5, 2, replace=False)
-        u[i] += rng.integers(-2, 3) * u[j]
-    return vertices[rng.permutation(len(vertices))] @ u
-
-
 @pytest.mark.parametrize("w", FACTS)
 def test_known_polytopes(w):
     points = lattice_points([list(w)], [sum(w)])
@@ -61,7 +53,7 @@ def test_invariant_under_maps_and_renumbering(w):
     p = made(w)
     form, keys = C.normal_form(p), C.layers(p)
     for _ in range(5):
-        q = hull(scrambled(p.vertices, rng))
+        q = hull(C.scrambled(p.vertices, rng))
         assert (C.normal_form(q) == form).all()
         assert C.layers(q) == keys
         assert C.isomorphism(p, q) == C.EQUIVALENT
@@ -74,8 +66,8 @@ def test_large_coordinates_stay_exact():
     rng = np.random.default_rng(3)
     p = made((1, 1, 1, 3, 4, 4))
     far = p.vertices
-    for _ in range(3):
-        far = scrambled(far, rng)
+    for _ in range(5):
+        far = C.scrambled(far, rng)
     assert np.abs(far).max() > 100
     assert C.layers(hull(far)) == C.layers(p)
 
@@ -162,3 +154,46 @@ def test_points_of_a_hull():
         box = np.array(list(np.ndindex(*[7] * 4))) - 3
         inside = box[((box @ p.normals.T + p.distances) >= 0).all(1)]
         assert sorted(map(tuple, points_in(p.vertices).tolist())) == sorted(map(tuple, inside.tolist()))
+
+
+def test_more_layers_are_invariant():
+    rng = np.random.default_rng(7)
+    for w in [(1, 1, 1, 1, 1, 1), (1, 1, 1, 1, 1, 2), (1, 1, 1, 3, 4, 4)]:
+        p = made(w)
+        q = hull(C.scrambled(p.vertices, rng))
+        assert C.layers(p, ("Lcc",)) == C.layers(q, ("Lcc",))
+    one, two = made((1, 1, 1, 1, 1, 2)), made((1, 1, 1, 1, 2, 3))
+    assert C.layers(one, ("Lcc",)) != C.layers(two, ("Lcc",))
+    # The reference of cocircuits, a subset at a time.
+    p = made((1, 1, 2, 2, 2, 6))
+    from collections import Counter
+    from itertools import combinations
+
+    seen, counts = C.first_colours(p.pairing).tolist(), Counter()
+    h = [[1, *v] for v in p.vertices.tolist()]
+    for b in combinations(range(len(h)), 5):
+        side = {j: np.sign(E.determinant([h[i] for i in b] + [h[j]])) for j in range(len(h)) if j not in b}
+        if any(side.values()) or len(E.smith_factors([h[i] for i in b])) == 5:
+            parts = [sorted(seen[j] for j, s in side.items() if s == k) for k in (0, 1, -1)]
+            counts[str([parts[0], sorted(parts[1:])])] += 1
+    assert sum(counts.values()) > 0 and C.cocircuit_digest(p) == C.digest(sorted([k.replace(" ", "") and __import__("json").dumps(__import__("ast").literal_eval(k)), n] for k, n in counts.items()))
+
+
+def test_chirotope_counts():
+    for w in [(1, 1, 1, 1, 1, 1), (1, 1, 2, 2, 2, 6)]:
+        p = made(w)
+        from itertools import combinations
+
+        v = sorted(p.vertices.tolist())
+        signs = [np.sign(E.determinant([[1, *v[i]] for i in b])) for b in combinations(range(len(v)), 6)]
+        assert C.chirotope_counts(p.vertices) == (signs.count(1), signs.count(-1), signs.count(0))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(-9, 9), min_size=5, max_size=5), min_size=1, max_size=4))
+def test_integer_kernel(rows):
+    k = E.integer_kernel(rows)
+    m = np.array(rows, dtype=object)
+    assert len(k) == 5 - len(E.smith_factors(rows))
+    assert all((m @ v == 0).all() and np.gcd.reduce(v.astype(np.int64)) == 1 for v in k)
+    assert len(E.smith_factors(k.tolist())) == len(k)

@@ -207,10 +207,13 @@ def test_text_sources(spark, tmp_path):
     sample = {r.ws: r.point_count for r in text.sample_lines(spark, str(path)).collect()}
     assert sample["14 1 1 1 3 4 4"] == 651 and sample["6 1 1 1 1 1 1"] == 0
     block = "noise\n2 3  Normal form of vertices\n 1 0 2\n 0 1 -5\n"
-    assert text.parse_normal_forms(block * 2) == [[[1, 0, 2], [0, 1, -5]]] * 2
-    for bad in ("2 3  Normal form of vertices\n1 0 2", "2 3  Normal form of vertices\n1 0 2\n1 2\n"):
-        with pytest.raises(ValueError):
-            text.parse_normal_forms(bad)
+    (tmp_path / "nf.txt").write_text(block * 2)
+    got = text.normal_form_blocks(spark, str(tmp_path / "nf.txt")).orderBy("line").collect()
+    assert [(r.line, r.height, r.width, r.nf) for r in got] == [(1, 2, 3, [[1, 0, 2], [0, 1, -5]]), (5, 2, 3, [[1, 0, 2], [0, 1, -5]])]
+    for bad in ("2 3  Normal form of vertices\n1 0 2", "2 3  Normal form of vertices\n1 0 2\n1 2\n", "1 1 Normal form of vertices\nx\n"):
+        (tmp_path / "bad.txt").write_text(bad)
+        with pytest.raises(Exception, match="short or uneven"):
+            text.normal_form_blocks(spark, str(tmp_path / "bad.txt")).collect()
     record = classify.golden_record([1, 1, 1, 1, 2, 2])
     sinks.write_golden(spark.createDataFrame([json.dumps(record)], "string").select(F.from_json("value", text.GOLDEN).alias("r")).select("r.*"), str(tmp_path / "golden"))
     (back,) = text.golden_records(spark, str(tmp_path / "golden")).collect()
@@ -318,3 +321,112 @@ def test_scopes_delete_their_own_tables_alone(spark):
     assert made["count"] == 3
     with pytest.raises(Exception, match="(?i)exist|FAILED_READ"):
         mine.collect()
+
+
+def gorenstein(low, high):
+    from itertools import combinations_with_replacement
+
+    return [w for w in combinations_with_replacement(range(1, high), 6) if low <= sum(w) <= high and all(sum(w) % x == 0 for x in w) and np.gcd.reduce(w) == 1]
+
+
+@pytest.mark.parametrize("trust", [False, True])
+def test_sieve_finds_the_classes_of_the_catalogue(spark, trust):
+    from polycat.operators import sieve
+
+    r = random.Random(3)
+    some = [tuple(r.choice([1, 1, 2, 3, 4, 6]) for _ in range(6)) for _ in range(150)] + [(1, 1, 1, 1, 1, 1), (2, 2, 2, 2, 2, 2), (1, 1, 2, 2, 2, 4)] * 2
+    df = spark.createDataFrame([(list(w),) for w in some] + [(None,), ([1, 2],), ([0, 1, 1, 1, 1, 1],)], "ws array<bigint>")
+    got = {tuple(x.canonical): x for x in sieve.sieve(df, trust_local=trust).collect()}
+    like = lambda w: tuple(sorted(np.array(w) // np.gcd.reduce(w)))
+    forms = {}
+    for w in {like(w) for w in some}:
+        p, _ = classify.polytope_of([list(w)])
+        if p is not None:
+            forms[w] = str(normal_form(p).tolist())
+    assert set(got) == set(forms)
+    for w, x in got.items():
+        mates = [v for v in forms if forms[v] == forms[w]]
+        assert x.members == sum(like(v) == w for v in some)
+        assert x.class_systems == len(mates) and x.verdict == ("SAME" if len(mates) > 1 else "DIFFERENT")
+        assert x.class_id == min(" ".join(map(str, v)) for v in mates)
+    stages = {x.stage for x in got.values()}
+    assert stages <= {"S2", "S3", "S4", "S5", "S6"} and stages & {"S4", "S5"}
+    assert sieve.sieve(df.where("false")).count() == 0
+
+
+def test_signatures_are_of_the_polytope_and_simplices_are_told_by_their_circuit():
+    from polycat.kernel.canonical import scrambled
+    from polycat.kernel.polytope import hull
+    from polycat.operators.sieve import signature
+
+    rng = np.random.default_rng(1)
+    for w in [(1, 1, 1, 1, 1, 1), (1, 1, 1, 3, 4, 4), (1, 1, 1, 1, 1, 2)]:
+        p, points = classify.polytope_of([list(w)])
+        for _ in range(3):
+            assert signature(hull(scrambled(p.vertices, rng)), points) == signature(p, points)
+    # Vertices that generate the lattice: the dual of a projective space.
+    simplex = hull(np.concatenate([np.eye(5, dtype=np.int64), -np.ones((1, 5), np.int64)]))
+    assert signature(simplex, 7)[:2] == ("S3", True)
+
+
+def test_cascade_with_real_keys(spark, tmp_path):
+    from polycat.operators import fibres
+
+    part = spark.range(1, 400).select(F.col("id").alias("p_partkey"))
+    cat = catalogue.catalogue(weight_rows(part, F.col("p_partkey")))
+    rich = enrich.add_normal_forms(cat).withColumn("bh_mv", F.col("vertex_count")).withColumn("row_id", F.col("source_index")).cache()
+    free = ["bh_mv", "facet_count"]
+    rows = rich.collect()
+    keyed = {x.row_id: x for x in fibres.geometry_key(rich).collect()}
+    group = lambda x: (x.bh_mv, x.facet_count)
+    tested = [x for x in rows if sum(group(y) == group(x) for y in rows) > 1]
+    (report,) = fibres.completeness(rich, free).collect()
+    assert (report.n_rows, report.colliding, report.free_groups) == (len(rows), len(tested), len({group(x) for x in rows}))
+    assert report.distinct_keys == len({(*group(x), keyed[x.row_id].geometry_key) for x in rows})
+    assert report.nonreflexive_tested == sum(not keyed[x.row_id].reflexive for x in tested)
+    left = fibres.residual(rich, free)
+    full = lambda x: (*group(x), keyed[x.row_id].geometry_key)
+    stay = {x.row_id for x in rows if sum(full(y) == full(x) for y in rows) > 1}
+    assert {x.row_id for x in left.collect()} == stay
+    sinks.write_residual(left, fibres.completeness(rich, free), str(tmp_path / "r"), stratum=F.col("bh_mv"))
+    assert {x.row_id for x in spark.read.parquet(str(tmp_path / "r/rows")).collect()} == stay
+    assert spark.read.json(str(tmp_path / "r/summary")).first().n_rows == len(rows)
+    # Two copies of one polytope in a group: the same bytes, points and signs.
+    twice = rich.limit(3).unionByName(rich.limit(3)).withColumn("nf", F.lit(None).cast("array<bigint>"))
+    forms = catalogue.classified(weight_rows(part, F.col("p_partkey")), schema.WEIGHTS).where("ok").select("nf_key", "nf").dropDuplicates(["nf_key"])
+    twice = twice.drop("nf").join(forms, "nf_key")
+    assert all(x.same_bytes and x.same_points and not x.signs_differ for x in fibres.diagnostics(twice, ["nf_key"]).collect())
+    assert fibres.cheap_keys(rich, free).select("cheap_key").distinct().count() == len({full(x) for x in rows})
+
+
+def test_hot_groups_are_split(spark):
+    """A key with most of the rows: Spark splits its partition in the joins of a cascade."""
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df = spark.range(60000, numPartitions=8).select("id", F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") % 5000).alias("a"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        out = cascade.collisions(df, ["a"])
+        assert out.count() == 60000
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_search_by_adding_points(spark):
+    got = [tuple(r.weights) for r in generate.search(spark, 3).collect()]
+    assert sorted(got) == [(1, 1, 1), (1, 1, 2), (1, 2, 3)]
+    four = generate.search(spark, 4).collect()
+    assert len(four) == 95 and max(r.degree for r in four) == 66 and all(r.degree == sum(r.weights) for r in four)
+
+
+def test_algebra_on_columns(spark):
+    from polycat.operators import algebra
+
+    rows = [[[2, 1], [4, 6]], [[0, 0], [0, 0]], None]
+    df = spark.createDataFrame([(m,) for m in rows], "m array<array<bigint>>")
+    out = algebra.with_integer_kernel(algebra.with_smith_factors(algebra.with_determinant(df, "m"), "m"), "m").collect()
+    assert [(r.determinant, r.smith_factors, r.integer_kernel) for r in out] == [(8, [1, 8], []), (0, [], [[1, 0], [0, 1]]), (None, None, None)]
