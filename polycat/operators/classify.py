@@ -183,6 +183,20 @@ def with_hodge(df: DataFrame, *, nf: str = "nf") -> DataFrame:
     return source.mapInArrow(run, ", ".join([fields, "reflexive boolean", *(f"{k} bigint" for k in HODGE)]))
 
 
+def with_volume(df: DataFrame, *, nf: str = "nf") -> DataFrame:
+    """``df`` with ``volume``, in units of the smallest lattice simplex; null where ``nf`` is."""
+    source = df.drop("volume")
+    names = source.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [None if p is None else p.volume for p in polytopes_of(batch.column(names.index(nf)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names=[*names, "volume"])
+
+    return source.mapInArrow(run, f"{fields}, volume bigint")
+
+
 def dump(line: str) -> str:
     """A weight line ``degree w0 w1 ...`` as ``dim vertices entries...`` of its normal form, or ``FAIL``."""
     numbers = [int(x) for x in line.split()]
@@ -230,6 +244,7 @@ def digest_registry() -> dict[str, Callable[[bytes], bytes]]:
     return found
 
 
+# The names of the digests and of the fields of a golden record.
 def golden_record(weights: list[int]) -> dict:
     """The record that a regression file keeps of a weight system."""
     p, _ = polytope_of([weights])

@@ -29,11 +29,17 @@ def _query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    from polycat import queries_files, queries_geometry  # noqa: F401, they register theirs
+
+
 def queries() -> dict:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)
 
 
@@ -277,22 +283,6 @@ def positional_merge_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.positional_audit(left, right)
 
 
-@_query(
-    f"""
-WITH f AS (SELECT {LINE_KEY} AS row_id, l_orderkey % 16 AS file, row_number() OVER (PARTITION BY l_orderkey % 16 ORDER BY {LINE_KEY}, l_partkey, l_suppkey, l_extendedprice) - 1 AS row_index FROM lineitem)
-SELECT file, row_id, row_index FROM f WHERE file BETWEEN 3 AND 9 AND row_index < 25
-"""
-)
-def file_range_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 25 rows of each of the files 3 to 9 of 16: the file is a bucket of the key, the row its place in the bucket."""
-    from pyspark.sql.window import Window
-
-    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).alias("file"), F.expr(f"cast({LINE_KEY} as bigint)").alias("row_id"), "l_partkey", "l_suppkey", "l_extendedprice")
-    chosen = rows.where(F.col("file").between(3, 9))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("row_id", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return chosen.withColumn("row_index", (place - 1).cast("bigint")).where("row_index < 25").select("file", "row_id", "row_index")
-
-
 @_query(
     f"""
 WITH {PART_W}, r AS (SELECT key, list_sum(ws)::BIGINT AS degree, row_number() OVER (ORDER BY list_sum(ws), key) - 1 AS rank FROM w)
@@ -340,18 +330,23 @@ def fibre_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     f"""
-WITH {PART_W}, g AS (SELECT {SHOWN} AS canonical, list_sum(ws)::BIGINT AS degree, len(list_distinct(ws))::BIGINT AS n_distinct, count(*) AS members FROM w GROUP BY ALL),
-b AS (SELECT degree, n_distinct, count(*) AS classes, sum(members)::BIGINT AS members FROM g GROUP BY ALL)
-SELECT degree, n_distinct, classes, members, CASE WHEN classes = 1 THEN 'SAME' ELSE 'UNDECIDED' END AS verdict FROM b
+WITH {PART_W}, c AS (SELECT list_sort(ws) AS s, list_sum(ws)::BIGINT AS degree, count(*) AS members FROM w GROUP BY ALL),
+l AS (SELECT s, members, list_sort(list_distinct(s)) AS d, len(list_filter(s, lambda x: x = 1))::BIGINT AS n_ones,
+        list_bool_and(list_transform(s, lambda x: degree % x = 0)) AS gorenstein FROM c),
+v AS (SELECT *, len(d)::BIGINT AS n_distinct, array_to_string(list_reverse_sort(list_transform(d, lambda x: len(list_filter(s, lambda y: y = x)))), ' ') AS multiplicities FROM l)
+SELECT n_distinct, multiplicities, n_ones, gorenstein, count(*) AS systems, sum(members)::BIGINT AS members, count(*) FILTER (WHERE members > 1) AS same,
+       CASE WHEN count(*) = 1 THEN 'DIFFERENT' ELSE 'UNDECIDED' END AS verdict
+FROM v GROUP BY n_distinct, multiplicities, n_ones, gorenstein
 """
 )
 def sieve_s1_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Systems that are equal up to order are the same; what shares degree and distinct weights otherwise is undecided."""
-    ws = F.col("ws")
-    rows = _part_weights(spark, sf_dir).select(W.shown(W.canonical(ws)).alias("canonical"), W.total(ws).alias("degree"), W.distinct(ws).alias("n_distinct"))
-    classes = rows.groupBy("canonical", "degree", "n_distinct").agg(F.count("*").alias("members"))
-    out = classes.groupBy("degree", "n_distinct").agg(F.count("*").alias("classes"), F.sum("members").cast("bigint").alias("members"))
-    return out.withColumn("verdict", F.when(F.col("classes") == 1, "SAME").otherwise("UNDECIDED"))
+    """Systems that are equal up to order are the same (S1); one that is alone with its local numbers is different from all others (S2), if these are
+    the same for all systems of a polytope, as is claimed.  The degree isn't, and isn't used."""
+    w = F.col("canonical")
+    systems = _part_weights(spark, sf_dir).groupBy(W.canonical(F.col("ws")).alias("canonical")).agg(F.count("*").alias("members"))
+    local = systems.select("members", W.distinct(w).alias("n_distinct"), W.shown(W.multiplicities(w)).alias("multiplicities"), W.ones(w).alias("n_ones"), W.gorenstein(w).alias("gorenstein"))
+    out = local.groupBy("n_distinct", "multiplicities", "n_ones", "gorenstein").agg(F.count("*").alias("systems"), F.sum("members").cast("bigint").alias("members"), F.count_if(F.col("members") > 1).alias("same"))
+    return out.withColumn("verdict", F.when(F.col("systems") == 1, "DIFFERENT").otherwise("UNDECIDED"))
 
 
 @_query("SELECT p_partkey AS key, 44 + 4 * (p_partkey % 31) - 2 * (p_partkey % 17) + 4 * (p_partkey % 101) AS h22 FROM part")
@@ -378,13 +373,13 @@ def nf_catalogue_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def nf_catalogue_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue of a few systems in many rows, none merged before; a task runs the kernel once for each system that it remembers."""
-    return _shown_catalogue(K.catalogue(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey"), FEW), presort=False))
+    """The same catalogue with nothing merged before and nothing remembered: the kernel runs on every row."""
+    return _shown_catalogue(K.catalogue(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey")), presort=False, remember=False))
 
 
 @_query()
 def nf_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.accounting(K.classified(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey"), FEW), WEIGHTS))
+    return K.accounting(K.classified(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey")), WEIGHTS))
 
 
 @_query()
@@ -407,7 +402,7 @@ def fingerprint_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def gl_equiv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of distinct polytopes with as many vertices, facets and points, tested for isomorphism."""
-    forms = C.collisions(_forms(spark, sf_dir, FEW), ["vertex_count", "facet_count", "point_count"])
+    forms = C.collisions(_forms(spark, sf_dir, MANY), ["vertex_count", "facet_count", "point_count"])
     pairs = C.pairs_within(forms, ["vertex_count", "facet_count", "point_count"], "nf_key", ["nf"])
     return classify.isomorphic_pairs(pairs).select("nf_key_a", "nf_key_b", "verdict")
 
@@ -422,7 +417,7 @@ def nf_hodge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gl_equiv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pairwise tests say of each group of polytopes with as many vertices, facets and points."""
     key = ["vertex_count", "facet_count", "point_count"]
-    pairs = C.pairs_within(C.collisions(_forms(spark, sf_dir, FEW), key), key, "nf_key", ["nf"])
+    pairs = C.pairs_within(C.collisions(_forms(spark, sf_dir, MANY), key), key, "nf_key", ["nf"])
     return C.pair_verdicts(classify.isomorphic_pairs(pairs), key)
 
 
