@@ -15,6 +15,9 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step works on (one longer text is a step of its own).
 STEP_BYTES = 2 << 20
 
+#: Bytes from which on one text is worked on in pieces, so that memory doesn't follow its length.
+LONG_BYTES = 4 << 20
+
 #: ASCII white space as the contracts define it: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,6 +54,35 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def valid(column: pa.Array) -> pa.Array:
+    """A string column whose bytes that aren't UTF-8 are replaced by U+FFFD, as lenient reading does."""
+    try:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.large_binary()).to_pylist()], column.type)
+
+
+def pieces(data: np.ndarray, separators: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``limit`` that cover one text and end before a separator, so that no word is cut; a longer word is in one of them."""
+    at, n, limit = 0, len(data), limit or LONG_BYTES
+    while at < n:
+        end = min(at + limit, n)
+        while end < n:
+            hit = separators[data[end : end + (1 << 16)]]
+            if hit.any():
+                end += int(hit.argmax())
+                break
+            end = min(end + len(hit), n)
+        yield at, end
+        at = end
+
+
+def is_long(offsets: np.ndarray) -> bool:
+    """Whether a step is one text that is worked on in pieces."""
+    return len(offsets) == 2 and offsets[1] > LONG_BYTES
+
+
 def steps(offsets: np.ndarray, limit: int = STEP_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes (or one row) and ``rows`` rows each."""
     n, at = len(offsets) - 1, 0
@@ -67,6 +99,13 @@ def sliced(data: np.ndarray, offsets: np.ndarray, at: int, to: int) -> tuple[np.
     return data[off[0] : off[-1]], off - off[0]
 
 
+def word_hashes(data: np.ndarray, separators: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the lower-cased words of one long text, piece by piece."""
+    for a, b in pieces(data, separators):
+        piece = LOWER[data[a:b]]
+        yield Words(piece, np.array([0, b - a]), separators).hashes(piece)
+
+
 #: Separators where punctuation shouldn't stick to words: every ASCII byte but letters and digits.
 MARKS = np.zeros(256, dtype=bool)
 MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polycat.llm.arrays import SPACE, sliced, steps, text_bytes
+from polycat.llm.arrays import LONG_BYTES, SPACE, is_long, sliced, steps, text_bytes
+from polycat.llm.filters import bit_filter, passes
 from polycat.llm.shared import Workspace
 
 MODULUS = (1 << 31) - 1
@@ -87,58 +88,91 @@ def _packed(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (prints[:, 0] << 31) | prints[:, 1], (prints[:, 2] << 31) | prints[:, 3]
 
 
-def _digests(points: tuple, modulus: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
-            for a, b in steps(offsets):
-                text, off = collapsed(*sliced(data, offsets, a, b))
-                one, two = _packed(fingerprints(text, off, points, modulus))
-                raw = memoryview(text.tobytes())
-                sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(one), pa.array(two), pa.array(np.diff(off)), pa.array(sha, pa.string())], names=["row", "id", "f1", "f2", "n", "sha"])
+def collapsed_parts(data: np.ndarray) -> Iterator[np.ndarray]:
+    """One long text, collapsed, a part at a time."""
+    space = False
+    for a in range(0, len(data), LONG_BYTES):
+        part = data[a : a + LONG_BYTES]
+        text, _ = collapsed(part, np.array([0, len(part)]))
+        yield text[1:] if space and text[0] == 0x20 else text
+        space = bool(SPACE[part[-1]])
 
-    return run
 
+def long_fingerprint(data: np.ndarray, points: tuple, modulus: int) -> tuple[np.ndarray, int, str]:
+    """Hashes, length and SHA-256 of one long text: its parts' hashes combined."""
+    whole, n, sha = [0] * len(points), 0, hashlib.sha256()
+    for text in collapsed_parts(data):
+        part = fingerprints(text, np.array([0, len(text)]), points, modulus)[0].tolist()
+        whole = [combine(h, n, x, p, modulus) for h, x, p in zip(whole, part, points, strict=True)]
+        n += len(text)
+        sha.update(text)
+    return np.array([whole], np.uint64), n, sha.hexdigest()
 
-#: Bits of the filter of repeated fingerprints; 2 MB, whatever the input.
-FILTER_BITS = 1 << 24
 
+def hashed(data: np.ndarray, offsets: np.ndarray, points: tuple, modulus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str] | None, tuple | None]:
+    """Packed hashes and lengths of the texts of a step; their digests where it is one long text, else the collapsed texts."""
+    if is_long(offsets):
+        prints, n, sha = long_fingerprint(data, points, modulus)
+        return *_packed(prints), np.array([n]), [sha], None
+    text, off = collapsed(data, offsets)
+    return *_packed(fingerprints(text, off, points, modulus)), np.diff(off), None, (text, off)
 
-def _repeated_filter(groups: DataFrame) -> np.ndarray:
-    """A Bloom filter of the fingerprints of ``groups`` as 64-bit words; executors join its parts."""
-    bits = groups.select(F.explode(F.array(*(F.col(c).bitwiseAND(FILTER_BITS - 1) for c in ("f1", "f2")))).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("set").to_numpy().view(np.uint64)
-    return out
 
+def _digests(points: tuple, modulus: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(2))
+            for a, b in steps(offsets):
+                one, two, n, sha, texts = hashed(*sliced(data, offsets, a, b), points, modulus)
+                if sha is None:
+                    raw, off = memoryview(texts[0]), texts[1]
+                    sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(one), pa.array(two), pa.array(n), pa.array(sha, pa.string())], names=["row", "id", "f1", "f2", "n", "sha"])
 
-def _in_filter(words: np.ndarray, values: np.ndarray) -> np.ndarray:
-    bit = values & (FILTER_BITS - 1)
-    return (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return run
 
 
 def _chunks(points: tuple, modulus: int, sent):
     """The chunks of each text whose fingerprint may be repeated; none that is gets lost."""
     names = ["id", "f1", "f2", "n", "sha", "part", "chunk"]
 
+    def long_chunks(who: pa.Array, one: np.ndarray, two: np.ndarray, n: np.ndarray, sha: list[str], data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part, rest = 0, np.zeros(0, np.uint8)
+
+        def table(text: np.ndarray) -> pa.RecordBatch:
+            some = [text[x : x + COMPARED].tobytes() for x in range(0, len(text), COMPARED)]
+            same = np.zeros(len(some), np.int64)
+            arrays = [who.take(pa.array(same)), *(pa.array(v[same]) for v in (one, two, n)), pa.array(sha * len(some), pa.string()), pa.array(np.arange(part, part + len(some), dtype=np.int32)), pa.array(some, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
+
+        for text in collapsed_parts(data):
+            rest = np.concatenate([rest, text])
+            whole = len(rest) - len(rest) % COMPARED
+            if whole:
+                yield table(rest[:whole])
+                part, rest = part + whole // COMPARED, rest[whole:]
+        if len(rest):
+            yield table(rest)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for a, b in steps(offsets):
-                text, off = collapsed(*sliced(data, offsets, a, b))
-                one, two = _packed(fingerprints(text, off, points, modulus))
-                raw = text.tobytes()
+                one, two, n, long, texts = hashed(*sliced(data, offsets, a, b), points, modulus)
+                some = np.flatnonzero(passes(sent.value, one, two))
+                if long is not None:
+                    if len(some):
+                        yield from long_chunks(batch.column(0)[a:b], one, two, n, long, data[offsets[a] : offsets[b]])
+                    continue
+                raw, off = memoryview(texts[0]), texts[1]
                 who, sha, part, chunk = [], [], [], []
-                for k in np.flatnonzero(_in_filter(sent.value, one) & _in_filter(sent.value, two)).tolist():
+                for k in some.tolist():
                     begin, end = int(off[k]), int(off[k + 1])
                     whole = hashlib.sha256(raw[begin:end]).hexdigest()
                     for p, x in enumerate(range(begin, max(end, begin + 1), COMPARED)):
-                        who.append(k), sha.append(whole), part.append(p), chunk.append(raw[x : min(x + COMPARED, end)])
+                        who.append(k), sha.append(whole), part.append(p), chunk.append(bytes(raw[x : min(x + COMPARED, end)]))
                 some = np.array(who, np.int64)
-                columns = [batch.column(0)[a:b].take(pa.array(some)), pa.array(one[some]), pa.array(two[some]), pa.array(np.diff(off)[some])]
+                columns = [batch.column(0)[a:b].take(pa.array(some)), pa.array(one[some]), pa.array(two[some]), pa.array(n[some])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sha, pa.string()), pa.array(part, pa.int32()), pa.array(chunk, pa.binary())], names=names)
 
     return run
@@ -167,7 +201,8 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     of white space replaced by a space).  A null text counts as empty, and all
     empty texts are equal.  Exactly one row of each group is kept, also where
     rows repeat: of rows with the smallest id, one of them; a null id comes after
-    all others.  Other columns of ``docs`` are not read.
+    all others.  Other columns of ``docs`` are not read.  A long text is hashed and
+    compared in parts; a worker holds it once or twice beside them.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "exact")
@@ -176,7 +211,7 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
     digests = work.save(numbered.mapInArrow(_digests(points, modulus), f"row bigint, id {kind}, f1 bigint, f2 bigint, n bigint, sha string"), "digests")
     groups = work.save(digests.groupBy(*KEY).agg(F.count("*").alias("size"), _first()).where("size > 1"), "groups")
-    sent = spark.sparkContext.broadcast(_repeated_filter(groups))
+    sent = spark.sparkContext.broadcast(bit_filter(groups.select(F.col("f1").alias("a"), F.col("f2").alias("b")), groups.count()))
     chunks = work.save(source.mapInArrow(_chunks(points, modulus, sent), f"id {kind}, f1 bigint, f2 bigint, n bigint, sha string, part int, chunk binary"), "chunks")
     rounds, key = [], list(KEY)
     differ = work.save(_differing(chunks, groups), "differ0")
@@ -194,6 +229,8 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
         key.append("level")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     # Written first, so that the join is one of two shuffles, of which Spark can split a hot group's.
+    digests = work.save(digests, "levels") if rounds else digests
     groups = work.save(digests.groupBy(*key).agg(F.count("*").alias("group_size"), best.alias("best")), "best")
+    work.keep("levels" if rounds else "digests", "best")
     found = digests.join(groups, key)
     return found.select(F.col("id").alias(doc_id), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))

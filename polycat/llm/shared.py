@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from polycat.storage import Workspace, shared_dir
+from polycat.operators.sampling import ranked
+from polycat.storage import Scope, Workspace, shared_dir
 
-__all__ = ["Workspace", "fold", "partitions", "shared_dir"]
+__all__ = ["NO_ID", "Scope", "Workspace", "fold", "id_key", "numbered", "partitions", "shared_dir"]
 
 
 def fold(doc_id: str, parts: int):
@@ -18,3 +20,22 @@ def fold(doc_id: str, parts: int):
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Stands for a null id where ids are integers.
+NO_ID = -(1 << 63)
+
+
+def id_key(df: DataFrame, name: str) -> Column:
+    """A column that is equal for equal ids of any simple type, and never null: a null id has the least integer's, or the empty text's, key."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return F.coalesce(F.col(name).cast("bigint"), F.lit(NO_ID))
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame | None:
+    """(``name``, ``number``) of the distinct ids, numbered in their order; None where ids are integers and need no numbers."""
+    if isinstance(df.schema[name].dataType, T.IntegralType):
+        return None
+    ids = df.select(name).where(F.col(name).isNotNull()).distinct()
+    return ranked(ids, [name], name="number")
