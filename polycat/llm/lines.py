@@ -21,11 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polycat.llm.arrays import LOWER, SPACE, sliced, steps, text_bytes
-from polycat.llm.shared import Workspace, partitions
-
-NO_ID = -(1 << 63)  # stands for a null id: one document, smaller than all others
-
+from polycat.llm.arrays import LONG_BYTES, LOWER, SPACE, STEP_BYTES, is_long, pieces, sliced, steps, text_bytes
+from polycat.llm.shared import NO_ID, Workspace, id_key, numbered, partitions
 
 def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Row, position in the text and 128-bit hash of each line whose key has ``least`` code points or more."""
@@ -55,12 +52,51 @@ def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
     return row[some], position[some], digest
 
 
+NEW_LINE = np.zeros(256, dtype=bool)
+NEW_LINE[0x0A] = True
+
+
+def long_line_key(data: np.ndarray, least: int) -> bytes | None:
+    """The hash of the key of one long line, or None where the key is too short; nothing of its length is made but the line itself."""
+    edges = []
+    for forward in (data, data[::-1]):
+        at = 0
+        while at < len(data) and SPACE[forward[at : at + STEP_BYTES]].all():
+            at += STEP_BYTES
+        edges.append(min(at + int((~SPACE[forward[at : at + STEP_BYTES]]).argmax()), len(data)) if at < len(data) else len(data))
+    data = data[edges[0] : len(data) - edges[1]] if edges[0] < len(data) else data[:0]
+    points, digest = 0, hashlib.blake2b(digest_size=16)
+    for a in range(0, len(data), STEP_BYTES):
+        part = data[a : a + STEP_BYTES]
+        points += int(((part & 0xC0) != 0x80).sum())
+        digest.update(LOWER[part])
+    return digest.digest() if points >= least and len(data) else None
+
+
+def long_text_keys(data: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """The same as ``line_keys`` of one long text, piece by piece; a piece ends with its last line."""
+    before = 0
+    for a, b in pieces(data, NEW_LINE):
+        # Pieces end before a line break, which begins the next one.
+        piece = data[a + (a > 0) : b]
+        if len(piece) > 2 * LONG_BYTES:
+            breaks = np.flatnonzero(piece == 0x0A)
+            begin, end = np.append(0, breaks + 1), np.append(breaks, len(piece))
+            keys = [(k, long_line_key(piece[x:y], least)) for k, (x, y) in enumerate(zip(begin.tolist(), end.tolist(), strict=True))]
+            position, digest = [k for k, d in keys if d is not None], [d for _, d in keys if d is not None]
+            yield np.zeros(len(position), np.int64), np.array(position, np.int64) + before, digest
+            before += len(begin)
+            continue
+        row, position, digest = line_keys(piece, np.array([0, len(piece)]), least)
+        yield row, position + before, digest
+        before += int((piece == 0x0A).sum()) + 1
+
+
 def _occurrences(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for a, b in steps(offsets):
-                row, position, digest = line_keys(*sliced(data, offsets, a, b), least)
+            for a, b, row, position, digest in _line_steps(data, offsets, least):
                 h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 at = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(position.astype(np.int32))], names=["h1", "h2", "doc", "tid", "pos"])
@@ -68,6 +104,13 @@ def _occurrences(least: int):
     return run
 
 
+def _line_steps(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tuple]:
+    for a, b in steps(offsets):
+        text, off = sliced(data, offsets, a, b)
+        for found in long_text_keys(text, least) if is_long(off) else [line_keys(text, off, least)]:
+            yield a, b, *found
+
+
 DROP, WAIT, EDGE = 0, 1, 2
 FOUND = "kind tinyint, h1 bigint, h2 bigint, doc bigint, tid bigint, pos int, docs bigint"
 
@@ -151,13 +194,19 @@ def shared_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ``n_lines``, ``n_dropped`` and ``keep``, a zlib-compressed bitmap with a bit for
     each line, first line first, or null if all lines stay.  A null or empty text
     is one empty line.  Rows with one id are one document when copies are
-    counted; a null id counts as one document smaller than all others.  Other
-    columns of ``docs`` are not read.
+    counted; a null id counts as one document smaller than all others.  Ids that
+    aren't integers are ordered as Spark orders them.  Other columns of ``docs`` are
+    not read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
     kind = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), _text_key(text).alias("tid"), F.col(text).alias("text"))
+    numbers = numbered(docs, doc_id)
+    if numbers is None:
+        source = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"), _text_key(text).alias("tid"), F.col(text).alias("text"))
+    else:
+        numbers = work.save(numbers.select(F.col(doc_id).alias("_name"), F.col("number").cast("bigint").alias("_number")), "numbers")
+        source = docs.select(F.col(doc_id).alias("_name"), F.col(text).alias("text")).join(numbers, "_name", "left").select(F.coalesce("_number", F.lit(NO_ID)).alias("doc"), _text_key("text").alias("tid"), "text")
     seen = work.save(source.mapInArrow(_occurrences(least), "h1 bigint, h2 bigint, doc bigint, tid bigint, pos int"), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
     dealt = seen.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, "tid", "pos")
@@ -171,7 +220,12 @@ def shared_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     lines = F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1
     each = source.select("doc", "tid", lines.cast("bigint").alias("n_lines")).groupBy("doc", "tid").agg(F.first("n_lines").alias("n_lines"))
     marked = each.join(gone, ["doc", "tid"], "left").select("doc", "tid", "n_lines", F.coalesce(F.size("gone").cast("bigint"), F.lit(0).cast("bigint")).alias("n_dropped"), "gone")
-    return marked.mapInArrow(_bitmaps, "doc bigint, tid bigint, n_lines bigint, n_dropped bigint, keep binary").select(F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind).alias(doc_id), F.col("tid").alias("text_key"), "n_lines", "n_dropped", "keep")
+    out = marked.mapInArrow(_bitmaps, "doc bigint, tid bigint, n_lines bigint, n_dropped bigint, keep binary")
+    if numbers is None:
+        out = out.withColumn("_name", F.when(F.col("doc") != NO_ID, F.col("doc")).cast(kind))
+    else:
+        out = out.join(numbers.withColumnRenamed("_number", "doc"), "doc", "left")
+    return out.select(F.col("_name").alias(doc_id), F.col("tid").alias("text_key"), "n_lines", "n_dropped", "keep")
 
 
 def _text_key(text: str):
@@ -191,35 +245,41 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(keep, pa.binary())], names=["doc", "tid", "n_lines", "n_dropped", "keep"])
 
 
-def kept_text(value: str | None, n_lines: int, keep: bytes | None) -> str | None:
-    """A text without the lines that its bitmap drops."""
-    if keep is None:
-        return value
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n_lines)
-    return "\n".join(line for line, bit in zip(value.split("\n"), bits, strict=True) if bit)
+def kept_text(data: np.ndarray, keep: bytes) -> bytes:
+    """The bytes of a text without the lines that its bitmap drops; runs of lines that stay are copied whole."""
+    cut = np.flatnonzero(data == 0x0A)
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(cut) + 1)
+    begin, end = np.append(0, cut + 1), np.append(cut, len(data))
+    edge = np.diff(np.concatenate([[0], bits, [0]]).astype(np.int8))
+    raw = memoryview(np.ascontiguousarray(data))
+    return b"\n".join(raw[begin[x] : end[y - 1]] for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the texts that the bitmaps leave, all rows and columns; counts as ``_n_lines`` and ``_n_dropped``.
 
-    Columns of these two names are replaced.
+    Only bitmaps that drop lines are joined; all other rows stay as they are, also
+    such that the bitmaps don't know.  Columns of the two names are replaced.
     """
     docs = docs.drop("_n_lines", "_n_dropped")
     others = [c for c in docs.columns if c != text]
-    marks = bitmaps.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"), "n_lines", "n_dropped", "keep")
+    marks = bitmaps.where(F.col("keep").isNotNull()).select(id_key(bitmaps, doc_id).alias("_id"), F.col("text_key").alias("_key"), "n_dropped", "keep")
+    marks = Workspace(docs.sparkSession, "lines").save(marks, "bitmaps")  # a hot text's rows can be split
+    lines = F.coalesce(F.length("_text") - F.length(F.translate("_text", "\n", "")), F.lit(0)) + 1
     # The table's own columns travel as one, so that no name of theirs meets one of these.
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_kept"), F.col(text).alias("_text"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("_id"), _text_key(text).alias("_key"))
-    joined = own.join(marks, ["_id", "_key"]).select("_kept", "_text", "n_lines", "n_dropped", "keep")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_kept"), F.col(text).alias("_text"), id_key(docs, doc_id).alias("_id"), _text_key(text).alias("_key"))
+    joined = own.join(marks, ["_id", "_key"], "left").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest, texts, lines, dropped, keep = batch.columns
             some = np.flatnonzero(~keep.is_null().to_numpy(zero_copy_only=False))
             if len(some):
-                each = zip(*(c.take(pa.array(some)).to_pylist() for c in (texts, lines, keep)), strict=True)
+                data, offsets = text_bytes(texts)
                 mask = np.zeros(len(texts), bool)
                 mask[some] = True
-                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([kept_text(*x) for x in each], texts.type))
+                left = [kept_text(data[offsets[k] : offsets[k + 1]], keep[k].as_py()) for k in some.tolist()]
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(left, pa.binary()).view(pa.string()).cast(texts.type))
             yield pa.RecordBatch.from_arrays([rest, texts, lines, dropped], names=["_kept", "_text", "n_lines", "n_dropped"])
 
     out = joined.mapInArrow(run, joined.drop("keep").schema)
