@@ -3,10 +3,12 @@
 A document is the set of its distinct word shingles.  Documents with one set are
 one class and go on as one.  Universal hashes give each class its minima; classes
 that share all minima of a band are candidates.  In a bucket only links to a
-centre are tried at first; then, round by round, centres of the parts that are
-still apart, so that a bucket of n documents that hang together costs n links,
-not n^2.  A candidate's link holds if the full sets overlap enough.  Components
-come from alternating large-star and small-star steps.
+centre are tried at first, so that a bucket of n documents that hang together
+costs n links, not n^2.  Members of buckets that are then still apart are looked
+at by their rarest shingles: two sets that overlap enough share one among the
+first few of each in any fixed order, so sets that share none are never compared.
+A candidate's link holds if the full sets overlap enough.  Components come from
+alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -20,13 +22,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polycat.llm.arrays import LOWER, Words, mix, sliced, steps, text_bytes
+from polycat.llm.arrays import LOWER, SPACE, Words, is_long, mix, sliced, steps, text_bytes, word_hashes
 from polycat.llm.filters import passes, row_filter
-from polycat.llm.shared import Workspace
+from polycat.llm.shared import Workspace, id_key
+
+
+def _long_shingles(data: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text, piece by piece."""
+    factors = mix(np.arange(width, dtype=np.uint64), 3) | np.uint64(1)
+    found, before, words = np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+    for h in word_hashes(data, SPACE):
+        run = np.concatenate([before, h])
+        words += len(h)
+        n = len(run) - width + 1
+        if n > 0:
+            value = np.full(n, width, np.uint64)
+            for k in range(width):
+                value += run[k : k + n] * factors[k]
+            found = np.union1d(found, mix(value))
+        before = run[-(width - 1) :] if width > 1 else run[:0]
+    if 0 < words < width:
+        found = mix(np.array([words + sum(int(x) * int(f) for x, f in zip(before, factors, strict=False)) & 0xFFFFFFFFFFFFFFFF], np.uint64))
+    return found
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text, and their offsets by text."""
+    if is_long(offsets):
+        found = _long_shingles(data, width)
+        return found, np.array([0, len(found)])
     data = LOWER[data]
     words = Words(data, offsets)
     h = words.hashes(data)
@@ -46,6 +70,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
 
 
+#: Numbers of one large set that are worked on at once.
+MOST_VALUES = 1 << 20
+
+
 @lru_cache
 def hash_family(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers (odd) and summands of n universal hashes of 64-bit integers."""
@@ -63,7 +91,11 @@ def minima(values: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     a, b = hash_family(n)
     begin = first[:-1][some]
     for k in range(n):
-        out[some, k] = np.minimum.reduceat(values * a[k] + b[k], begin) >> np.uint64(32)
+        if len(values) > MOST_VALUES and len(some) == 1:  # one large set, some of it at a time
+            least = min(int((values[x : x + MOST_VALUES] * a[k] + b[k]).min()) for x in range(0, len(values), MOST_VALUES))
+            out[some, k] = least >> 32
+        else:
+            out[some, k] = np.minimum.reduceat(values * a[k] + b[k], begin) >> np.uint64(32)
     return out
 
 
@@ -82,7 +114,10 @@ def _digest(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     """128 bits that depend on the set alone; null for the empty set."""
     out: list[bytes | None] = [None] * (len(first) - 1)
     some = np.flatnonzero(np.diff(first))
-    if len(some):
+    if len(values) > MOST_VALUES and len(some) == 1:
+        both = [sum(int(mix(values[x : x + MOST_VALUES], s).sum(dtype=np.uint64)) for x in range(0, len(values), MOST_VALUES)) & 0xFFFFFFFFFFFFFFFF for s in (1, 2)]
+        out[int(some[0])] = np.array(both, ">u8").tobytes()
+    elif len(some):
         both = np.stack([np.add.reduceat(mix(values, s), first[:-1][some]) for s in (1, 2)], 1).astype(">u8")
         for k, row in zip(some.tolist(), both, strict=True):
             out[k] = row.tobytes()
@@ -127,21 +162,23 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label) of all nodes that have links, by alternating large-star and small-star.
 
     ``links`` has columns a and b.  Each step is written to the shared folder.  A
-    node's neighbours are never gathered: a step is an aggregate and a join, which
-    Spark can split where one node has most of the links.
+    node's neighbours are never gathered: a step is two aggregates, each joined to what
+    it was counted from.  Where there are many links the aggregates are written first,
+    since Spark then can split a node that has most of them.
     """
     edges = work.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    state, step = None, 0
+    state, step = (edges.count(), None), 0
     while True:
         step += 1
+        written = (lambda df, what: work.save(df, f"{name}-{step}-{what}")) if state[0] > MANY_LINKS else lambda df, what: df  # noqa: B023
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = work.save(small, f"{name}-{step}")
-        if step > 1:
-            work.drop(f"{name}-{step - 1}")
+        for old in [n for n in work.names if n.startswith(f"{name}-") and n != f"{name}-{step}"]:
+            work.drop(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break
@@ -151,6 +188,10 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
 
 
 BLOCK, BLOCK_VALUES = 256, 1 << 18
+#: Links from which on a step's aggregates are written; what comes out is the same.
+MANY_LINKS = 1 << 20
+#: Buckets of the counts that order shingles by how rare they are (8 MB on the driver, whatever the input).
+COUNT_BITS = 20
 
 
 def _block_links(percent: int):
@@ -167,6 +208,57 @@ def _block_links(percent: int):
     return run
 
 
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << COUNT_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_bucket(batch.column(0).flatten().to_numpy()), minlength=len(total))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+def _rarest(percent: int, sent):
+    """The first shingles of each set, rarest first: so many that a set which overlaps enough has one of them among its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(2)
+            values, n = sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, sent.value[_bucket(values)], owner))
+            # A set that is linked shares percent / 100 of this one's shingles at least, and so misses the others at most.
+            take = n - -(-percent * n // 100) + 1
+            place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            first = place < np.repeat(take, n)
+            at = pa.array(owner[order][first])
+            yield pa.RecordBatch.from_arrays([pa.array(values[order][first]), batch.column(0).take(at), batch.column(1).take(at)], names=["bucket", "node", "label"])
+
+    return run
+
+
+def _still_apart(buckets: DataFrame, star: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """(bucket, node, label) of nodes of different parts that share a rare shingle, the shingle being the bucket.
+
+    Only nodes of MinHash buckets that have several parts are looked at.  Tables that
+    are joined back to what they were counted from are written first: Spark can
+    then split hot keys.
+    """
+    placed = work.save(buckets.join(star, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed-buckets")
+    apart = work.save(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "buckets-apart")
+    nodes = placed.join(apart, "bucket", "left_semi").groupBy("node").agg(F.first("label").alias("label"))
+    mine = work.save(nodes.join(sets, "node").select("node", "label", "set"), "sets-apart")
+    got = mine.select("set").mapInArrow(_counted, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    sent = mine.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+    rare = work.save(mine.mapInArrow(_rarest(percent, sent), "bucket bigint, node binary, label binary"), "rare")
+    shared = work.save(rare.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "rare-shared")
+    return work.save(rare.join(shared, "bucket", "left_semi"), "apart")
+
+
 def overlaps(one: pa.Array, two: pa.Array) -> np.ndarray:
     """Sizes of the intersections of each set of one list with each of another."""
     values = [x.flatten().to_numpy() for x in (one, two)]
@@ -240,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = signed.where("node is not null").select("node", "bands", "id", "n").dropDuplicates(["node"])
     classes = work.save(classes, "classes")
     spread = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1")
+    shared = work.save(spread.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("centre")).where("members > 1"), "shared")
     buckets = work.save(spread.join(shared.select("bucket", "centre"), "bucket"), "buckets")
     wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "id", "n")
     sent = spark.sparkContext.broadcast(row_filter(wanted))
@@ -253,12 +345,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     common = F.size(F.array_intersect("x", "y")).cast("bigint")
     links = both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
     star = components(links, work, "star")
-    # Then buckets in which parts are still apart, in blocks.
-    placed = buckets.join(star, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    # Tables that are joined back to what they were counted from are written first: Spark can then split hot keys.
-    apart = work.save(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "buckets-apart")
-    placed = work.save(placed.join(apart, "bucket"), "apart")
-    links = _across(placed, sets, work, percent)
+    # Then what is still apart, in blocks.
+    links = _across(_still_apart(buckets, star, sets, work, percent), sets, work, percent)
     links = links.join(star.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(star.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
     last = components(links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), work, "last")
     labels = star.unionByName(last.join(star.select("node"), "node", "left_anti").select("node", F.col("node").alias("label")))
@@ -267,6 +355,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     placed = work.save(placed, "placed")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     groups = work.save(placed.where("label is not null").groupBy("label").agg(best), "best")
+    work.keep("placed", "best")
     out = placed.join(groups, "label", "left")
     own = F.col("label").isNull()
     return out.select(
@@ -285,7 +374,7 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     stay as were kept.
     """
     found = near_duplicates(docs.select(doc_id, text), doc_id=doc_id, text=text, with_text_key=True, **limits)
-    key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(1 << 63)))
+    key = id_key(docs, doc_id)
     kept = found.where("kept").select(key.alias("_id"), F.col("text_key").alias("_key")).groupBy("_id", "_key").agg(F.count("*").alias("_copies"))
     # The table's own columns travel as one, so that no name of theirs meets one of these.
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_kept"), key.alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
@@ -301,10 +390,12 @@ def _across(placed: DataFrame, sets: DataFrame, work: Workspace, percent: int) -
     own, which aren't compared with each other.
     """
     sized = placed.join(sets.select("node", F.size("set").alias("values")), "node")
-    parts = sized.groupBy("bucket", "label").agg(F.count("*").alias("members"))
+    sized = work.save(sized, "sized")
+    parts = work.save(sized.groupBy("bucket", "label").agg(F.count("*").alias("members")), "parts")
     sized = sized.join(parts, ["bucket", "label"]).withColumn("own", F.when(F.col("members") > BLOCK, F.col("label")))
     total = sized.groupBy("bucket", "own").agg(F.count("*").alias("members"), F.sum("values").alias("values"))
     total = total.select("bucket", "own", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).alias("blocks"))
+    total = work.save(total, "total")
     put = sized.drop("members").join(total, (sized["bucket"] == total["bucket"]) & sized["own"].eqNullSafe(total["own"])).drop(total["bucket"]).drop(total["own"])
     put = put.select("node", "label", F.struct("bucket", "own", F.pmod(F.xxhash64("node", "bucket"), "blocks").alias("number")).alias("block"))
     put = work.save(put, "put")
