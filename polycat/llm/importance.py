@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polycat.llm.arrays import LOWER, MARKS, Words, mix, sliced, steps, text_bytes
+from polycat.llm.arrays import LOWER, MARKS, Words, is_long, mix, sliced, steps, text_bytes, word_hashes
 from polycat.llm.filters import passes, row_filter
 from polycat.llm.shared import Workspace
+from polycat.operators.sampling import ranked
 
 BUCKETS_BITS = 14
 
@@ -34,12 +35,27 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, (np.concatenate([h, pair]) >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)
 
 
+def gram_steps(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same; of one long text in pieces, each with the pair that it begins with."""
+    if not is_long(offsets):
+        yield grams(data, offsets)
+        return
+    before = np.zeros(0, np.uint64)
+    for h in word_hashes(data, MARKS):
+        run = np.concatenate([before, h])
+        pair = mix(run[:-1] * np.uint64(0x9E3779B97F4A7C15) + run[1:], 5)
+        bucket = (np.concatenate([h, pair]) >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)
+        yield np.zeros(len(bucket), np.int64), bucket
+        before = run[-1:]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BUCKETS_BITS, np.int64)
     for batch in batches:
         data, offsets = text_bytes(batch.column(0))
         for a, b in steps(offsets):
-            total += np.bincount(grams(*sliced(data, offsets, a, b))[1], minlength=len(total))
+            for _, bucket in gram_steps(*sliced(data, offsets, a, b)):
+                    total += np.bincount(bucket, minlength=len(total))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["bucket", "n"])
 
 
@@ -62,8 +78,8 @@ def resample(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
     ``targets``: ids (``doc_id``) of the documents that the target model is counted
     on, all of them and whole.  Returns the id, ``log_weight``, ``gumbel_key`` (the weight
     plus noise from a hash of the id and ``seed``) and ``kept``: the round(share *
-    rows) largest keys.  Equal keys (repeats of one id and text) share their
-    fate.  A null or empty text has log weight 0.
+    rows) largest keys, and no more: of equal ones (repeats of one id and text)
+    as many as are wanted.  A null or empty text has log weight 0.
     Without any target all weights are what the smoothing gives.  Other columns
     of ``docs`` are not read.
     """
@@ -87,8 +103,7 @@ def resample(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for a, b in steps(offsets):
-                row, bucket = grams(*sliced(data, offsets, a, b))
-                weight = np.bincount(row, ratio.value[bucket], b - a)
+                weight = sum(np.bincount(row, ratio.value[bucket], b - a) for row, bucket in gram_steps(*sliced(data, offsets, a, b)))
                 u = (mix(batch.column(1)[a:b].to_numpy().astype(np.uint64)) >> np.uint64(11)).astype(np.float64) + 0.5
                 key = weight - np.log(-np.log(u / float(1 << 53)))
                 bits = key.view(np.int64)
@@ -98,22 +113,30 @@ def resample(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
     scored = work.save(source.select("id", "draw", "text").mapInArrow(weigh, f"id {kind}, weight double, key double, rank bigint"), "scored")
     rows = scored.count()
     take = round(share * rows)
-    least = kth_largest(scored, take)
+    least, wanted_of, equal = kth_largest(scored, take)
     keep = F.lit(False) if least is None else F.col("rank") >= least
-    return scored.select(F.col("id").alias(doc_id), F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"), keep.alias("kept"))
-
-
-def kth_largest(scored: DataFrame, k: int) -> int | None:
-    """The k-th largest ``rank``, exactly, by four counts over 16 bits each; None for k = 0."""
+    if wanted_of < equal:
+        # Of those that tie for the last place: numbered over all partitions, as many as are wanted.
+        tied = ranked(scored.where(F.col("rank") == least).withColumn("at", F.monotonically_increasing_id()), ["at"], name="place")
+        tied = tied.select("id", "weight", "key", (F.col("place") < wanted_of).alias("kept"))
+        others = scored.where(F.col("rank") != least).select("id", "weight", "key", (F.col("rank") > least).alias("kept"))
+        out = others.unionByName(tied)
+    else:
+        out = scored.select("id", "weight", "key", keep.alias("kept"))
+    return out.select(F.col("id").alias(doc_id), F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"), "kept")
+
+
+def kth_largest(scored: DataFrame, k: int) -> tuple[int | None, int, int]:
+    """The k-th largest ``rank``, exactly, by four counts over 16 bits each (None for k = 0); how many of its rows belong to the k largest, and how many there are."""
     if k <= 0:
-        return None
-    high, left = None, k
+        return None, 0, 0
+    high, left, equal = None, k, 0
     for shift in (48, 32, 16, 0):
         some = scored if high is None else scored.where(F.shiftright("rank", shift + 16) == high)
         counts = some.groupBy(F.shiftright("rank", shift).alias("top")).count().collect()  # 65,536 rows at most
         for r in sorted(counts, key=lambda r: -r["top"]):
             if left <= r["count"]:
-                high = r["top"]
+                high, equal = r["top"], r["count"]
                 break
             left -= r["count"]
-    return high
+    return high, left, equal

@@ -8,6 +8,7 @@ where the runner-up is close.
 
 from __future__ import annotations
 
+import codecs
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from polycat.llm.arrays import LOWER, sliced, steps, text_bytes
+from polycat.llm.arrays import LONG_BYTES, LOWER, STEP_BYTES, is_long, sliced, steps, text_bytes
 
 ORDERS = (2, 3, 4)
 ROWS = 512
@@ -29,6 +31,22 @@ FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 def features(data: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
     """Square roots of the shares of hashed byte n-grams: a row of unit length for each text (0 for an empty one)."""
+    if is_long(offsets):
+        # Counts of pieces that begin with the bytes before them, less what those have alone.
+        back, total = max(ORDERS) - 1, np.zeros((1, dims), np.float64)
+        for a in range(0, len(data), LONG_BYTES):
+            for begin, end, sign in ((max(a - back, 0), a + LONG_BYTES, 1), (max(a - back, 0), a, -1)):
+                piece = data[begin:end]
+                total += sign * _gram_counts(piece, np.array([0, len(piece)]), dims)
+        out = total.astype(np.float32)
+    else:
+        out = _gram_counts(data, offsets, dims)
+    total = out.sum(1, keepdims=True)
+    np.divide(out, total, out=out, where=total > 0)
+    return np.sqrt(out, out=out)
+
+
+def _gram_counts(data: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
     n = len(offsets) - 1
     out = np.zeros((n, dims), np.float32)
     if not len(data):
@@ -44,9 +62,7 @@ def features(data: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
             bucket = (gram * np.uint32(0x9E3779B1)) >> shift
             at = row[: len(gram)][whole] * dims + bucket[whole]
             out += np.bincount(at, minlength=n * dims).reshape(n, dims)
-    total = out.sum(1, keepdims=True)
-    np.divide(out, total, out=out, where=total > 0)
-    return np.sqrt(out, out=out)
+    return out
 
 
 def codewords(languages: int) -> np.ndarray:
@@ -111,20 +127,23 @@ def fit(x: np.ndarray, labels: np.ndarray, languages: list, *, rounds: int = 300
 
 
 def train(docs: DataFrame, *, language: str = "lang", text: str = "text", key: str = "doc_id", each: int = 500, dims: int = 4096) -> Model:
-    """A model from about ``each`` labelled rows of every language of ``docs``, or all that it has.
+    """A model from at most ``each`` labelled rows of every language of ``docs``, or all that it has.
 
-    Rows are drawn by a hash of ``key``, so the same rows give the same model.  The
+    Rows are drawn by a hash of ``key`` and text, the least first, so the same rows give the same model.  The
     driver holds a row of ``dims`` numbers for each.  Rows with a null language or text are
     not learned from; without any row the model has no language.
     """
-    rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(1)).alias("h"))
+    rows = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(language).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text), F.lit(1)).alias("h"))
     counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     languages = [name for name, _ in counts]
     if not languages:
         return Model([], codewords(0), np.zeros((dims, 0), np.float32), np.zeros(0), np.zeros(0))
-    share = pa.table({"lang": pa.array(languages, pa.string()), "share": pa.array([min(1 << 20, math.ceil((1 << 20) * each / n)) for _, n in counts], pa.int64())})
+    share = pa.table({"lang": pa.array(languages, pa.string()), "share": pa.array([min(1 << 20, math.ceil((1 << 20) * (each + 5 * each**0.5) / n)) for _, n in counts], pa.int64())})
     some = rows.join(F.broadcast(docs.sparkSession.createDataFrame(share)), "lang")
-    drawn = some.where(F.pmod("h", F.lit(1 << 20)) < F.col("share")).select("lang", "text", "h")
+    drawn = some.where(F.pmod("h", F.lit(1 << 20)) < F.col("share")).select("lang", "text", "h", F.pmod("h", F.lit(1 << 20)).alias("at"))
+    # Rows that repeat are drawn together: the limit is kept by each partition before rows are shuffled.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "h"))
+    drawn = drawn.withColumn("n", first).where(F.col("n") <= each).select("lang", "text", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,6 +164,9 @@ def train(docs: DataFrame, *, language: str = "lang", text: str = "text", key: s
 
 def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter."""
+    if is_long(offsets):
+        read = codecs.getincrementaldecoder("utf-8")("replace")
+        return np.array([any(any(map(str.isalpha, read.decode(data[a : a + STEP_BYTES].tobytes()))) for a in range(0, len(data), STEP_BYTES))])
     ascii_letter = (LOWER[data] >= 0x61) & (LOWER[data] <= 0x7A)
     seen = np.concatenate([[0], np.cumsum(ascii_letter)])
     out = seen[offsets[1:]] > seen[offsets[:-1]]

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from polycat.llm.arrays import steps, text_bytes
+from polycat.llm.arrays import LONG_BYTES, is_long, steps, text_bytes, valid
 
 # Classes of code points.
 P, L, N, SP, WS, APOS, SHORT, WITH_E, WITH_L, E, BREAK = range(11)
@@ -439,7 +439,13 @@ class Compiled:
         return Pieces(self.table), merges, pattern
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text of a slice."""
+        """Tokens of each text of a slice; a long text in parts that are cut where the pre-tokenizer always cuts."""
+        special = self.parts[2]
+        if is_long(offsets) and (special is None or b" " not in special.pattern):
+            return sum(self._count(data[a:b], np.array([0, b - a])) for a, b in _between_words(data))
+        return self._count(data, offsets)
+
+    def _count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         pieces, merges, special = self.parts
         extra = np.zeros(len(offsets) - 1, np.int64)
         owner = np.arange(len(offsets) - 1)
@@ -486,6 +492,22 @@ class Compiled:
         return extra + np.bincount(owner[span], n, len(offsets) - 1).astype(np.int64)
 
 
+def _between_words(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of a text that end before a space after a printable ASCII character: no piece holds both."""
+    at, n, look = 0, len(data), 1 << 16
+    while at < n:
+        end = at + LONG_BYTES
+        while end < n:
+            here, before = data[end : end + look], data[end - 1 : end - 1 + look]
+            hit = (here == 0x20) & (before[: len(here)] > 0x20) & (before[: len(here)] < 0x7F)
+            if hit.any():
+                end += int(hit.argmax())
+                break
+            end += len(here)
+        yield at, min(end, n)
+        at = end
+
+
 _compiled: dict[int, tuple] = {}
 
 
@@ -498,12 +520,12 @@ def compiled(path: str) -> Compiled:
 def token_counts(docs: DataFrame, tokenizer: Compiled, *, text: str = "text", limit: int = 1024) -> DataFrame:
     """``docs`` without its text, with ``n_bytes``, ``n_tokens`` and ``over_limit``.
 
-    A null text is empty: 0 bytes and 0 tokens.  Every row gives a row, repeated
+    A null text is empty: 0 bytes and 0 tokens.  Bytes that aren't UTF-8 count as U+FFFD.  Every row gives a row, repeated
     ones too, and rows keep all other columns; a column that has the name of a
     result is replaced.  An empty table gives an empty table.
     """
     results = ("n_bytes", "n_tokens", "over_limit")
-    kept = [f for f in docs.schema.fields if f.name not in (text, *results)]
+    kept = [f for f in docs.schema.fields if f.name != text and f.name.lower() not in results]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_bytes bigint", "n_tokens bigint", "over_limit boolean"])
     names = [f.name for f in kept]
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer)  # a vocabulary file and a table of code points: of fixed size
@@ -511,9 +533,11 @@ def token_counts(docs: DataFrame, tokenizer: Compiled, *, text: str = "text", li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = sent.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
+            column = batch.column(len(names))
+            n_bytes = np.diff(text_bytes(column)[1])
+            data, offsets = text_bytes(valid(column))
             n = np.concatenate([np.zeros(0, np.int64), *(tool.count(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in steps(offsets))])
-            new = [pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *new], names=[*names, *results])
+            new = [pa.array(n_bytes), pa.array(n), pa.array(n > limit)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *new], names=[*names, *results])
 
     return docs.select(*(f"`{c}`" for c in names), f"`{text}`").mapInArrow(run, schema)

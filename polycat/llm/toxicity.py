@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polycat.llm.arrays import LOWER, MARKS, Words, mix, sliced, steps, text_bytes
+from polycat.llm.arrays import LOWER, MARKS, Words, is_long, mix, sliced, steps, text_bytes, word_hashes
+from polycat.llm.shared import Workspace
 
 BITS = 20
 SKIPS = (1, 2)  # pairs of neighbours, and of words with one between
@@ -22,6 +23,8 @@ SKIPS = (1, 2)  # pairs of neighbours, and of words with one between
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashed features of all words and word pairs, with repeats."""
+    if is_long(offsets):
+        return _long_features(data)
     data = LOWER[data]
     words = Words(data, offsets, MARKS)
     h = words.hashes(data)
@@ -34,6 +37,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(row), (np.concatenate(feature) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _long_features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of one long text, a piece at a time."""
+    seen, before = np.zeros(1 << BITS, bool), np.zeros(0, np.uint64)
+    for h in word_hashes(data, MARKS):
+        run = np.concatenate([before, h])
+        found = [h, *(mix(run[:-skip] * np.uint64(0x9E3779B97F4A7C15) + run[skip:], k) for k, skip in enumerate(SKIPS, 1) if len(run) > skip)]
+        for f in found:
+            seen[(f >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        before = run[-max(SKIPS) :]
+    feature = np.flatnonzero(seen)
+    return np.zeros(len(feature), np.int64), feature
+
+
 @dataclass
 class Model:
     """Features with a weight that isn't zero, their weights, and the bias."""
@@ -85,7 +101,12 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     hashed = F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1 << 20))
     known = known.where(hashed < min(1 << 20, -(-(sample << 20) // max(total, 1))))
     drawn = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).where(hashed < min(1 << 20, -(-(sample << 20) // max(total, 1))))
-    drawn = drawn.join(known, "k").select("y", "text", F.xxhash64("k", F.lit(3)).alias("h"))
+    # Rows that repeat are learned from once; a key of many texts is thinned by text, so that the sample's size has a bound.
+    drawn = drawn.join(known, "k").select("k", "y", "text", F.xxhash64("k", "text", F.lit(3)).alias("h")).dropDuplicates(["k", "y", "h"])
+    drawn = Workspace(docs.sparkSession, "toxicity").save(drawn.select("y", "text", "h"), "drawn")
+    rows = drawn.count()
+    if rows > sample + sample // 4:
+        drawn = drawn.where(F.pmod(F.xxhash64("h", F.lit(4)), F.lit(1 << 20)) < -(-(sample << 20) // rows))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
