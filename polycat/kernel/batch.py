@@ -116,13 +116,13 @@ def _first_at(hit: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _simplices(points: np.ndarray, owner: np.ndarray, start: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Places of DIM + 1 vertices of each set that span its space; ``kind`` is set where there are none or numbers are too large."""
-    n = len(start)
-    out = np.empty((n, WIDTH), np.int64)
+    """Places of vertices of each set that span its space; ``kind`` is set where there are none or numbers are too large."""
+    n, dim = len(start), points.shape[1]
+    out = np.empty((n, dim + 1), np.int64)
     out[:, 0] = start
     rest = points - points[start][owner]
     last = np.ones(n, np.int64)
-    for k in range(DIM):
+    for k in range(dim):
         some = np.logical_or.reduceat(rest != 0, start)
         kind[(kind == FULL) & ~some.any(1)] = FLAT
         f = rest[np.arange(len(owner)), some.argmax(1)[owner]]
@@ -144,41 +144,43 @@ def _reduced(rows: np.ndarray) -> np.ndarray:
 
 
 def hulls(points: np.ndarray, owner: np.ndarray, n: int) -> Hulls:
-    """The hulls of ``n`` sets of integer points; each has one at least, and every point belongs to its ``owner``.
+    """The hulls of ``n`` sets of integer points of any one dimension; each has one at least, and every point belongs to its ``owner``.
 
     All hulls grow together.  In a round each takes the point that violates
     one of its facets most; facets that see it go, and each pair of a seen and an
     unseen facet that meet in a ridge gives a new one, an integer combination of
     the two.
     """
+    dim = points.shape[1]
+    width = dim + 1
     order = np.lexsort((*points.T[::-1], owner))
     points, owner = points[order], owner[order]
     start = np.searchsorted(owner, np.arange(n))
     size = np.diff(np.append(start, len(owner)))
-    kind = np.where(size > DIM, FULL, FLAT)
+    kind = np.where(size > dim, FULL, FLAT)
     simplex = _simplices(points, owner, start, kind)
     h = np.concatenate([points, np.ones((len(points), 1), np.int64)], 1)
     reach = np.maximum.reduceat(np.abs(h).max(1), start).astype(np.float64)
     chosen = np.zeros((n, MOST_VERTICES), np.int64)
-    chosen[:, :WIDTH] = simplex
-    have = np.full(n, WIDTH)
+    chosen[:, :width] = simplex
+    have = np.full(n, width)
 
     # Facets of the simplices, by inverses that are checked in integers.
     live = np.flatnonzero(kind == FULL)
     m = h[simplex[live]]
     det = np.rint(np.linalg.det(m.astype(np.float64))) if len(live) else np.zeros(0)
     with np.errstate(all="ignore"):
-        near = np.linalg.inv(np.where((det != 0)[:, None, None], m, np.eye(WIDTH))) * det[:, None, None]
+        near = np.linalg.inv(np.where((det != 0)[:, None, None], m, np.eye(width))) * det[:, None, None]
     near = np.rint(near)
-    fine = (np.abs(det) > 0) & (np.abs(near).max((1, 2), initial=0) * reach[live] * WIDTH < 2.0**52)
+    fine = (np.abs(det) > 0) & (np.abs(near).max((1, 2), initial=0) * reach[live] * width < 2.0**52)
     adjugate = np.where(fine[:, None, None], near, 0).astype(np.int64)
     whole = np.where(fine, det, 1).astype(np.int64)
-    fine &= (m @ adjugate == whole[:, None, None] * np.eye(WIDTH, dtype=np.int64)).all((1, 2))
+    fine &= (m @ adjugate == whole[:, None, None] * np.eye(width, dtype=np.int64)).all((1, 2))
     kind[live[~fine]] = UNKNOWN
     live, adjugate, whole = live[fine], adjugate[fine], whole[fine]
-    rows = _reduced((adjugate * np.sign(whole)[:, None, None]).transpose(0, 2, 1).reshape(-1, WIDTH))
-    of = np.repeat(live, WIDTH)
-    on = np.tile(np.uint64((1 << WIDTH) - 1) ^ (np.uint64(1) << np.arange(WIDTH, dtype=np.uint64)), len(live))
+    rows = _reduced((adjugate * np.sign(whole)[:, None, None]).transpose(0, 2, 1).reshape(-1, width))
+    of = np.repeat(live, width)
+    on = np.tile(np.uint64((1 << width) - 1) ^ (np.uint64(1) << np.arange(width, dtype=np.uint64)), len(live))
 
     def worst(of: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least value of any point for each facet, and the first point that has it."""
@@ -222,7 +224,7 @@ def hulls(points: np.ndarray, owner: np.ndarray, n: int) -> Hulls:
         many = np.diff(first)[local[seen]]
         a, b = np.repeat(seen, many), unseen[_ragged(many, first[:-1][local[seen]])]
         ridge = on[a] & on[b]
-        some = np.bitwise_count(ridge) >= DIM - 1
+        some = np.bitwise_count(ridge) >= dim - 1
         a, b, ridge = a[some], b[some], ridge[some]
         # A ridge is on two facets and no more.
         count = np.diff(np.append(new, len(of)))[local[a]]
@@ -233,9 +235,9 @@ def hulls(points: np.ndarray, owner: np.ndarray, n: int) -> Hulls:
         size_a, size_b = (np.abs(rows[x]).max(1, initial=0).astype(np.float64) for x in (a, b))
         risky = np.abs(value[b]) * size_a + np.abs(value[a]) * size_b > FITS
         fresh = _reduced(value[b][:, None] * rows[a] - value[a][:, None] * rows[b])
-        risky |= np.abs(fresh).max(1, initial=0) * reach[of[a]] * WIDTH > FITS
+        risky |= np.abs(fresh).max(1, initial=0) * reach[of[a]] * width > FITS
         # Pairs that give the same facet are one.
-        key = (fresh.astype(np.uint64) * colours.mixed(np.arange(WIDTH))).sum(1, dtype=np.uint64)
+        key = (fresh.astype(np.uint64) * colours.mixed(np.arange(width))).sum(1, dtype=np.uint64)
         order = np.lexsort((key, local[a]))
         fresh, key, ridge, mine, risky = fresh[order], key[order], ridge[order], local[a][order], risky[order]
         same = np.zeros(len(fresh), bool)
@@ -260,12 +262,12 @@ def hulls(points: np.ndarray, owner: np.ndarray, n: int) -> Hulls:
         least, at = np.concatenate([least[keep], more])[order], np.concatenate([at[keep], where])[order]
 
     of = np.concatenate([np.zeros(0, np.int64), *(d[0] for d in done)])
-    rows = np.concatenate([np.zeros((0, WIDTH), np.int64), *(d[1] for d in done)])
+    rows = np.concatenate([np.zeros((0, width), np.int64), *(d[1] for d in done)])
     order = np.argsort(of, kind="stable")
     of, rows = of[order], rows[order]
     full = kind == FULL
     nf = np.where(full, np.bincount(of, minlength=n), 0)
-    facets = np.zeros((n, int(nf.max(initial=0)), WIDTH), np.int64)
+    facets = np.zeros((n, int(nf.max(initial=0)), width), np.int64)
     facets[of, _ragged(nf, np.zeros(n, np.int64))] = rows
     nv = np.where(full, have, 0)
     vertices = points[chosen[:, : int(nv.max(initial=0))]]

@@ -6,29 +6,47 @@ from collections import Counter
 
 import numpy as np
 
+from polycat.kernel.batch import FULL, hulls
 from polycat.kernel.polytope import DIM, Polytope, hull
 
 
 def points_in(vertices: np.ndarray) -> np.ndarray:
-    """All lattice points of the hull of integer points that span their space.
+    """All lattice points of the hull of integer points that span their space."""
+    return points_in_all([vertices])[0]
+
+
+def points_in_all(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """All lattice points of the hulls of sets of integer points, each of which spans its space.
 
     Points are built a coordinate at a time: the projection to the first
-    coordinates has facets of its own, which bound the next one.
+    coordinates has facets of its own, which bound the next one.  The projections of
+    all sets are made together.
     """
-    out = np.arange(vertices[:, 0].min(), vertices[:, 0].max() + 1)[:, None]
-    for k in range(1, vertices.shape[1]):
-        shadow = hull(np.unique(vertices[:, : k + 1], axis=0))
-        rest = out @ shadow.normals[:, :k].T + shadow.distances
-        slope = shadow.normals[:, k]
-        up, down = slope > 0, slope < 0
-        low = (-(rest[:, up] // slope[up])).max(1)
-        high = (rest[:, down] // -slope[down]).min(1)
-        n = np.maximum(high - low + 1, 0)
-        value = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
-        out = np.concatenate([np.repeat(out, n, axis=0), value[:, None]], 1)
+    out = [np.arange(v[:, 0].min(), v[:, 0].max() + 1)[:, None] for v in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    for k in range(1, sets[0].shape[1] if sets else 1):
+        h = hulls(np.concatenate([v[:, : k + 1] for v in sets]), owner, len(sets))
+        for j, v in enumerate(sets):
+            facets = h.facets[j, : h.nf[j]]
+            if h.kind[j] != FULL:
+                shadow = hull(np.unique(v[:, : k + 1], axis=0))
+                facets = np.concatenate([shadow.normals, shadow.distances[:, None]], 1)
+            out[j] = _raised(out[j], facets, k)
     return out
 
 
+def _raised(points: np.ndarray, facets: np.ndarray, k: int) -> np.ndarray:
+    """Points of k coordinates with each next coordinate that the facets allow."""
+    rest = points @ facets[:, :k].T + facets[:, -1]
+    slope = facets[:, k]
+    up, down = slope > 0, slope < 0
+    low = (-(rest[:, up] // slope[up])).max(1)
+    high = (rest[:, down] // -slope[down]).min(1)
+    n = np.maximum(high - low + 1, 0)
+    value = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - low, n)
+    return np.concatenate([np.repeat(points, n, axis=0), value[:, None]], 1)
+
+
 def dual(p: Polytope) -> Polytope:
     """The polar dual of a reflexive polytope: its vertices are the normals, its normals the vertices."""
     if not p.reflexive:
@@ -44,15 +62,25 @@ def _by_face(points: np.ndarray, p: Polytope) -> Counter:
 
 
 def hodge_numbers(p: Polytope) -> dict[str, int]:
-    """h11, h12, h13, h22 and the Euler number of the fourfolds of a reflexive polytope, and both point counts.
+    """The Hodge numbers of one polytope; see ``hodge_numbers_of``."""
+    return hodge_numbers_of([p])[0]
+
+
+def hodge_numbers_of(polytopes: list[Polytope]) -> list[dict[str, int]]:
+    """h11, h12, h13, h22 and the Euler number of the fourfolds of reflexive polytopes, and both point counts."""
+    if any(p.vertices.shape[1] != DIM for p in polytopes):
+        raise ValueError("fourfolds come from five dimensions")
+    duals = [dual(p) for p in polytopes]
+    points = points_in_all([q.vertices for q in (*polytopes, *duals)])
+    return [_numbers(p, q, mine, theirs) for p, q, mine, theirs in zip(polytopes, duals, points, points[len(polytopes) :], strict=False)]
+
+
+def _numbers(p: Polytope, other: Polytope, mine: np.ndarray, theirs: np.ndarray) -> dict[str, int]:
+    """The numbers of a polytope and its dual from the lattice points of both: 
 
     A face is named by its vertices and by its facets; its dual face has these the
     other way round.  The sums run over faces with interior points on both sides.
     """
-    if p.vertices.shape[1] != DIM:
-        raise ValueError("fourfolds come from five dimensions")
-    other = dual(p)
-    mine, theirs = points_in(p.vertices), points_in(other.vertices)
     inside, dual_inside = _by_face(mine, p), _by_face(theirs, other)
     zero = p.pairing == 0
     on_facet = sum(n for f, n in inside.items() if len(f) == 1)

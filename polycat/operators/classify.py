@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from polycat.kernel.batch import DIM, FULL, WIDTH, classified, hulls
 from polycat.kernel.canonical import LAYERS, MOST_LEAVES, isomorphism, layers, normal_form, normal_form_bytes
-from polycat.kernel.hodge import hodge_numbers
+from polycat.kernel.hodge import hodge_numbers_of
 from polycat.kernel.polytope import Polytope, hull, lattice_points
 
 
@@ -86,8 +86,8 @@ REMEMBERED = 1 << 14
 def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None, hashed: bool = True, remember: bool = True) -> DataFrame:
     """``df`` (with ``rows`` and ``degrees``) and what the kernel says of each row; its own counts replace those of the input.
 
-    Rows are dealt anew over ``tasks`` (default: the session's parallelism times
-    four), since a row's cost grows with its lattice points.  A task computes the
+    Rows are dealt anew over ``tasks`` (default: the session's shuffle partitions, or
+    its parallelism if that is more), since a row's cost grows with its lattice points.  A task computes the
     systems of an Arrow batch together and remembers its last ones, so repeats are computed once.
     ``hashed=False`` leaves the key null, to time the kernel alone;
     with ``remember=False`` the kernel runs on every row.
@@ -116,7 +116,8 @@ def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None,
             new = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "ok", "vertex_count", "facet_count", "point_count", "nf", "nf_key"])
 
-    tasks = tasks or 4 * source.sparkSession.sparkContext.defaultParallelism
+    spark = source.sparkSession
+    tasks = tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return source.repartition(tasks).mapInArrow(run, f"{fields}, {KERNEL_COLUMNS}")
 
 
@@ -158,6 +159,9 @@ def fingerprints(df: DataFrame, *, nf: str = "nf", wanted: tuple = LAYERS) -> Da
     return df.mapInArrow(run, ", ".join([fields, *(f"{k} string" for k in wanted), "full_key string"]))
 
 
+#: Polytopes whose lattice points are looked at together.
+AT_ONCE = 256
+
 HODGE = ("dual_point_count", "h11", "h12", "h13", "h22", "chi")
 
 
@@ -173,10 +177,13 @@ def with_hodge(df: DataFrame, *, nf: str = "nf") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags, rows = [], []
-            for p in polytopes_of(batch.column(names.index(nf)).to_pylist()):
-                flags.append(None if p is None else p.reflexive)
-                rows.append(hodge_numbers(p) if p is not None and p.reflexive else {})
+            found = polytopes_of(batch.column(names.index(nf)).to_pylist())
+            flags = [None if p is None else p.reflexive for p in found]
+            rows: list[dict] = [{} for _ in found]
+            some = [k for k, flag in enumerate(flags) if flag]
+            for at in range(0, len(some), AT_ONCE):  # their lattice points are in memory together
+                for k, r in zip(some[at : at + AT_ONCE], hodge_numbers_of([found[k] for k in some[at : at + AT_ONCE]]), strict=True):
+                    rows[k] = r
             new = [pa.array(flags, pa.bool_()), *(pa.array([r.get(k) for r in rows], pa.int64()) for k in HODGE)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "reflexive", *HODGE])
 

@@ -93,7 +93,7 @@ def sieve(df: DataFrame, *, weights: str = "ws", trust_local: bool = False, task
     w = F.col("canonical")
     local = F.to_json(F.struct(W.distinct(w).alias("d"), W.multiplicities(w).alias("m"), W.ones(w).alias("o"), W.gorenstein(w).alias("g"))) if trust_local else F.lit("")
     systems = systems.where(W.may_be_interior(w)).select("canonical", "members", local.alias("local"))
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    tasks = tasks or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if trust_local:
         sizes = _written(systems.groupBy("local").agg((F.count("*") == 1).alias("alone")))
         systems = _joined(systems, sizes, ["local"], "inner")
