@@ -6,8 +6,7 @@ before slot ceil(j / w).  Earliest deadline first over the released blocks then
 keeps each source within less than one block of its share at every slot.
 
 Weights are taken as exact fractions, so nothing adds up however long a phase is.
-(With ``period`` they are rounded to multiples of 1/period instead, and the schedule
-repeats after ``period`` slots.)  Where a source runs out, the others go on with
+Where a source runs out, the others go on with
 their weights in proportion: a phase ends.  The driver makes the schedule, a
 number for each block.  Documents are only sorted into blocks and given the slot
 of their block by a join with it; all of it is DataFrame operations.
@@ -19,7 +18,6 @@ import heapq
 import json
 import math
 from array import array
-from bisect import bisect_left
 from fractions import Fraction
 
 import numpy as np
@@ -35,66 +33,6 @@ CHUNK = 1024
 MOST_BLOCKS = 1 << 21
 
 
-def shares(weights: dict, period: int) -> dict:
-    """Slots of each source in a period: at least one, by largest remainders (then by name)."""
-    total = sum(weights.values())
-    exact = {s: w * period / total for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    left = period - sum(out.values())
-    by_rest = sorted(exact, key=lambda s: (out[s] - exact[s], str(s)))
-    for k in range(left):
-        out[by_rest[k % len(by_rest)]] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s] if out[s] > 1 else -math.inf, str(s)))] -= 1
-    return out
-
-
-def schedule(slots: dict) -> list:
-    """The source of each slot of a period: earliest deadline first among released blocks, ties by name."""
-    period = sum(slots.values())
-    order = sorted(slots, key=str)
-    window = lambda s, j: ((j - 1) * period // slots[s], -(-j * period // slots[s]))
-    coming = [(window(s, 1)[0], k, 1) for k, s in enumerate(order)]
-    heapq.heapify(coming)
-    ready: list = []
-    out = []
-    for now in range(period):
-        while coming and coming[0][0] <= now:
-            _, k, j = heapq.heappop(coming)
-            heapq.heappush(ready, (window(order[k], j)[1], k, j))
-        deadline, k, j = heapq.heappop(ready)
-        if deadline <= now:
-            raise AssertionError("a block misses its deadline")
-        out.append(order[k])
-        if j < slots[order[k]]:
-            heapq.heappush(coming, (window(order[k], j + 1)[0], k, j + 1))
-    return out
-
-
-def phases(blocks: dict, weights: dict, period: int) -> list[dict]:
-    """Phases until all blocks are placed: first slot, number of slots, shares, table, and blocks placed before by source."""
-    done = dict.fromkeys(blocks, 0)
-    left = {s: n for s, n in blocks.items() if n > 0}
-    start, out = 0, []
-    while left:
-        size = max(period, 4 * len(left))
-        slots = shares({s: weights[s] for s in left}, size)
-        table = schedule(slots)
-        places: dict = {s: [] for s in left}
-        for at, s in enumerate(table):
-            places[s].append(at)
-        # How many slots pass until the first source has placed its last block.
-        length = min(((n - 1) // slots[s]) * size + places[s][(n - 1) % slots[s]] + 1 for s, n in left.items())
-        rounds, rest = divmod(length, size)
-        placed = {s: rounds * slots[s] + bisect_left(places[s], rest) for s in left}
-        out.append({"start": start, "length": length, "size": size, "places": places, "placed": placed, "done": {s: done[s] for s in left}})
-        for s, n in placed.items():
-            done[s] += n
-        left = {s: blocks[s] - done[s] for s in left if done[s] < blocks[s]}
-        start += length
-    return out
-
-
 def exact_slots(blocks: dict, weights: dict) -> dict:
     """The slots of each source's blocks in order, by earliest deadline first with exact weights.
 
@@ -131,17 +69,7 @@ def exact_slots(blocks: dict, weights: dict) -> dict:
     return out
 
 
-def rounded_slots(blocks: dict, weights: dict, period: int) -> dict:
-    """The same with weights rounded to multiples of 1/period."""
-    out: dict = {s: [np.zeros(0, np.int64)] for s in blocks}
-    for p in phases(blocks, weights, period):
-        for s, n in p["placed"].items():
-            at, places = np.arange(n), np.array(p["places"][s], np.int64)
-            out[s].append(p["start"] + at // len(places) * p["size"] + places[at % len(places)])
-    return {s: np.concatenate(x) for s, x in out.items()}
-
-
-def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source", key: str = "doc_id", block: int = 16, period: int | None = None, alpha: float = 0.5, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source", key: str = "doc_id", block: int = 16, alpha: float = 0.5, seed: int = 0) -> DataFrame:
     """``docs`` in the order of the mixture: all rows and columns, and ``mix_slot``, ``mix_offset`` and ``mix_position``.
 
     ``weights``: source to target weight.  Sources without one get the weight that
@@ -153,9 +81,8 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     ``mix_offset`` the place in the block, ``mix_position`` the place in the mixture,
     from 0 without gaps.  While a source lasts, the blocks placed of it differ at
     every slot by less than one from its share; once it ran out, the others keep
-    theirs in proportion.  With ``period`` that holds for weights rounded to multiples
-    of 1/period.  Rows that repeat are each placed.  The driver makes a number
-    for each block.
+    theirs in proportion.  Rows that repeat are each placed.  The driver makes a number
+    for each block and holds a few for each source.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
@@ -171,10 +98,11 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
     sizes = {r["_s"]: r["n"] for r in counts.groupBy("_s").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     given = {_shown(s): float(w) for s, w in (weights or {}).items()}
     sizes = dict(sorted(sizes.items()))
-    mean = sum(n**alpha for n in sizes.values()) / max(1, len(sizes))
-    target = {s: given.get(s, n**alpha / mean) for s, n in sizes.items()}
+    natural = {s: math.sqrt(n) if alpha == 0.5 else n**alpha for s, n in sizes.items()}
+    mean = sum(natural.values()) / max(1, len(sizes)) if given else 1.0  # without given weights only proportions matter
+    target = {s: given.get(s, natural[s] / mean) for s in sizes}
     blocks = {s: -(-n // block) for s, n in sizes.items()}
-    slots = rounded_slots(blocks, target, period) if period else exact_slots(blocks, target)
+    slots = exact_slots(blocks, target)
     # What is missing of the sources' last blocks, from the slots after them on.
     last = sorted((x[-1], -sizes[s] % block) for s, x in slots.items())
     gone, missing = np.array([x for x, _ in last], np.int64), np.cumsum([0, *(n for _, n in last)])

@@ -49,33 +49,24 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-# Slot by slot, where the operator uses the period of the schedule.  A phase begins (fresh) where a source ran out.
+# Slot by slot.  A weight is the root of a source's rows; times 2^52 it is an integer, so all is exact.  A phase begins (fresh) where a source ran out.
 OP4_SQL = """
 WITH RECURSIVE named AS (SELECT doc_id, source, coalesce('{"s":"' || source || '"}', '{}') AS s, md5(coalesce(doc_id::VARCHAR, '') || ':0') AS h FROM documents),
 size AS (SELECT s, count(*) AS n FROM named GROUP BY s),
-weight AS (SELECT s, n, sqrt(n) / (SELECT avg(sqrt(n)) FROM size) AS w FROM size),
 slot AS (
-  SELECT -1::BIGINT AS t, 0::BIGINT AS start, true AS fresh, NULL::VARCHAR AS pick, 1000::BIGINT AS period,
-         list({'s': s, 'w': w, 'l': ceil(n / 16)::BIGINT, 'share': 0::BIGINT, 'done': 0::BIGINT} ORDER BY s) AS live FROM weight
+  SELECT -1::BIGINT AS t, 0::BIGINT AS start, true AS fresh, NULL::VARCHAR AS pick,
+         list({'s': s, 'p': (sqrt(n) * 4503599627370496)::HUGEINT, 'l': ceil(n / 16)::BIGINT, 'done': 0::HUGEINT} ORDER BY s) AS live FROM size
   UNION ALL
-  SELECT t, start, len(list_filter(next, lambda x: x.l = 0)) > 0, pick, period, next
-  FROM (SELECT t, start, pick, period,
-               list_transform(live, lambda x: {'s': x.s, 'w': x.w, 'l': CASE WHEN x.s = pick THEN x.l - 1 ELSE x.l END, 'share': x.share, 'done': CASE WHEN x.s = pick THEN x.done + 1 ELSE x.done END}) AS next
-        FROM (SELECT t, start, period, live,
-                     list_sort(list_transform(list_filter(live, lambda x: x.done * period // x.share <= t - start),
-                                              lambda x: {'deadline': -((-(x.done + 1) * period) // x.share), 's': x.s}))[1].s AS pick
-              FROM (SELECT t, start, period,
-                           CASE WHEN fresh THEN list_transform(base, lambda x: {'s': x.s, 'w': x.w, 'l': x.l, 'done': 0::BIGINT,
-                                  'share': x.b + CASE WHEN list_position(rests, {'r': x.r, 's': x.s}) <= period - list_sum(list_transform(base, lambda y: y.b)) THEN 1 ELSE 0 END})
-                                ELSE list_transform(live, lambda x: {'s': x.s, 'w': x.w, 'l': x.l, 'done': x.done, 'share': x.share}) END AS live
-                    FROM (SELECT *, list_sort(list_transform(base, lambda x: {'r': x.r, 's': x.s})) AS rests
-                          FROM (SELECT *, list_transform(live, lambda x: {'s': x.s, 'w': x.w, 'l': x.l,
-                                         'b': greatest(1, floor(x.w * period / total))::BIGINT, 'r': greatest(1, floor(x.w * period / total)) - x.w * period / total}) AS base
-                                FROM (SELECT *, list_sum(list_transform(live, lambda x: x.w)) AS total
-                                      FROM (SELECT t + 1 AS t, fresh, CASE WHEN fresh THEN t + 1 ELSE start END AS start,
-                                                   CASE WHEN fresh THEN greatest(1000, 4 * len(list_filter(live, lambda x: x.l > 0))) ELSE period END AS period,
-                                                   CASE WHEN fresh THEN list_filter(live, lambda x: x.l > 0) ELSE live END AS live
-                                            FROM slot WHERE len(list_filter(live, lambda x: x.l > 0)) > 0)))))))),
+  SELECT t, start, len(list_filter(next, lambda x: x.l = 0)) > 0, pick, list_filter(next, lambda x: x.l > 0)
+  FROM (SELECT t, start, pick,
+               list_transform(live, lambda x: {'s': x.s, 'p': x.p, 'l': CASE WHEN x.s = pick THEN x.l - 1 ELSE x.l END, 'done': CASE WHEN x.s = pick THEN x.done + 1 ELSE x.done END}) AS next
+        FROM (SELECT t, start, live,
+                     list_sort(list_transform(list_filter(live, lambda x: x.done * total // x.p <= t - start),
+                                              lambda x: {'deadline': ((x.done + 1) * total + x.p - 1) // x.p, 's': x.s}))[1].s AS pick
+              FROM (SELECT t, start, live, list_reduce(list_transform(live, lambda x: x.p), lambda a, b: a + b) AS total
+                    FROM (SELECT t + 1 AS t, CASE WHEN fresh THEN t + 1 ELSE start END AS start,
+                                 CASE WHEN fresh THEN list_transform(live, lambda x: {'s': x.s, 'p': x.p, 'l': x.l, 'done': 0::HUGEINT}) ELSE live END AS live
+                          FROM slot WHERE len(live) > 0))))),
 block AS (SELECT t, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block FROM slot WHERE t >= 0),
 ranked AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS rank FROM named)
 SELECT doc_id, source, t AS mix_slot, rank % 16 AS mix_offset, row_number() OVER (ORDER BY t, rank % 16) - 1 AS mix_position
