@@ -6,7 +6,8 @@ that share all minima of a band are candidates.  In a bucket only links to a
 centre are tried at first, so that a bucket of n documents that hang together
 costs n links, not n^2.  Members of buckets that are then still apart are looked
 at by their rarest shingles: two sets that overlap enough share one among the
-first few of each in any fixed order, so sets that share none are never compared.
+first few of each in any fixed order, so a set that shares none with another part
+is left out; the others are compared in blocks.
 A candidate's link holds if the full sets overlap enough.  Components come from
 alternating large-star and small-star steps.
 """
@@ -240,11 +241,10 @@ def _rarest(percent: int, sent):
 
 
 def _still_apart(buckets: DataFrame, star: DataFrame, sets: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """(bucket, node, label) of nodes of different parts that share a rare shingle, the shingle being the bucket.
+    """(bucket, node, label) of the buckets that have several parts, without nodes that share no rare shingle with any other part.
 
-    Only nodes of MinHash buckets that have several parts are looked at.  Tables that
-    are joined back to what they were counted from are written first: Spark can
-    then split hot keys.
+    Tables that are joined back to what they were counted from are written first:
+    Spark can then split hot keys.
     """
     placed = work.save(buckets.join(star, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "placed-buckets")
     apart = work.save(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "buckets-apart")
@@ -254,9 +254,14 @@ def _still_apart(buckets: DataFrame, star: DataFrame, sets: DataFrame, work: Wor
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     counts[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     sent = mine.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-    rare = work.save(mine.mapInArrow(_rarest(percent, sent), "bucket bigint, node binary, label binary"), "rare")
+    rare = mine.mapInArrow(_rarest(percent, sent), "bucket bigint, node binary, label binary")
     shared = work.save(rare.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "rare-shared")
-    return work.save(rare.join(shared, "bucket", "left_semi"), "apart")
+    left = work.save(rare.join(shared, "bucket", "left_semi").select("node").distinct(), "meeting")
+    placed = work.save(placed.join(apart, "bucket", "left_semi").join(left, "node", "left_semi"), "apart")
+    again = work.save(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "still-apart")
+    for name in ("placed-buckets", "sets-apart"):
+        work.drop(name)
+    return placed.join(again, "bucket", "left_semi")
 
 
 def overlaps(one: pa.Array, two: pa.Array) -> np.ndarray:
