@@ -113,7 +113,7 @@ def resample(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
     scored = work.save(source.select("id", "draw", "text").mapInArrow(weigh, f"id {kind}, weight double, key double, rank bigint"), "scored")
     rows = scored.count()
     take = round(share * rows)
-    least, wanted_of, equal = kth_largest(scored, take)
+    least, wanted_of, equal = kth_with_ties(scored, take)
     keep = F.lit(False) if least is None else F.col("rank") >= least
     if wanted_of < equal:
         # Of those that tie for the last place: numbered over all partitions, as many as are wanted.
@@ -126,7 +126,12 @@ def resample(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
     return out.select(F.col("id").alias(doc_id), F.col("weight").alias("log_weight"), F.col("key").alias("gumbel_key"), "kept")
 
 
-def kth_largest(scored: DataFrame, k: int) -> tuple[int | None, int, int]:
+def kth_largest(scored: DataFrame, k: int) -> int | None:
+    """The k-th largest ``rank``, exactly; None for k = 0."""
+    return kth_with_ties(scored, k)[0]
+
+
+def kth_with_ties(scored: DataFrame, k: int) -> tuple[int | None, int, int]:
     """The k-th largest ``rank``, exactly, by four counts over 16 bits each (None for k = 0); how many of its rows belong to the k largest, and how many there are."""
     if k <= 0:
         return None, 0, 0

@@ -113,7 +113,15 @@ def test_string_ids(spark):
     out = lines.apply_bitmaps(docs, lines.shared_lines(docs)).collect()
     assert sorted((str(r.doc_id), r._n_dropped) for r in out) == sorted([(f"id-{k}", int(k < 6)) for k in range(7)] + [("None", 1), ("x", 0), ("x", 0), ("y", 0)])
     left = minhash.drop_near_duplicates(docs)
-    assert left.where("doc_id in ('x', 'y')").count() == 1 and left.count() == 9
+    assert left.where("doc_id in ('x', 'y')").count() == 1
+    # By brute force: id-0 to id-6 share 8 of 10 shingles (0.8, just linked), the line alone 7 of 9.
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    assert left.count() == len(set(group)) == 3
     kept = {(r.doc_id, r.keep_id) for r in fingerprints.exact_duplicates(docs).collect()}
     assert ("x", "x") in kept and ("y", "y") in kept
 
