@@ -194,6 +194,33 @@ FROM t GROUP BY conv_id
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.infill import digests, fill_in_middle
+
+    return digests(fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+u AS (
+  SELECT *, len(tokens) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<P>|<S>|<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM u),
+p AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS prefix, array_to_string(tokens[a + 1:b], '') AS middle, array_to_string(tokens[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -206,9 +233,10 @@ def queries() -> dict:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_chat_format": op9_chat_format,
         "op10_token_counts": op10_token_counts,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express; the others are tested against brute force or held-out rows."""
-    return {"op4_mix_sources": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op4_mix_sources": OP4_SQL, "op5_minhash_dedup": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op9_chat_format": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
