@@ -221,6 +221,12 @@ FROM p
 """
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from polycat.llm.sketches import with_edits
+
+    return with_edits(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -234,6 +240,7 @@ def queries() -> dict:
         "op9_chat_format": op9_chat_format,
         "op10_token_counts": op10_token_counts,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_document_fingerprints": op12_document_fingerprints,
     }
 
 
