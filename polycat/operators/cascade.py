@@ -34,6 +34,11 @@ def collisions(df: DataFrame, key: list[str]) -> DataFrame:
     return _joined(df, _written(group_sizes(df, key).where("members > 1").select(*key)), key, "left_semi")
 
 
+def with_group_sizes(df: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` with ``members``, the number of rows of the row's group; nulls are equal."""
+    return _joined(df, _written(group_sizes(df, key)), key, "inner")
+
+
 def cascade(df: DataFrame, free: list[str], expensive: Callable[[DataFrame], DataFrame], key: str) -> DataFrame:
     """The rows that neither the free columns nor the expensive key tell apart, with ``members`` of their group.
 
