@@ -12,6 +12,7 @@ from polycat.operators import cascade, catalogue, classify, enrich, generate, sa
 from polycat.plans.derive import FEW, weight_rows
 from polycat.sources import files, sinks, text
 from polycat.streaming import incremental
+from tests.core.bases import moved
 
 V1 = ", ".join(f"weight{k} int" for k in range(6))
 
@@ -355,7 +356,6 @@ def test_sieve_finds_the_classes_of_the_catalogue(spark, trust):
 
 
 def test_signatures_are_of_the_polytope_and_simplices_are_told_by_their_circuit():
-    from polycat.kernel.canonical import scrambled
     from polycat.kernel.polytope import hull
     from polycat.operators.sieve import signature
 
@@ -363,7 +363,7 @@ def test_signatures_are_of_the_polytope_and_simplices_are_told_by_their_circuit(
     for w in [(1, 1, 1, 1, 1, 1), (1, 1, 1, 3, 4, 4), (1, 1, 1, 1, 1, 2)]:
         p, points = classify.polytope_of([list(w)])
         for _ in range(3):
-            assert signature(hull(scrambled(p.vertices, rng)), points) == signature(p, points)
+            assert signature(hull(moved(p.vertices, rng)), points) == signature(p, points)
     # Vertices that generate the lattice: the dual of a projective space.
     simplex = hull(np.concatenate([np.eye(5, dtype=np.int64), -np.ones((1, 5), np.int64)]))
     assert signature(simplex, 7)[:2] == ("S3", True)
