@@ -49,28 +49,27 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-# Slot by slot.  A weight is the root of a source's rows; times 2^52 it is an integer, so all is exact.  A phase begins (fresh) where a source ran out.
+# Slot by slot.  A weight is the root of a source's rows, times 2^40 and rounded down, so all is exact.  t(j / w) is the sum over all
+# sources of the lesser of (weight * j) / w and blocks: when block j is released, and with j + 1 its deadline.
 OP4_SQL = """
 WITH RECURSIVE named AS (SELECT doc_id, source, coalesce('{"s":"' || source || '"}', '{}') AS s, md5(coalesce(doc_id::VARCHAR, '') || ':0') AS h FROM documents),
-size AS (SELECT s, count(*) AS n FROM named GROUP BY s),
+block_of AS (SELECT greatest(16, (count(*) + 1048575) // 1048576) AS n FROM documents),
+size AS (SELECT s, ceil(count(*) / (SELECT n FROM block_of))::HUGEINT AS l, floor(sqrt(count(*)) * 1099511627776)::HUGEINT AS w FROM named GROUP BY s),
+timed AS (
+  SELECT a.s, a.j, a.w, list_reduce(list(least(b.w * a.j, b.l * a.w)), lambda x, y: x + y) AS total
+  FROM (SELECT s, w, l, unnest(generate_series(0, l::BIGINT))::HUGEINT AS j FROM size) a, size b GROUP BY a.s, a.j, a.w),
+window_of AS (
+  SELECT x.s, x.j, x.total // x.w AS released, (y.total + y.w - 1) // y.w AS deadline FROM timed x JOIN timed y ON y.s = x.s AND y.j = x.j + 1),
 slot AS (
-  SELECT -1::BIGINT AS t, 0::BIGINT AS start, true AS fresh, NULL::VARCHAR AS pick,
-         list({'s': s, 'p': (sqrt(n) * 4503599627370496)::HUGEINT, 'l': ceil(n / 16)::BIGINT, 'done': 0::HUGEINT} ORDER BY s) AS live FROM size
+  SELECT -1::BIGINT AS t, NULL::VARCHAR AS pick, (SELECT list({'s': s, 'q': q}) FROM (SELECT s, list({'d': deadline, 'r': released} ORDER BY j) AS q FROM window_of GROUP BY s)) AS live
   UNION ALL
-  SELECT t, start, len(list_filter(next, lambda x: x.l = 0)) > 0, pick, list_filter(next, lambda x: x.l > 0)
-  FROM (SELECT t, start, pick,
-               list_transform(live, lambda x: {'s': x.s, 'p': x.p, 'l': CASE WHEN x.s = pick THEN x.l - 1 ELSE x.l END, 'done': CASE WHEN x.s = pick THEN x.done + 1 ELSE x.done END}) AS next
-        FROM (SELECT t, start, live,
-                     list_sort(list_transform(list_filter(live, lambda x: x.done * total // x.p <= t - start),
-                                              lambda x: {'deadline': ((x.done + 1) * total + x.p - 1) // x.p, 's': x.s}))[1].s AS pick
-              FROM (SELECT t, start, live, list_reduce(list_transform(live, lambda x: x.p), lambda a, b: a + b) AS total
-                    FROM (SELECT t + 1 AS t, CASE WHEN fresh THEN t + 1 ELSE start END AS start,
-                                 CASE WHEN fresh THEN list_transform(live, lambda x: {'s': x.s, 'p': x.p, 'l': x.l, 'done': 0::HUGEINT}) ELSE live END AS live
-                          FROM slot WHERE len(live) > 0))))),
+  SELECT t, pick, list_filter(list_transform(live, lambda x: {'s': x.s, 'q': CASE WHEN x.s = pick THEN x.q[2:] ELSE x.q END}), lambda x: len(x.q) > 0)
+  FROM (SELECT t + 1 AS t, live, list_sort(list_transform(list_filter(live, lambda x: x.q[1].r <= t + 1), lambda x: {'d': x.q[1].d, 's': x.s}))[1].s AS pick
+        FROM slot WHERE len(live) > 0)),
 block AS (SELECT t, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS block FROM slot WHERE t >= 0),
-ranked AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS rank FROM named)
-SELECT doc_id, source, t AS mix_slot, rank % 16 AS mix_offset, row_number() OVER (ORDER BY t, rank % 16) - 1 AS mix_position
-FROM ranked JOIN block ON block.pick = ranked.s AND block.block = rank // 16
+ranked AS (SELECT doc_id, source, s, n, row_number() OVER (PARTITION BY s ORDER BY h, doc_id) - 1 AS rank FROM named, block_of)
+SELECT doc_id, source, t AS mix_slot, rank % n AS mix_offset, row_number() OVER (ORDER BY t, rank % n) - 1 AS mix_position
+FROM ranked JOIN block ON block.pick = ranked.s AND block.block = rank // n
 """
 
 
