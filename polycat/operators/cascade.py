@@ -86,6 +86,50 @@ def pairs_within(df: DataFrame, group: list[str], index: str, columns: list[str]
     return _joined(a, b, group, "inner").where(F.col(f"{index}_a") < F.col(f"{index}_b"))
 
 
+def classes_within(df: DataFrame, group: list[str], index: str, columns: list[str], tested: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """For each row the class that it belongs to within its group: ``group``, ``index``, ``class_id`` and ``links``.
+
+    ``tested`` adds a boolean ``same`` to pairs of rows (``index`` and ``columns`` as ``_a`` and
+    ``_b``); it must be an equivalence.  In rounds, each group's row of the least index
+    that has no class yet stands for a class, and all others without one are tested against
+    it.  So there are as many tests as rows times classes, at most, never all pairs; a
+    round has one row of each group on one side, and rows of a hot group are tested in
+    all tasks.  ``class_id`` is the least index of the class, ``links`` how many other rows it
+    has, and ``undecided`` how many tests of the row gave null, which counts as not the same.  Indexes must be
+    unique in their group; there are as many rounds as the group with the most classes has.  A table without rows has no classes.
+    """
+    work = Workspace(df.sparkSession, "classes")
+    open_ = work.save(df.select(*group, index, *columns).withColumn("_undecided", F.lit(0)), "round0")
+    done, n = [], 0
+    while open_.limit(1).count():
+        n += 1
+        # The columns of the first row travel as they are: one row of each group.
+        first = open_.groupBy(*group).agg(F.min_by(F.struct(index, *columns), index).alias("_first"))
+        first = work.save(first, f"first{n}")
+        named = first.select(*(F.col(c).alias(f"_key{k}") for k, c in enumerate(group)), *(F.col(f"_first.{c}").alias(f"{c}_a") for c in [index, *columns]))
+        on = F.lit(True)
+        for k, c in enumerate(group):
+            on = on & open_[c].eqNullSafe(named[f"_key{k}"])
+        pairs = open_.join(named, on).select(*group, f"{index}_a", *(f"{c}_a" for c in columns), *(F.col(c).alias(f"{c}_b") for c in [index, *columns]), "_undecided")
+        own = F.col(f"{index}_a") == F.col(f"{index}_b")
+        kept = [*group, F.col(f"{index}_a").alias("class_id"), F.col(f"{index}_b").alias(index), *(F.col(f"{c}_b").alias(c) for c in columns)]
+        mine = pairs.where(own).select(*kept, "_undecided", F.lit(True).alias("_same"))
+        found = tested(pairs.where(~own)).select(*kept, F.col("_undecided") + F.col("same").isNull().cast("int"), F.coalesce("same", F.lit(False)).alias("_same"))
+        tried = work.save(mine.union(found), f"tried{n}")
+        work.drop(f"round{n - 1}")
+        work.drop(f"first{n}")
+        done.append(tried.where("_same").select(*group, index, "class_id", F.col("_undecided").alias("undecided")))
+        open_ = work.save(tried.where("not _same").select(*group, index, *columns, "_undecided"), f"round{n}")
+    if not done:
+        return open_.select(*group, index, F.col(index).alias("class_id"), F.lit(0).alias("undecided"), F.lit(0).cast("bigint").alias("links"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    key = [*group, "class_id"]
+    sizes = _written(out.groupBy(*key).agg((F.count("*") - 1).alias("links")))
+    return _joined(out, sizes, key, "inner").select(*group, index, "class_id", "undecided", "links")
+
+
 def identical_members(df: DataFrame, group: list[str], blob: str, canonical: str) -> DataFrame:
     """For each group: whether all blobs are the same, and whether all canonical values are."""
     out = df.groupBy(*group).agg(F.count("*").cast("bigint").alias("members"), F.min(blob).alias("_a"), F.max(blob).alias("_b"), F.min(canonical).alias("_c"), F.max(canonical).alias("_d"))

@@ -15,6 +15,7 @@ from polycat.kernel.batch import DIM, FULL, WIDTH, classified, hulls
 from polycat.kernel.canonical import LAYERS, MOST_LEAVES, isomorphism, layers, normal_form, normal_form_bytes
 from polycat.kernel.hodge import hodge_numbers_of
 from polycat.kernel.polytope import Polytope, hull, lattice_points
+from polycat.operators import cascade
 
 
 def polytope_of(rows: list[list[int]], degrees: list[int] | None = None) -> tuple[Polytope | None, int]:
@@ -227,6 +228,16 @@ def isomorphic_pairs(pairs: DataFrame, *, left: str = "nf_a", right: str = "nf_b
     return pairs.mapInArrow(run, f"{fields}, verdict string")
 
 
+def isomorphism_classes(forms: DataFrame, group: list[str], *, index: str = "nf_key", nf: str = "nf", cap: int = 200_000) -> DataFrame:
+    """The classes of isomorphic polytopes within each group, by representatives (``cascade.classes_within``); what couldn't be decided is counted in ``undecided``."""
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        verdict = F.col("verdict")
+        return isomorphic_pairs(pairs, left=f"{nf}_a", right=f"{nf}_b", cap=cap).withColumn("same", F.when(verdict == "EQUIVALENT", True).when(verdict == "INEQUIVALENT", False))
+
+    return cascade.classes_within(forms, group, index, [nf], tested)
+
+
 def sha256_of_normal_form(nf):
     """SHA-256 of the canonical bytes of a normal-form column, natively."""
     hexed = F.transform(nf, lambda x: F.lpad(F.hex(x), 16, "0"))

@@ -12,6 +12,7 @@ from polycat.operators import catalogue as K
 from polycat.operators import classify, enrich, generate, sampling
 from polycat.plans.derive import FEW, MANY, weight_rows, weights_of, weights_sql
 from polycat.schema import WEIGHTS, profile_of_structure
+from polycat.sources import sinks
 from polycat.sources.files import spread
 from polycat.storage import Workspace
 from polycat.streaming import incremental
@@ -262,6 +263,21 @@ def pairwise_within_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pairs_within(left, [*FREE, "deep"], "row_id", ["nv"]).select("row_id_a", "row_id_b", (F.col("nv_a") == F.col("nv_b")).alias("same"))
 
 
+@_query(
+    f"""
+WITH {FREE_VIEW}, {COLLIDING}, x AS (SELECT *, count(*) OVER (PARTITION BY {', '.join(FREE)}, deep) AS k FROM c)
+SELECT {', '.join(FREE)}, row_id * 8 + nv - 6 AS member, min(row_id * 8 + nv - 6) OVER w AS class_id, count(*) OVER w - 1 AS links FROM x WHERE k > 1
+WINDOW w AS (PARTITION BY {', '.join(FREE)}, deep, nv)
+"""
+)
+def classes_within_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pairs say, without pairs: for each row that the cascade leaves the least one that it equals."""
+    left = C.cascade(_free(spark, sf_dir), FREE, _deep, "deep")
+    left = left.withColumn("member", F.col("row_id") * 8 + F.col("nv") - 6)  # a row id may repeat
+    found = C.classes_within(left, [*FREE, "deep"], "member", ["nv"], lambda pairs: pairs.withColumn("same", F.col("nv_a") == F.col("nv_b")))
+    return found.select(*FREE, "member", "class_id", "links")
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     at = [F.floor(F.col("o_orderkey") / 1000).cast("int").alias("source_row_group"), (F.col("o_orderkey") % 1000).cast("int").alias("source_row_in_group")]
     orders = _table(spark, sf_dir, "orders")
@@ -281,6 +297,17 @@ def positional_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.positional_merge(left, right, drop=("h11",), rename={"h11_c": "h11", "h12_c": "h12", "h13_c": "h13"})
 
 
+@_query(SQL["positional_merge"])
+def aligned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of two folders of files in one order, whose row groups are cut otherwise: without a shuffle."""
+    work = Workspace(spark, "aligned")
+    sides = []
+    for name, side, size in zip(("left", "right"), _positions(spark, sf_dir), (1 << 16, 1 << 18), strict=True):
+        rows = side.withColumn("shard", F.col("source_row_group") % 4)
+        sides.append(sinks.write_shards(rows, f"{work.base}/{name}", "shard", 4, *enrich.POSITION, options={"parquet.block.size": size}))
+    return enrich.aligned_merge(spark, *sides, drop=("h11",), rename={"h11_c": "h11", "h12_c": "h12", "h13_c": "h13"}, rows=1000)
+
+
 @_query(
     """
 WITH k AS (SELECT o_orderkey AS k, 1 AS l, 0 AS r FROM orders UNION ALL SELECT l_orderkey, 0, 1 FROM lineitem),
@@ -421,6 +448,13 @@ def gl_equiv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.isomorphic_pairs(pairs).select("nf_key_a", "nf_key_b", "verdict")
 
 
+@_query()
+def gl_equiv_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of isomorphic polytopes, by representatives; distinct normal forms should be in classes of their own."""
+    forms = C.collisions(_forms(spark, sf_dir, MANY), ["vertex_count", "facet_count", "point_count"])
+    return classify.isomorphism_classes(forms, ["vertex_count", "facet_count", "point_count"])
+
+
 @_query()
 def nf_hodge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duals' points and Hodge numbers of the distinct polytopes of part."""

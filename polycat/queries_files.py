@@ -13,7 +13,7 @@ from polycat.operators import generate, sampling
 from polycat.plans.derive import MANY, weights_of
 from polycat.queries import FIRST, FREE, FREE_VIEW, LINE_W, PART_W, SHOWN, _deep, _free, _line_weights, _query, _table
 from polycat.schema import WEIGHTS
-from polycat.sources import files, sinks, text
+from polycat.sources import files, rowgroups, sinks, text
 from polycat.storage import Workspace
 
 SHARDS = 6
@@ -100,11 +100,10 @@ def scan_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {SHARD_W} SELECT key, {WEIGHTS_SQL} FROM s WHERE place % 37 = 5")
 def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by file and place: heavy columns are read for those alone."""
+    """Rows by file and place: only the row groups that have some are read."""
     folder = _shards(spark, sf_dir)
-    rows = spark.read.parquet(folder)
-    wanted = rows.select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index")).where("row_index % 37 = 5")
-    return files.by_position(rows, wanted).select("key", *WEIGHTS)
+    wanted = spark.read.parquet(folder).select(F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.row_index").alias("row_index")).where("row_index % 37 = 5")
+    return rowgroups.fetch(spark, files.list_files(spark, folder), wanted, columns=["key", *WEIGHTS]).select("key", *WEIGHTS)
 
 
 def _written_text(spark: SparkSession, lines: DataFrame) -> str:

@@ -60,13 +60,13 @@ def run_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     return out
 
 
-def write_shards(df: DataFrame, folder: str, shard: str, number: int, *order: str) -> list[str]:
-    """The rows of each value 0, 1, ... of ``shard`` as one Parquet file, in order; files are named after the value."""
+def write_shards(df: DataFrame, folder: str, shard: str, number: int, *order: str, options: dict | None = None) -> list[str]:
+    """The rows of each value 0, 1, ... of ``shard`` as one Parquet file, in order; files are named after the value.  ``options``: the writer's."""
     spark = df.sparkSession
     out = []
     for k in range(number):
         mine = df.where(F.col(shard) == k).drop(shard).repartition(1).sortWithinPartitions(*order)
-        mine.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/.{k}")
+        mine.write.mode("overwrite").option("compression", "zstd").options(**(options or {})).parquet(f"{folder}/.{k}")
         store, at = hadoop(spark, f"{folder}/.{k}")
         part = next(s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("part-"))
         out.append(f"{folder}/shard-{k:05d}.parquet")

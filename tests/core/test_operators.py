@@ -430,3 +430,42 @@ def test_algebra_on_columns(spark):
     df = spark.createDataFrame([(m,) for m in rows], "m array<array<bigint>>")
     out = algebra.with_integer_kernel(algebra.with_smith_factors(algebra.with_determinant(df, "m"), "m"), "m").collect()
     assert [(r.determinant, r.smith_factors, r.integer_kernel) for r in out] == [(8, [1, 8], []), (0, [], [[1, 0], [0, 1]]), (None, None, None)]
+
+
+def test_classes_by_representatives_are_those_of_all_pairs(spark):
+    draw = random.Random(5)
+    rows = [(k, draw.choice(["a", "b", None]), draw.randint(0, 9), draw.choice([0, 1])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, x int, h int")
+    tests = []
+
+    def tested(pairs):
+        tests.append(pairs.count())
+        # A null for some pairs of different rows.
+        same = F.when(F.col("x_a") == F.col("x_b"), True).when(F.col("x_a") + F.col("x_b") < 17, False)
+        return pairs.withColumn("same", same)
+
+    got = {r.id: r for r in cascade.classes_within(df, ["g", "h"], "id", ["x"], tested).collect()}
+    assert len(got) == 300
+    for k, g, x, h in rows:
+        mates = [r[0] for r in rows if r[1:] == (g, x, h)]
+        assert (got[k].class_id, got[k].links, got[k].g, got[k].h) == (min(mates), len(mates) - 1, g, h)
+    assert sum(r.undecided for r in got.values()) > 0
+    # Rows times classes, not all pairs.
+    assert len(tests) <= 10 and sum(tests) < 300 * 10 / 1.5
+    assert cascade.classes_within(df.where("false"), ["g"], "id", ["x"], tested).count() == 0
+
+
+def test_isomorphism_classes(spark):
+    from polycat.kernel.polytope import hull
+    from polycat.operators.classify import polytope_of
+
+    rng, rows = np.random.default_rng(4), []
+    for k, w in enumerate([(1, 1, 1, 1, 1, 1), (1, 1, 2, 2, 2, 4), (1, 1, 1, 1, 1, 2), (1, 1, 1, 1, 2, 3)]):
+        p, _ = polytope_of([list(w)])
+        for j in range(4):
+            v = moved(p.vertices, rng) if j else p.vertices
+            assert hull(v) is not None
+            rows.append((f"{k}-{j}", len(v), [int(x) for x in v.T.ravel()]))
+    forms = spark.createDataFrame(rows, "nf_key string, vertex_count int, nf array<long>")
+    got = {r.nf_key: (r.class_id, r.links, r.undecided) for r in classify.isomorphism_classes(forms, ["vertex_count"]).collect()}
+    assert got == {key: (f"{key[0]}-0", 3, 0) for key, _, _ in rows}
