@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import combinations, combinations_with_replacement
+from itertools import combinations, combinations_with_replacement, permutations, product
 from math import gcd, lcm
 
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from polycat.functions.weights import common_divisor
 from polycat.kernel.polytope import hull, lattice_points
+from polycat.sources.files import hadoop
+from polycat.storage import Workspace
 
 
 def candidates(spark: SparkSession, low: int, high: int, *, width: int = 6) -> DataFrame:
@@ -107,61 +109,70 @@ def _interior(weights: tuple[int, ...]) -> bool:
     return p is not None and p.interior
 
 
-def _searched(points: tuple[tuple, ...], seen: set) -> Iterator[tuple[int, ...]]:
-    """Weight systems with an interior origin whose polytopes have all the given points.
+def _name(points: list[tuple]) -> tuple[tuple, ...]:
+    """A set of points by its least name under renaming of coordinates.
+
+    Coordinates are ordered by the values that the points have there; only those with the same values are tried in all orders.
+    """
+    kinds: dict[tuple, list[int]] = {}
+    for k in range(len(points[0])):
+        kinds.setdefault(tuple(sorted(p[k] for p in points)), []).append(k)
+    classes = [kinds[v] for v in sorted(kinds)]
+    return min(tuple(sorted(tuple(p[k] for part in order for k in part) for p in points)) for order in product(*(permutations(c) for c in classes)))
+
+
+def _grown(points: list[tuple]) -> tuple[tuple[int, ...] | None, set[tuple]]:
+    """What follows from a set of points: a weight system, whose polytope has all of them, and the sets with one point more.
 
     The mean q of the extreme solutions is one candidate.  Any other q' has an x with q' . x = 1
     and q . x < 1, since else q . x >= 1 on its whole polytope, with equality inside; so
     all others come from one point more.
     """
-    extremes = _extremes(list(points))
+    extremes = _extremes(points)
     if not extremes:
-        return
+        return None, set()
     q = tuple(sum(c) / len(extremes) for c in zip(*extremes, strict=True))
     if min(q) <= 0:
-        return
+        return None, set()
     scale = lcm(*(v.denominator for v in q))
     whole = [int(v * scale) for v in q]
     weights = tuple(sorted(w // gcd(*whole) for w in whole))
-    if weights not in seen:
-        seen.add(weights)
-        if _interior(weights):
-            yield weights
-    if len(extremes) == 1:
-        return
-    for x in _below(q):
-        key = tuple(sorted((*points, x)))
-        # Coordinates can be renamed: of all names of one set of points one is enough.
-        key = min(tuple(sorted(tuple(p[k] for k in order) for p in key)) for order in _orders(len(x))) if len(x) < 5 else key
-        if key not in seen:
-            seen.add(key)
-            yield from _searched((*points, x), seen)
-
+    more = set() if len(extremes) == 1 else {_name([*points, x]) for x in _below(q)}
+    return (weights if _interior(weights) else None), more
 
-def _orders(n: int) -> list[tuple[int, ...]]:
-    from itertools import permutations
 
-    return list(permutations(range(n)))
+def _level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each weight system, and one for each set of points of the next level."""
+    kinds = pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))
+    for batch in batches:
+        for points in batch.column(0).to_pylist():
+            weights, more = _grown([tuple(p) for p in points])
+            rows = [(weights, None)] * (weights is not None) + [(None, m) for m in more]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] and list(r[k]) for r in rows], kind) for k, kind in enumerate(kinds)], names=["weights", "points"])
 
 
-def search(spark: SparkSession, width: int) -> DataFrame:
+def search(spark: SparkSession, width: int, folder: str | None = None, *, levels: int | None = None) -> DataFrame:
     """All weight systems of ``width`` weights whose origin is strictly inside, by adding points, whatever their degree.
 
-    The first point to be added is dealt over tasks, each of which goes on alone.  There are 3 of
-    three weights and 95 of four; the numbers beyond grow so fast that only a cluster
-    should be asked.
+    A level has all sets of so many points, each once: a set's name doesn't depend on how
+    coordinates are called, and names that several tasks found are merged before the next
+    level is dealt out.  There are as many levels as weights, at most; ``levels`` ends it
+    before.  With ``folder`` levels are kept there, and a search that was stopped goes on
+    after the last one that was finished.  There are 3 systems of three weights and
+    95 of four; of five, 184,026, and of six so many that only a cluster should be asked.
     """
-    start = (1,) * width
-    mean = (Fraction(1, width),) * width
-    first = sorted({tuple(sorted(x)) for x in _below(mean)})
-    seeds = spark.createDataFrame([(list(x),) for x in first], "x array<bigint>").repartition(len(first), "x")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                found = list(_searched((start, tuple(x)), set()))
-                yield pa.RecordBatch.from_arrays([pa.array([list(w) for w in found], pa.list_(pa.int64()))], names=["weights"])
-
-    here = spark.createDataFrame([([1] * width,)], "weights array<bigint>")
-    found = seeds.mapInArrow(run, "weights array<bigint>").unionByName(here).distinct()
-    return found.select(F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("degree"), "weights")
+    folder = folder or Workspace(spark, "search").base
+    frontier = spark.createDataFrame([([[1] * width],)], "points array<array<bigint>>")
+    found, k = None, 0
+    while True:
+        path = f"{folder.rstrip('/')}/level={k}"
+        store, done = hadoop(spark, f"{path}/_SUCCESS")
+        if not store.exists(done):
+            frontier.repartition("points").mapInArrow(_level, "weights array<bigint>, points array<array<bigint>>").distinct().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        level = spark.read.schema("weights array<bigint>, points array<array<bigint>>").parquet(path)
+        found = level if found is None else found.unionByName(level)
+        frontier, k = level.where("points is not null").select("points"), k + 1
+        if k == levels or not frontier.limit(1).count():
+            break
+    out = found.where("weights is not null").select("weights").distinct()
+    return out.select(F.aggregate("weights", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("degree"), "weights")

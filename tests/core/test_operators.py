@@ -419,10 +419,27 @@ def test_hot_groups_are_split(spark):
 def test_search_by_adding_points(spark):
     got = [tuple(r.weights) for r in generate.search(spark, 3).collect()]
     assert sorted(got) == [(1, 1, 1), (1, 1, 2), (1, 2, 3)]
+    assert generate._name([(1, 1, 1), (0, 2, 1), (3, 0, 0)]) == generate._name([(0, 3, 0), (1, 0, 2), (1, 1, 1)])
     four = generate.search(spark, 4).collect()
     assert len(four) == 95 and max(r.degree for r in four) == 66 and all(r.degree == sum(r.weights) for r in four)
 
 
+def test_a_search_goes_on_where_it_was_stopped(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "four")
+    assert generate.search(spark, 4, folder, levels=2).count() < 95
+    kept = {p.name for p in tmp_path.rglob("part-*")}
+    # The third level is begun, and lost before it was finished.
+    (tmp_path / "four" / "level=2").mkdir()
+    (tmp_path / "four" / "level=2" / "part-0.parquet").write_bytes(b"half")
+    assert generate.search(spark, 4, folder).count() == 95
+    assert kept <= {p.name for p in tmp_path.rglob("part-*")}
+    # Five weights: the first levels' systems are some of all.
+    five = str(tmp_path / "five")
+    first = {tuple(r.weights) for r in generate.search(spark, 5, five, levels=1).collect()}
+    two = {tuple(r.weights) for r in generate.search(spark, 5, five, levels=2).collect()}
+    assert first == {(1, 1, 1, 1, 1)} < two and all(2 * max(w) <= sum(w) for w in two)
+
+
 def test_algebra_on_columns(spark):
     from polycat.operators import algebra
 
