@@ -195,7 +195,8 @@ def mix(docs: DataFrame, weights: dict | None = None, *, source: str = "source",
         schedule_df = F.broadcast(schedule_df)
     # Each block's slot, from the row that has it.
     numbered = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_s", "_g").orderBy("_h", "_id")))
-    placed = numbered.join(offsets, ["_s", "_g"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
+    # Merged, since rows are dealt and sorted by group already: nothing of the size of groups times sources is broadcast.
+    placed = numbered.join(offsets.hint("merge"), ["_s", "_g"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1)
     placed = placed.withColumn("_block", F.floor(F.col("_rank") / block)).withColumn("_offset", F.col("_rank") % block)
     joined = placed.withColumn("_chunk", F.floor(F.col("_block") / CHUNK)).join(schedule_df, ["_s", "_chunk"])
     at = (F.col("_block") % CHUNK + 1).cast("int")
