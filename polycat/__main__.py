@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from polycat.operators import catalogue as K
 from polycat.operators import enrich, generate
 from polycat.operators.classify import classify as timed
+from polycat.operators.metrics import counted
 from polycat.schema import WEIGHTS
 from polycat.sources import files, sinks
 from polycat.storage import Scope
@@ -77,10 +78,30 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
-def _catalogue(rows: DataFrame, a: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
-    payload = [*WEIGHTS, *([] if a.non_reflexive else K.REFLEXIVE_ONLY)]
-    tried = K.classified(rows, payload, presort=not a.no_presort, backend=a.backend)
-    return tried, K.count_first(tried.where("ok"), ["nf_key"], [*payload, "vertex_count", "facet_count", "point_count"], count=F.col("count"))
+def _tried(rows: DataFrame, a: argparse.Namespace) -> DataFrame:
+    return K.classified(rows, _payload(a), presort=not a.no_presort, backend=a.backend)
+
+
+def _payload(a: argparse.Namespace) -> list[str]:
+    return [*WEIGHTS, *([] if a.non_reflexive else K.REFLEXIVE_ONLY)]
+
+
+def _run(spark: SparkSession, tried: DataFrame, a: argparse.Namespace, runs: str, tag: str, part: list[str]) -> dict:
+    """Write a run, and count what it is of while the kernel's results pass: one job, nothing kept beside the run.
+
+    The run itself says how many rows it has behind it; where tasks that ran twice counted some
+    twice, that shows, and the numbers are taken anew.
+    """
+    count, ok = F.col("count"), F.col("ok")
+    sums = (F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("processed"), F.coalesce(F.sum(F.when(~ok, count)), F.lit(0)).cast("bigint").alias("failed"))
+    seen, taken = counted(tried, *sums)
+    path = sinks.write_run(K.count_first(seen.where("ok"), ["nf_key"], [*_payload(a), "vertex_count", "facet_count", "point_count"], count=count), runs, tag, files=part)
+    wrote = spark.read.parquet(path).agg(F.count("*").alias("unique"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+    numbers = taken()
+    if numbers["processed"] - numbers["failed"] != wrote.rows:
+        numbers = tried.agg(*sums).first().asDict()
+    out = {"processed": numbers["processed"], "failed": numbers["failed"], "unique": wrote.unique, "duplicate": wrote.rows - wrote.unique}
+    return out | {"balanced": out["processed"] == out["unique"] + out["duplicate"] + out["failed"]}
 
 
 def classify(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -117,12 +138,9 @@ def classify(spark: SparkSession, a: argparse.Namespace) -> dict:
     for tag, part in zip(tags, parts, strict=True):
         with Scope(spark):
             rows = files.read_weights(spark, a.input, start=a.start, end=a.end, max_rows=a.max_rows, only=part)
-            tried, found = _catalogue(rows, a)
-            kept = K.Workspace(spark, "classify").save(tried, "tried")  # the kernel's work, once for all results
-            found = K.count_first(kept.where("ok"), ["nf_key"], [c for c in found.columns if c not in ("nf_key", "count", "source_index")], count=F.col("count"))
-            sinks.write_run(found, runs, tag, files=part)
-            sinks.write_metrics(kept, f"{a.output}/metrics/{tag}")
-            for name, n in K.accounting(kept).first().asDict().items():
+            numbers = _run(spark, _tried(rows, a), a, runs, tag, part)
+            sinks.write_numbers(spark, numbers, f"{a.output}/metrics/{tag}")
+            for name, n in numbers.items():
                 total[name] = n if isinstance(n, bool) else total.get(name, 0) + n
     report = dict(total)
     if a.spill_runs:

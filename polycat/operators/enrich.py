@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from polycat.operators.classify import classify
 from polycat.schema import resolve_catalogue
-from polycat.sources import rowgroups
 
 
 def packed(flat: list[int]) -> bytes:
@@ -78,6 +77,8 @@ def aligned_merge(spark: SparkSession, left: list[str], right: list[str], *, dro
 
     Positions are compared row by row; a difference, or another number of files or rows, is an error.
     """
+    from polycat.sources import rowgroups  # Parquet and file systems of Arrow, which a driver without this step needn't hold
+
     rename = rename or {}
     one, two = (rowgroups.parquet_file(side[0]).schema_arrow.names for side in (left, right))
     new = {rename.get(c, c): (1, c) for c in two if c not in POSITION}

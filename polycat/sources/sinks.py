@@ -14,6 +14,8 @@ from polycat.sources.files import hadoop
 
 #: What a run's folder calls the list of its files; Spark doesn't read names that begin so.
 RUN_FILES = "_files.json"
+#: How the name of a run ends that is put aside.
+ASIDE = ".aside"
 
 
 def write_catalogue(catalogue: DataFrame, path: str, *, reflexive: bool = False, key: str = "nf_key") -> None:
@@ -29,24 +31,43 @@ def write_run(catalogue: DataFrame, folder: str, tag: str, *, files: list[str] |
     """A sorted run in a folder of its own, with the names of the files that it is of; writing the same run again replaces it.
 
     Rows and file names are written beside the runs and become a run by one rename, so
-    there is never a run whose files aren't known.
+    there is never a run whose files aren't known.  An older run of that name is put
+    aside until then, and comes back where a write ended in between: there is the old run or the new one.
     """
     spark = catalogue.sparkSession
     folder = folder.rstrip("/")
+    recover_runs(spark, folder)
     path, hidden = f"{folder}/run={tag}", f"{folder}/.{tag}-{uuid.uuid4().hex}"
     catalogue.sortWithinPartitions(key).write.option("compression", "zstd").parquet(hidden)
     store, at = hadoop(spark, path)
     out = store.create(hadoop(spark, f"{hidden}/{RUN_FILES}")[1], True)
     out.write(bytearray(json.dumps(files or []), "utf-8"))
     out.close()
-    store.delete(at, True)
+    aside = hadoop(spark, f"{folder}/.{tag}{ASIDE}")[1]
+    if store.exists(at) and not store.rename(at, aside):
+        raise OSError(f"{path} couldn't be put aside")
     if not store.rename(hadoop(spark, hidden)[1], at):
         raise OSError(f"{path} couldn't be written")
+    store.delete(aside, True)
     return path
 
 
+def recover_runs(spark: SparkSession, folder: str) -> None:
+    """Bring back runs that were put aside for new ones that never came, and delete those that were replaced."""
+    store, at = hadoop(spark, folder)
+    for status in store.listStatus(at) if store.exists(at) else []:
+        name = status.getPath().getName()
+        if name.endswith(ASIDE):
+            run = hadoop(spark, f"{folder.rstrip('/')}/run={name[1:].removesuffix(ASIDE)}")[1]
+            if store.exists(run):
+                store.delete(status.getPath(), True)
+            else:
+                store.rename(status.getPath(), run)
+
+
 def run_files(spark: SparkSession, folder: str) -> dict[str, list[str]]:
     """The files that each run of a folder is of; without the folder none."""
+    recover_runs(spark, folder)
     store, at = hadoop(spark, folder)
     if not store.exists(at):
         return {}
@@ -89,6 +110,11 @@ def write_metrics(tried: DataFrame, path: str) -> None:
     accounting(tried).coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_numbers(spark: SparkSession, numbers: dict, path: str) -> None:
+    """The accounting of a run, where it is known, as the same JSON record."""
+    spark.createDataFrame([tuple(numbers.values())], ", ".join(f"{n} {'boolean' if isinstance(v, bool) else 'bigint'}" for n, v in numbers.items())).coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_summary(spark: SparkSession, path: str, numbers: dict, *, seconds: float, files: int, backend: str, runs: int | None = None) -> dict:
     """The summary of a classification as a JSON record: one shape for a catalogue, another where only runs were written.
 

@@ -59,7 +59,7 @@ def test_a_fresh_start_forgets_what_was_there_and_nothing_counts_twice(spark, sh
     assert counted(spark, out) == good(0, 4) == got["counted_in_all"] and (got["files"], got["skipped"]) == (2, 2)
     # A crash after a run was written: its files are known, and are not done again.
     with monkeypatch.context() as m:
-        m.setattr("polycat.sources.sinks.write_metrics", lambda *a: 1 / 0)
+        m.setattr("polycat.sources.sinks.write_numbers", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             call(spark, *base, "--every", 3)
     assert call(spark, "progress", "--input", path / "in", "--output", out) == {"runs": {"run-00000-00002": 3}, "files_done": 3, "files": 4, "percent": 75, "catalogue": False}
@@ -101,3 +101,24 @@ def test_generate_and_merge_computed(spark, tmp_path):
     right.limit(2).write.mode("overwrite").parquet(str(tmp_path / "r"))
     with pytest.raises(SystemExit):
         call(spark, "merge-computed", "--input", tmp_path / "l", "--computed", tmp_path / "r", "--output", tmp_path / "m2")
+
+
+def test_a_run_that_was_being_replaced_is_old_or_new(spark, tmp_path, monkeypatch):
+    from polycat.sources import sinks
+
+    folder = f"file://{tmp_path}/runs"
+    rows = lambda n: spark.createDataFrame([(f"k{j}", j) for j in range(n)], "nf_key string, count long")
+    shown = lambda: spark.read.parquet(folder).count()
+    sinks.write_run(rows(3), folder, "a", files=["x"])
+    sinks.write_run(rows(5), folder, "a", files=["y"])
+    assert shown() == 5 and sinks.run_files(spark, folder) == {"a": ["y"]}
+    # Killed after the old run was put aside: it comes back.
+    (tmp_path / "runs" / "run=a").rename(tmp_path / "runs" / ".a.aside")
+    assert sinks.run_files(spark, folder) == {"a": ["y"]} and shown() == 5
+    # Killed after the new one was there: the old one goes.
+    sinks.write_run(rows(2), folder, "b")
+    (tmp_path / "runs" / "run=b").rename(tmp_path / "runs" / ".a.aside")
+    assert sinks.run_files(spark, folder) == {"a": ["y"]} and shown() == 5
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == ["run=a"]
+    sinks.write_run(rows(4), folder, "a")
+    assert shown() == 4
