@@ -9,7 +9,7 @@ from polycat.functions import weights as W
 from polycat.operators import buckets
 from polycat.operators import cascade as C
 from polycat.operators import catalogue as K
-from polycat.operators import classify, enrich, generate, sampling
+from polycat.operators import classify, enrich, generate, points, sampling
 from polycat.plans.derive import FEW, MANY, weight_rows, weights_of, weights_sql
 from polycat.schema import WEIGHTS, profile_of_structure
 from polycat.sources import sinks
@@ -132,6 +132,12 @@ def ws_point_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _part_weights(spark, sf_dir, FEW).select("key", W.point_count(W.canonical(F.col("ws"))).alias("points"))
 
 
+@_query(SQL["ws_point_count"].replace(FEW_W, PART_W))
+def ws_point_count_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all systems of part, by partial sums along residues."""
+    return points.with_point_count(_part_weights(spark, sf_dir), "ws").select("key", "points")
+
+
 @_query(
     """
 WITH d AS (SELECT unnest(generate_series(6, 24)) AS degree),

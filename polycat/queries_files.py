@@ -108,6 +108,22 @@ def fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowgroups.fetch(spark, files.list_files(spark, folder), wanted, columns=["key", *WEIGHTS]).select("key", *WEIGHTS)
 
 
+@_query(f"WITH {PART_W} SELECT 'shard-' || lpad((key % {SHARDS})::VARCHAR, 5, '0') || '.parquet' AS file, count(*) AS n_rows, NULL AS problem, sum(key)::BIGINT AS keys FROM w GROUP BY key % {SHARDS} UNION ALL SELECT 'shard-cut.parquet', NULL, 'no trailer', NULL")
+def sound_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a file that isn't whole: it is named, and the others are read."""
+    from polycat.sources import rowgroups
+
+    folder = _shards(spark, sf_dir)
+    spark.createDataFrame([("PAR1 and then nothing more",)], "value string").coalesce(1).write.text(f"{folder}/.cut")
+    store, at = files.hadoop(spark, f"{folder}/.cut")
+    part = next(s.getPath() for s in store.listStatus(at) if s.getPath().getName().startswith("part-"))
+    store.rename(part, files.hadoop(spark, f"{folder}/shard-cut.parquet")[1])
+    name = F.regexp_extract("file", "[^/]+$", 0).alias("file")
+    good, _ = files.sound_files(spark, folder)
+    read = spark.read.parquet(*good).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("key").alias("keys"))
+    return rowgroups.check_files(spark, files.list_files(spark, folder)).select(name, F.col("rows").alias("n_rows"), "problem").join(read, "file", "left")
+
+
 def _written_text(spark: SparkSession, lines: DataFrame) -> str:
     path = f"{Workspace(spark, 'text').base}/lines"
     lines.write.text(path)

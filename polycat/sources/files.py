@@ -29,6 +29,14 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".parquet") -> li
     return [f"{folder.rstrip('/')}/{n}" for n in names]
 
 
+def sound_files(spark: SparkSession, folder: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """The folder's files that end as Parquet files do, and the others with what is wrong with each."""
+    from polycat.sources.rowgroups import check_files
+
+    found = {r.file: r.problem for r in check_files(spark, list_files(spark, folder)).select("file", "problem").collect()}
+    return sorted(f for f in found if found[f] is None), sorted((f, p) for f, p in found.items() if p is not None)
+
+
 def file_range(files: list[str], start: int = 0, end: int | None = None) -> list[str]:
     """The files from ``start`` to ``end``, both included; ``end`` may lie beyond the last, ``start`` may not."""
     if not 0 <= start < len(files):

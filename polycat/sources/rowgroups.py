@@ -178,3 +178,35 @@ def fetch(spark: SparkSession, files: list[str], positions: DataFrame, *, column
         return pa.table([pa.array([name] * len(at), pa.string()), pa.array(at), *(c.cast(t.type) for c, t in zip(got.columns, types, strict=True))], names=["file_name", "row_index", *wanted])
 
     return placed.groupBy("file_name", "row_group").applyInArrow(read, out_kind)
+
+
+def check_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, bytes, rows, problem) of each file: whether it ends as a Parquet file must, and how many rows its footer tells of.
+
+    Files are dealt to tasks, which read the last bytes of each and its footer, no data.  ``problem`` is
+    null for a sound file; a missing or unreadable one has its error there.
+    """
+
+    def check(path: str) -> tuple:
+        try:
+            store, at = _open(path)
+            with store.open_input_file(at) as file:
+                size = file.size()
+                tail = file.read_at(min(8, size), max(0, size - 8))
+                if size < 12 or tail[-4:] not in (b"PAR1", b"PARE"):
+                    return size, None, "no trailer"
+                if int.from_bytes(tail[:4], "little") + 12 > size:
+                    return size, None, "short footer"
+                return size, pq.ParquetFile(file).metadata.num_rows, None
+        except Exception as e:
+            return None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [check(f) for f in batch.column(0).to_pylist()]
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["file", "bytes", "rows", "problem"])
+
+    tasks = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+    return listed.mapInArrow(run, "file string, bytes bigint, rows bigint, problem string")

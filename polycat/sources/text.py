@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from polycat.storage import Workspace
+
 
 def _numbers(line: Column) -> Column:
     tokens = F.filter(F.split(F.trim(line), r"\s+"), lambda t: t != "")
@@ -34,25 +36,44 @@ def sample_lines(spark: SparkSession, path: str) -> DataFrame:
 HEADER = r"^\s*(\d+)\s+(\d+)\s+Normal form of vertices"
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, n, value): the lines of text files, numbered within the parts that Spark cuts a file into."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    return lines.withColumn("n", F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) - 1).drop("at")
+
+
 def normal_form_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of normal forms as (file, line, height, width, nf): a header line, then as many rows as it says.
 
-    Lines are numbered within their file and belong to the header before them, by a running maximum; lines
+    Lines are numbered within their file, from 0, and belong to the header before them; lines
     beyond a block's height are ignored, as is text before the first header.  A short
-    or uneven block is an error.  A file is read whole (one row of ``wholetext``).
+    or uneven block is an error.  A file is cut wherever Spark cuts text and read by many tasks: each numbers its own
+    lines and finds its last header, and from a row for each part follow the number of its first line
+    and the header that it begins under.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
-    lines = whole.select("file", "line", F.when(F.regexp_like("value", F.lit(HEADER)), F.struct(F.regexp_extract("value", HEADER, 1).cast("int").alias("height"), F.regexp_extract("value", HEADER, 2).cast("int").alias("width"))).alias("head"), F.transform(tokens, lambda t: F.try_to_number(t, F.lit("S999999999999999999")).cast("bigint")).alias("numbers"))
-    by_file = Window.partitionBy("file").orderBy("line")
-    begun = lines.withColumn("begin", F.max(F.when(F.col("head").isNotNull(), F.col("line"))).over(by_file)).withColumn("shape", F.last("head", True).over(by_file))
+    shape = F.struct(F.regexp_extract("value", HEADER, 1).cast("int").alias("height"), F.regexp_extract("value", HEADER, 2).cast("int").alias("width"))
+    head = F.when(F.regexp_like("value", F.lit(HEADER)), F.struct("n", shape.alias("shape")))
+    numbers = F.transform(tokens, lambda t: F.try_to_number(t, F.lit("S999999999999999999")).cast("bigint"))
+    lines = _numbered(spark, path).select("file", "split", "n", head.alias("head"), numbers.alias("numbers"))
+    lines = Workspace(spark, "blocks").save(lines, "lines")
+    parts = lines.groupBy("file", "split").agg(F.count("*").alias("lines"), F.max("head").alias("last"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("lines").over(before), F.lit(0)))
+    last = F.when(F.col("last").isNotNull(), F.struct((F.col("base") + F.col("last.n")).alias("n"), F.col("last.shape").alias("shape")))
+    parts = parts.select("file", "split", "base", F.last(last, True).over(before).alias("carried"))
+    placed = lines.join(parts, ["file", "split"])
+    placed = placed.withColumn("line", F.col("base") + F.col("n"))
+    own = F.when(F.col("head").isNotNull(), F.struct(F.col("line").alias("n"), F.col("head.shape").alias("shape")))
+    under = F.coalesce(F.last(own, True).over(Window.partitionBy("file", "split").orderBy("n")), "carried")
+    begun = placed.withColumn("under", under).select("file", "line", "head", "numbers", F.col("under.n").alias("begin"), F.col("under.shape").alias("shape"))
     rows = begun.where(F.col("begin").isNotNull() & (F.col("line") <= F.col("begin") + F.col("shape.height")))
     blocks = rows.groupBy("file", "begin", "shape").agg(F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("line", "numbers")))).alias("rows"))
     nf = F.transform("rows", lambda r: r["numbers"])
     height, width = F.col("shape.height"), F.col("shape.width")
     good = (F.size(nf) == height) & F.forall(nf, lambda r: (F.size(r) == width) & F.forall(r, lambda x: x.isNotNull()))
     checked = F.when(good, nf).otherwise(F.raise_error(F.concat(F.lit("the block of a normal form that begins at line "), F.col("begin").cast("string"), F.lit(" is short or uneven"))).cast("array<array<bigint>>"))
-    return blocks.select("file", F.col("begin").alias("line"), height.alias("height"), width.alias("width"), checked.alias("nf"))
+    return blocks.select("file", F.col("begin").cast("int").alias("line"), height.alias("height"), width.alias("width"), checked.alias("nf"))
 
 
 # The fields of a golden record.
