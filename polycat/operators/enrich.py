@@ -89,6 +89,15 @@ def aligned_merge(spark: SparkSession, left: list[str], right: list[str], *, dro
     return rowgroups.aligned(spark, left, right, columns, same=POSITION, rows=rows or rowgroups.PARTITION)
 
 
+def same_rows(left: list[str], right: list[str]) -> bool:
+    """Whether two lists of files have the same positions file by file, by the first and last of each row range: footers and statistics, no data."""
+    from polycat.sources import rowgroups
+
+    if len(left) != len(right) or [sum(n) for n in rowgroups.footers(left)] != [sum(n) for n in rowgroups.footers(right)]:
+        return False
+    return all(rowgroups.ranges(x, POSITION) == rowgroups.ranges(y, POSITION) for x, y in zip(left, right, strict=True))
+
+
 def positional_audit(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: rows of either side, positions that only one has, repeated positions, and whether they match one to one."""
     sides = left.select(*POSITION, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(*POSITION, F.lit(0).alias("l"), F.lit(1).alias("r")))

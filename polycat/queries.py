@@ -139,20 +139,28 @@ def ws_point_count_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    """
-WITH d AS (SELECT unnest(generate_series(6, 24)) AS degree),
+    f"""
+WITH {LINE_W}, m AS (SELECT {SHOWN} AS k, count(*) AS n FROM w GROUP BY 1), d AS (SELECT unnest(generate_series(6, 24)) AS degree),
 a AS (SELECT degree, unnest(generate_series(1, degree // 6)) AS w0 FROM d),
 b AS (SELECT *, unnest(generate_series(w0, (degree - w0) // 5)) AS w1 FROM a),
 c AS (SELECT *, unnest(generate_series(w1, (degree - w0 - w1) // 4)) AS w2 FROM b),
 e AS (SELECT *, unnest(generate_series(w2, (degree - w0 - w1 - w2) // 3)) AS w3 FROM c),
 f AS (SELECT *, unnest(generate_series(w3, (degree - w0 - w1 - w2 - w3) // 2)) AS w4 FROM e),
 g AS (SELECT *, degree - w0 - w1 - w2 - w3 - w4 AS w5 FROM f)
-SELECT degree, array_to_string([w0, w1, w2, w3, w4, w5], ' ') AS weights FROM g
+SELECT degree, array_to_string([w0, w1, w2, w3, w4, w5], ' ') AS weights, coalesce(m.n, 0) AS n_rows
+FROM g LEFT JOIN m ON m.k = array_to_string([w0, w1, w2, w3, w4, w5], ' ')
 WHERE w5 >= w4 AND 2 * w5 <= degree AND gcd(gcd(gcd(gcd(gcd(w0, w1), w2), w3), w4), w5) = 1
 """
 )
 def ip_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.candidates(spark, 6, 24).select("degree", W.shown(F.col("weights")).alias("weights"))
+    """All candidates to degree 24, and how many rows of lineitem each is of."""
+    have = _line_weights(spark, sf_dir).groupBy(F.col("key").alias("weights")).agg(F.count("*").alias("n_rows"))
+    return with_rows(generate.candidates(spark, 6, 24).select("degree", W.shown(F.col("weights")).alias("weights")), have)
+
+
+def with_rows(found: DataFrame, have: DataFrame) -> DataFrame:
+    """Generated systems with the number of a table's rows that are of each, 0 where there are none."""
+    return found.join(have, "weights", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("bigint"))
 
 
 @_query(f"WITH {LINE_W} SELECT {SHOWN} AS key, count(*) AS count, min(key) AS source_index, {FIRST} FROM w GROUP BY {SHOWN}")

@@ -212,14 +212,17 @@ def sorted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.lower(F.hex("nf_key")).alias("nf_key"), "count", "source_index", *PAYLOAD)
 
 
-@_query("SELECT run, file FROM (VALUES ('a-0', 's0'), ('a-0', 's1'), ('b-7', 's7')) t(run, file)")
+@_query("SELECT 'run-' || l_orderkey % 4 AS run, 'shard ' || l_orderkey % 8 AS file, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey % 4, l_orderkey % 8")
 def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which files the runs of a folder are of; a run that is written again replaces itself."""
     folder = f"{Workspace(spark, 'ledger').base}/runs"
-    rows = _keyed(spark, sf_dir).limit(20)  # what the rows are doesn't matter here
-    for tag, some in (("a-0", ["lost"]), ("b-7", ["s7"]), ("a-0", ["s0", "s1"])):
-        sinks.write_run(rows, folder, tag, files=some)
-    return spark.createDataFrame([(tag, f) for tag, some in sinks.run_files(spark, folder).items() for f in some], "run string, file string")
+    rows = _keyed(spark, sf_dir).select("nf_key", "shard")
+    for k in (0, 1, 2, 3, 1):
+        sinks.write_run(rows.where(F.col("shard") % 4 == k), folder, f"run-{k}", files=["lost"] if k == 0 else [f"shard {k}", f"shard {k + 4}"])
+    sinks.write_run(rows.where(F.col("shard") % 4 == 0), folder, "run-0", files=["shard 0", "shard 4"])
+    ledger = spark.createDataFrame([(tag, f) for tag, some in sinks.run_files(spark, folder).items() for f in some], "run string, file string")
+    counts = spark.read.parquet(folder).groupBy("run", F.concat(F.lit("shard "), F.col("shard").cast("string")).alias("file")).agg(F.count("*").alias("n_rows"))
+    return ledger.join(counts, ["run", "file"], "full_outer")
 
 
 @_query(
@@ -307,20 +310,32 @@ def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH RECURSIVE t AS (SELECT [l] AS lengths FROM generate_series(2, 6) s(l)
   UNION ALL SELECT list_append(lengths, l) FROM t, generate_series(2, 6) s(l) WHERE len(lengths) < 5 AND l <= lengths[-1]),
-u AS (SELECT lengths, list_sum(lengths)::BIGINT - len(lengths) - 5 AS shared, len(lengths) AS n FROM t)
-SELECT array_to_string(lengths, ' ') AS lengths, shared FROM u
-WHERE shared BETWEEN 0 AND (n - 1) * (lengths[-1] - 1) AND (n > 1 OR shared = 0)
+u AS (SELECT lengths, list_sum(lengths)::BIGINT - len(lengths) - 5 AS shared, len(lengths) AS n FROM t),
+v AS (SELECT array_to_string(lengths, ' ') AS lengths, shared FROM u WHERE shared BETWEEN 0 AND (n - 1) * (lengths[-1] - 1) AND (n > 1 OR shared = 0)),
+r AS (SELECT *, row_number() OVER (ORDER BY lengths, shared) - 1 AS place FROM v),
+m AS (SELECT l_partkey % (SELECT count(*) FROM v) AS place, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT lengths, shared, coalesce(n, 0) AS n_rows FROM r LEFT JOIN m USING (place)
 """
 )
 def combined_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shapes of combined weight systems of dimension 5."""
-    return spark.createDataFrame([(" ".join(map(str, lengths)), shared) for lengths, shared in generate.combined_types()], "lengths string, shared bigint")
+    """The shapes of combined weight systems of dimension 5, and how many rows of lineitem are dealt to each by their part."""
+    shapes = sorted((" ".join(map(str, lengths)), shared) for lengths, shared in generate.combined_types())
+    table = spark.createDataFrame([(*x, k) for k, x in enumerate(shapes)], "lengths string, shared bigint, place bigint")
+    dealt = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % len(shapes)).alias("place")).agg(F.count("*").alias("n"))
+    return table.join(dealt, "place", "left").select("lengths", "shared", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"))
 
 
-@_query("SELECT n AS files, k AS shards, j AS shard, least(j, n % k) + j * (n // k) AS first, least(j + 1, n % k) + (j + 1) * (n // k) - 1 AS last FROM generate_series(1, 30) a(n), generate_series(1, 7) b(k), generate_series(0, 6) c(j) WHERE j < k AND least(j + 1, n % k) + (j + 1) * (n // k) > least(j, n % k) + j * (n // k)")
+@_query(
+    """
+WITH f AS (SELECT p_size::BIGINT AS n, count(*) AS n_rows FROM part GROUP BY 1)
+SELECT n AS files, k AS shards, j AS shard, least(j, n % k) + j * (n // k) AS first, least(j + 1, n % k) + (j + 1) * (n // k) - 1 AS last, n_rows
+FROM f, generate_series(1, 7) b(k), generate_series(0, 6) c(j) WHERE j < k AND least(j + 1, n % k) + (j + 1) * (n // k) > least(j, n % k) + j * (n // k)
+"""
+)
 def shard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of files by shard, for all numbers of files to 30 and of shards to 7."""
-    rows = [(n, k, j, a, b) for n in range(1, 31) for k in range(1, 8) for j, (a, b) in enumerate(files.shard_ranges(n, k))]
-    return spark.createDataFrame(rows, "files bigint, shards bigint, shard bigint, first bigint, last bigint")
+    """Ranges of files by shard, where each size of part has as many files as it says, for up to 7 shards."""
+    sizes = _table(spark, sf_dir, "part").groupBy(F.col("p_size").cast("bigint").alias("files")).agg(F.count("*").alias("n_rows"))
+    each = sizes.withColumn("shards", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    return each.select("files", F.col("shards").cast("bigint").alias("shards"), F.col("shard").cast("bigint").alias("shard"), *files.shard_range(F.col("files"), F.col("shards"), F.col("shard")), "n_rows").where("last >= first")
 
 

@@ -18,7 +18,7 @@ from polycat.operators import algebra, classify, enrich, fibres, generate, sieve
 from polycat.operators import cascade as C
 from polycat.operators import catalogue as K
 from polycat.plans.derive import MANY, weight_rows
-from polycat.queries import PART_W, _part_weights, _query, _table
+from polycat.queries import LINE_W, PART_W, _line_weights, _part_weights, _query, _table, with_rows
 from polycat.schema import WEIGHTS, resolve_input
 from polycat.sources.files import spread
 
@@ -121,10 +121,30 @@ def sieve_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("stage", "verdict").agg(F.count("*").alias("systems"), F.sum("members").cast("bigint").alias("members"))
 
 
-@_query("SELECT d AS degree, a || ' ' || b || ' ' || (d - a - b) AS weights FROM generate_series(3, 12) s(d), generate_series(1, 4) t(a), generate_series(1, 6) u(b) WHERE b >= a AND d - a - b >= b AND d % a = 0 AND d % b = 0 AND d % (d - a - b) = 0 AND gcd(gcd(a, b), d) = 1")
+def _short(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    """How many rows of lineitem have each system as their first weights, sorted and over their common divisor."""
+    first = F.array(*(F.col(c).cast("bigint") for c in WEIGHTS[:width]))
+    return _line_weights(spark, sf_dir).groupBy(W.shown(W.canonical(first)).alias("weights")).agg(F.count("*").alias("n_rows"))
+
+
+def _short_sql(width: int) -> str:
+    g = "ws[1]"
+    for k in range(2, width + 1):
+        g = f"gcd({g}, ws[{k}])"
+    return f"m AS (SELECT array_to_string(list_sort(list_transform(ws[1:{width}], lambda x: x // {g})), ' ') AS weights, count(*) AS n FROM w GROUP BY 1)"
+
+
+@_query(
+    f"""
+WITH {LINE_W}, {_short_sql(3)}, f AS (
+  SELECT d AS degree, a || ' ' || b || ' ' || (d - a - b) AS weights FROM generate_series(3, 12) s(d), generate_series(1, 4) t(a), generate_series(1, 6) u(b)
+  WHERE b >= a AND d - a - b >= b AND d % a = 0 AND d % b = 0 AND d % (d - a - b) = 0 AND gcd(gcd(a, b), d) = 1)
+SELECT degree, weights, coalesce(n, 0) AS n_rows FROM f LEFT JOIN m USING (weights)
+"""
+)
 def search_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All systems of three weights by adding points: those of the elliptic curves."""
-    return generate.search(spark, 3).select("degree", W.shown(F.col("weights")).alias("weights"))
+    """All systems of three weights by adding points, those of the elliptic curves; and how many rows of lineitem begin with each."""
+    return with_rows(generate.search(spark, 3).select("degree", W.shown(F.col("weights")).alias("weights")), _short(spark, sf_dir, 3))
 
 
 def _monomial(of: str, degree: str) -> str:
@@ -145,18 +165,19 @@ def _smooth_sql() -> str:
             enough = [" AND ".join(c) for c in combinations(mixed, n)]
             some.append("(" + " OR ".join([pure, *(f"({c})" for c in enough)]) + ")")
     return f"""
-WITH w AS (
+WITH {LINE_W}, {_short_sql(4)}, c AS (
   SELECT n, a, b, c, n - a - b - c AS d
   FROM generate_series(4, 80) s(n), generate_series(1, 20) t(a), generate_series(1, 40) u(b), generate_series(1, 40) v(c)
-  WHERE a <= b AND b <= c AND c <= n - a - b - c AND 2 * (n - a - b - c) <= n AND gcd(gcd(a, b), gcd(c, n)) = 1)
-SELECT n AS degree, a || ' ' || b || ' ' || c || ' ' || d AS weights FROM w WHERE {' AND '.join(some)}
+  WHERE a <= b AND b <= c AND c <= n - a - b - c AND 2 * (n - a - b - c) <= n AND gcd(gcd(a, b), gcd(c, n)) = 1),
+f AS (SELECT n AS degree, a || ' ' || b || ' ' || c || ' ' || d AS weights FROM c WHERE {' AND '.join(some)})
+SELECT degree, weights, coalesce(m.n, 0) AS n_rows FROM f LEFT JOIN m USING (weights)
 """
 
 
 @_query(_smooth_sql())
 def search_four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 95 systems of four weights by adding points, whatever their degree."""
-    return generate.search(spark, 4).select("degree", W.shown(F.col("weights")).alias("weights"))
+    """All 95 systems of four weights by adding points, whatever their degree; and how many rows of lineitem begin with each."""
+    return with_rows(generate.search(spark, 4).select("degree", W.shown(F.col("weights")).alias("weights")), _short(spark, sf_dir, 4))
 
 
 @_query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.schema import resolve_input
@@ -84,6 +84,13 @@ def by_position(df: DataFrame, positions: DataFrame, *, file: str = "file_name",
     return placed.join(positions.select(F.col(file).alias("file_name"), F.col(row).alias("row_index")), ["file_name", "row_index"], "left_semi")
 
 
+def shard_range(files: Column, shards: Column, shard: Column) -> tuple[Column, Column]:
+    """``shard_ranges`` of one shard as columns ``first`` and ``last``; an empty shard's last file is before its first."""
+    each, more = F.floor(files / shards), files % shards
+    first = shard * each + F.least(shard, more)
+    return first.cast("bigint").alias("first"), (first + each + F.when(shard < more, 1).otherwise(0) - 1).cast("bigint").alias("last")
+
+
 def shard_ranges(files: int, shards: int) -> list[tuple[int, int]]:
     """Ranges (first, last) of files for each shard; the first shards get one more where it doesn't divide; empty shards are left out."""
     each, more = divmod(files, shards)

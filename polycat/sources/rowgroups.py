@@ -47,6 +47,18 @@ def footers(paths: list[str]) -> list[list[int]]:
         return list(pool.map(rows, paths))
 
 
+def ranges(path: str, columns: list[str]) -> list[tuple]:
+    """The least and the greatest value of some columns of a file, from the footer's statistics; None where there are none."""
+    meta = parquet_file(path).metadata
+    names = [meta.schema.column(k).path for k in range(meta.num_columns)]
+    out = []
+    for c in columns:
+        found = [meta.row_group(k).column(names.index(c)).statistics for k in range(meta.num_row_groups) if meta.row_group(k).num_rows]
+        known = found and all(s is not None and s.has_min_max for s in found)
+        out.append((min(s.min for s in found), max(s.max for s in found)) if known else None)
+    return out
+
+
 def _cuts(groups: list[int], least: int) -> list[tuple[int, int]]:
     """Ranges of rows of about ``least`` rows or more that begin and end with row groups."""
     out, at, begin = [], 0, 0

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from polycat.__main__ import _parser, run
 from polycat.schema import WEIGHTS
@@ -98,6 +99,11 @@ def test_generate_and_merge_computed(spark, tmp_path):
     right.write.parquet(str(tmp_path / "r"))
     assert call(spark, "merge-computed", "--input", tmp_path / "l", "--computed", tmp_path / "r", "--output", tmp_path / "m")["aligned"]
     assert {(r.source_row_in_group, r.h11) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {(k, 2 * k) for k in range(4)}
+    # The same positions in another order.
+    right.orderBy(F.desc("source_row_in_group")).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "r"))
+    left.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "l"))
+    assert call(spark, "merge-computed", "--input", tmp_path / "l", "--computed", tmp_path / "r", "--output", tmp_path / "m")["left_rows"] == 4
+    assert {(r.source_row_in_group, r.h11) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {(k, 2 * k) for k in range(4)}
     right.limit(2).write.mode("overwrite").parquet(str(tmp_path / "r"))
     with pytest.raises(SystemExit):
         call(spark, "merge-computed", "--input", tmp_path / "l", "--computed", tmp_path / "r", "--output", tmp_path / "m2")
