@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextvars import ContextVar
@@ -38,6 +39,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of what earlier steps left on the driver.
+
+    Spark deletes broadcasts and shuffle files once the driver's garbage collection finds that nobody refers to
+    them any more.  Between the steps of a long job that is done here, so that neither they nor the heap
+    grow until it happens by itself.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 class Workspace:
     """Tables written to the shared folder, so that a lost executor costs no recomputation.
 
