@@ -8,11 +8,13 @@ again, so that a lost executor never costs more than a stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polycat.llm import langid, leaks, lines, minhash, mixing
-from polycat.storage import Scope, Workspace
+from polycat.storage import Scope, Workspace, tidy
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +49,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-STAGES = [
-    ("language_id", language_id),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("mix_sources", mix_sources),
-]
+def _tidied(stage):
+    """A stage that begins with what the one before it left on the driver cleared away."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, _tidied(f)) for f in (language_id, line_dedup, near_dedup, decontaminate, mix_sources)]
 
 #: A trained classifier and latent retrieval aren't SQL; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
