@@ -11,7 +11,7 @@ from polycat.kernel.exact import determinant, integer_kernel, smith_factors
 
 
 def _with(df: DataFrame, matrix: str, name: str, kind: str, arrow: pa.DataType, value: Callable) -> DataFrame:
-    source = df.select(*(c for c in df.columns if c != name))
+    source = df.drop(name)  # of any case, as Spark compares names
     names = source.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 

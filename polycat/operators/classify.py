@@ -95,7 +95,7 @@ def classify(df: DataFrame, *, backend: str = "auto", tasks: int | None = None,
     """
     compute = kernel(backend)
     replaced = {"ok", "vertex_count", "facet_count", "point_count", "nf", "nf_key"}
-    source = df.select(*(c for c in df.columns if c not in replaced))
+    source = df.drop(*replaced)  # of any case, as Spark compares names
     names = source.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 

@@ -28,7 +28,7 @@ def unpacked_forms(blobs: pa.Array) -> list[list[int] | None]:
 
 
 def _with(df: DataFrame, blob: str, columns: dict[str, tuple[str, pa.DataType]], value) -> DataFrame:
-    source = df.select(*(c for c in df.columns if c not in columns))
+    source = df.drop(*columns)  # of any case, as Spark compares names
     names = source.columns
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), *(f"{c} {t}" for c, (t, _) in columns.items())])
 

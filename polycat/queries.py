@@ -390,18 +390,20 @@ l AS (SELECT s, members, list_sort(list_distinct(s)) AS d, len(list_filter(s, la
         list_bool_and(list_transform(s, lambda x: degree % x = 0)) AS gorenstein FROM c),
 v AS (SELECT *, len(d)::BIGINT AS n_distinct, array_to_string(list_reverse_sort(list_transform(d, lambda x: len(list_filter(s, lambda y: y = x)))), ' ') AS multiplicities FROM l)
 SELECT n_distinct, multiplicities, n_ones, gorenstein, count(*) AS systems, sum(members)::BIGINT AS members, count(*) FILTER (WHERE members > 1) AS same,
-       CASE WHEN count(*) = 1 THEN 'DIFFERENT' ELSE 'UNDECIDED' END AS verdict
+       CASE WHEN count(*) = 1 THEN 'ALONE' ELSE 'SHARED' END AS verdict
 FROM v GROUP BY n_distinct, multiplicities, n_ones, gorenstein
 """
 )
 def sieve_s1_s2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Systems that are equal up to order are the same (S1); one that is alone with its local numbers is different from all others (S2), if these are
-    the same for all systems of a polytope, as is claimed.  The degree isn't, and isn't used."""
+    """Systems that are equal up to order are the same (S1); of those that differ, which are alone with their local numbers (S2).
+
+    Whether systems of one polytope always share these numbers isn't proven, so being alone decides nothing by itself.
+    """
     w = F.col("canonical")
     systems = _part_weights(spark, sf_dir).groupBy(W.canonical(F.col("ws")).alias("canonical")).agg(F.count("*").alias("members"))
     local = systems.select("members", W.distinct(w).alias("n_distinct"), W.shown(W.multiplicities(w)).alias("multiplicities"), W.ones(w).alias("n_ones"), W.gorenstein(w).alias("gorenstein"))
     out = local.groupBy("n_distinct", "multiplicities", "n_ones", "gorenstein").agg(F.count("*").alias("systems"), F.sum("members").cast("bigint").alias("members"), F.count_if(F.col("members") > 1).alias("same"))
-    return out.withColumn("verdict", F.when(F.col("systems") == 1, "DIFFERENT").otherwise("UNDECIDED"))
+    return out.withColumn("verdict", F.when(F.col("systems") == 1, "ALONE").otherwise("SHARED"))
 
 
 @_query("SELECT p_partkey AS key, 44 + 4 * (p_partkey % 31) - 2 * (p_partkey % 17) + 4 * (p_partkey % 101) AS h22 FROM part")

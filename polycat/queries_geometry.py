@@ -189,8 +189,11 @@ def nf_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of part with its free invariants and packed forms."""
-    cat = enrich.add_normal_forms(K.catalogue(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey"), MANY)), verify=False)
-    return cat.select(F.col("source_index").alias("row_id"), F.col("point_count"), F.col("vertex_count").alias("bh_mv"), F.col("facet_count").alias("bh_nv"), "nf_vertices")
+    return _enriched(K.catalogue(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey"), MANY)))
+
+
+def _enriched(systems: DataFrame) -> DataFrame:
+    return enrich.add_normal_forms(systems, verify=False).select(F.col("source_index").alias("row_id"), F.col("point_count"), F.col("vertex_count").alias("bh_mv"), F.col("facet_count").alias("bh_nv"), "nf_vertices")
 
 
 @_query()
@@ -201,8 +204,9 @@ def fibre_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def fibre_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What that cascade leaves, by group."""
-    left = fibres.residual(_rich(spark, sf_dir))
+    """What that cascade leaves of the rows of part, which aren't merged before: rows of one polytope, by group (tested to be those of one catalogue key)."""
+    systems = K.classified(weight_rows(_table(spark, sf_dir, "part"), F.col("p_partkey"), MANY), WEIGHTS, presort=False).where("ok").select("source_index", *WEIGHTS, "vertex_count", "facet_count", "point_count")
+    left = fibres.residual(_enriched(systems))
     return left.groupBy("point_count", "bh_mv", "bh_nv", "geometry_key").agg(F.count("*").alias("members"), F.min("row_id").alias("first"))
 
 

@@ -100,8 +100,10 @@ def write_residual(left: DataFrame, report: DataFrame, folder: str, *, row_id: s
     """What a cascade leaves: the ids of the rows as Parquet, the report (one row) and counts by stratum as JSON."""
     left.select(row_id).orderBy(row_id).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/rows")
     if stratum is not None:
-        by = left.groupBy(stratum.cast("string").alias("k")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("residual_by_stratum"))
-        report = report.crossJoin(F.broadcast(by))  # one row each
+        # A row for each stratum; they and the report's one row are put together by one aggregate.
+        by = left.groupBy(stratum.cast("string").alias("k")).agg(F.count("*").alias("n")).select(F.struct("k", "n").alias("by"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in report.schema.fields))
+        both = report.select(F.lit(None).cast("struct<k:string,n:bigint>").alias("by"), *report.columns).unionByName(by)
+        report = both.agg(*(F.max(c).alias(c) for c in report.columns), F.map_from_entries(F.array_sort(F.collect_list("by"))).alias("residual_by_stratum"))
     report.coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 

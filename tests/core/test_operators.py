@@ -9,7 +9,7 @@ from polycat import schema
 from polycat.functions import weights as W
 from polycat.kernel.canonical import normal_form, normal_form_bytes
 from polycat.operators import cascade, catalogue, classify, enrich, generate, sampling
-from polycat.plans.derive import FEW, weight_rows
+from polycat.plans.derive import FEW, MANY, weight_rows
 from polycat.sources import files, sinks, text
 from polycat.streaming import incremental
 from tests.core.bases import moved
@@ -486,3 +486,12 @@ def test_isomorphism_classes(spark):
     forms = spark.createDataFrame(rows, "nf_key string, vertex_count int, nf array<long>")
     got = {r.nf_key: (r.class_id, r.links, r.undecided) for r in classify.isomorphism_classes(forms, ["vertex_count"]).collect()}
     assert got == {key: (f"{key[0]}-0", 3, 0) for key, _, _ in rows}
+
+
+def test_what_the_cascade_leaves_of_all_rows_are_those_of_one_key(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    left = sorted((r.members, r.first) for r in entry.queries()["fibre_residual"](spark, sf).collect())
+    want = sorted((r["count"], r.source_index) for r in catalogue.catalogue(weight_rows(spark.read.parquet(f"{sf}/part.parquet"), F.col("p_partkey"), MANY)).where("count > 1").collect())
+    assert left == want and left
