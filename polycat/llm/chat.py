@@ -181,7 +181,7 @@ def format_chats(turns: DataFrame, template: Template | None = None, *, conv_id:
     the segment is learned from), state (of the machine after the turn), last
     (the conversation's last turn) and valid (false from the turn on that breaks
     the order; on the last turn also where the conversation can't end there).
-    Nothing is dropped.  A null text or role is empty; an unknown role is marked
+    Nothing is dropped; no rows give none.  A null text or role is empty; an unknown role is marked
     as such, and valid is false.  Ids and turns keep their types.  Rows with a null conv_id are one conversation;
     turns of one number are ordered by role and text, and a null turn comes first.
     Other columns aren't read.  A conversation is in one task, which holds a batch of

@@ -201,7 +201,7 @@ def exact_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     of white space replaced by a space).  A null text counts as empty, and all
     empty texts are equal.  Exactly one row of each group is kept, also where
     rows repeat: of rows with the smallest id, one of them; a null id comes after
-    all others.  Other columns of ``docs`` are not read.  A long text is hashed and
+    all others.  No rows give none; other columns of ``docs`` are not read.  A long text is hashed and
     compared in parts; a worker holds it once or twice beside them.
     """
     spark = docs.sparkSession

@@ -80,6 +80,7 @@ def resample(docs: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", tex
     plus noise from a hash of the id and ``seed``) and ``kept``: the round(share *
     rows) largest keys, and no more: of equal ones (repeats of one id and text)
     as many as are wanted.  A null or empty text has log weight 0.
+    No rows give none.
     Without any target all weights are what the smoothing gives.  Other columns
     of ``docs`` are not read.
     """

@@ -181,7 +181,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", close: float
     ``lang_pred`` is ``und`` with score 0 for a null text, one without a letter, and
     where the model has no language.  ``ambiguous``: the runner-up's probability is
     at least ``close`` times that of the best, or the text is ``und``.  All rows stay,
-    repeated ones too.
+    repeated ones too; no rows give none.
     """
     results = ("lang_pred", "score", "ambiguous")
     source = docs.drop(*results)

@@ -195,8 +195,8 @@ def shared_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     each line, first line first, or null if all lines stay.  A null or empty text
     is one empty line.  Rows with one id are one document when copies are
     counted; a null id counts as one document smaller than all others.  Ids that
-    aren't integers are ordered as Spark orders them.  Other columns of ``docs`` are
-    not read.
+    aren't integers are ordered as Spark orders them.  No rows give none; other
+    columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lines")
@@ -259,7 +259,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
     """``docs`` with the texts that the bitmaps leave, all rows and columns; counts as ``_n_lines`` and ``_n_dropped``.
 
     Only bitmaps that drop lines are joined; all other rows stay as they are, also
-    such that the bitmaps don't know.  Columns of the two names are replaced.
+    such that the bitmaps don't know, and no rows give none.  Columns of the two names are replaced.
     """
     docs = docs.drop("_n_lines", "_n_dropped")
     others = [c for c in docs.columns if c != text]

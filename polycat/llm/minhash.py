@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     and ``kept``: one row of each group, that of the smallest id; where rows
     repeat with one id, one of them; on request also ``text_key``, the text's xxhash64.  A null or blank text has no shingles, is
     linked with nothing and kept.  A null id comes after all others; a group
-    without any other has a null ``component_id``.  Other columns of ``docs`` are
+    without any other has a null ``component_id``.  No rows give none.  Other columns of ``docs`` are
     not read.
     """
     spark = docs.sparkSession

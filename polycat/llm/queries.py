@@ -94,7 +94,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from polycat.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
+    found = near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
+    # The operator keeps one row of each group; this query's rows are kept by their id.
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 OP5_SQL = r"""

@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability that a text is toxic; a null text is scored as an empty one.
 
-    All rows stay, repeated ones too; a column that is named ``score`` is replaced.
+    All rows stay, repeated ones too, and no rows give none; a column that is named ``score`` is replaced.
     """
     source = docs.drop("score")
     names = source.columns
