@@ -16,12 +16,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polycat.llm.arrays import LONG_BYTES, LOWER, SPACE, STEP_BYTES, is_long, pieces, sliced, steps, text_bytes
+from polycat.llm.filters import passes, row_filter
 from polycat.llm.shared import NO_ID, Workspace, id_key, numbered, partitions
 
 def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -255,20 +257,35 @@ def kept_text(data: np.ndarray, keep: bytes) -> bytes:
     return b"\n".join(raw[begin[x] : end[y - 1]] for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
+def marked(sent):
+    """Whether hashes are in a filter; only the hashes go to Python."""
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, hashes.to_numpy()))
+
+    return may
+
+
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the texts that the bitmaps leave, all rows and columns; counts as ``_n_lines`` and ``_n_dropped``.
 
-    Only bitmaps that drop lines are joined; all other rows stay as they are, also
+    Only bitmaps that drop lines are joined, and only rows whose text may have one are
+    shuffled for it, by a filter of the texts' hashes (of a bounded size: beyond some million bitmaps more rows
+    pass); all other rows stay where and as they are, also
     such that the bitmaps don't know, and no rows give none.  Columns of the two names are replaced.
     """
     docs = docs.drop("_n_lines", "_n_dropped")
     others = [c for c in docs.columns if c != text]
     marks = bitmaps.where(F.col("keep").isNotNull()).select(id_key(bitmaps, doc_id).alias("_id"), F.col("text_key").alias("_key"), "n_dropped", "keep")
     marks = Workspace(docs.sparkSession, "lines").save(marks, "bitmaps")  # a hot text's rows can be split
+    may = marked(docs.sparkSession.sparkContext.broadcast(row_filter(marks, "_key")))
     lines = F.coalesce(F.length("_text") - F.length(F.translate("_text", "\n", "")), F.lit(0)) + 1
     # The table's own columns travel as one, so that no name of theirs meets one of these.
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_kept"), F.col(text).alias("_text"), id_key(docs, doc_id).alias("_id"), _text_key(text).alias("_key"))
-    joined = own.join(marks, ["_id", "_key"], "left").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep")
+    tried = own.withColumn("_may", may(F.xxhash64("_key")))
+    joined = tried.where("_may").join(marks, ["_id", "_key"], "left").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep")
+    rest = tried.where("not _may").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,6 +299,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
                 texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(left, pa.binary()).view(pa.string()).cast(texts.type))
             yield pa.RecordBatch.from_arrays([rest, texts, lines, dropped], names=["_kept", "_text", "n_lines", "n_dropped"])
 
-    out = joined.mapInArrow(run, joined.drop("keep").schema)
+    out = joined.mapInArrow(run, joined.drop("keep").schema).unionByName(rest)
     columns = [F.col("_text").alias(c) if c == text else F.col(f"_kept.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))

@@ -87,3 +87,17 @@ def test_shared_lines(spark, batch):
         assert ln.shared_lines(docs.where("false")).count() == 0
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_only_texts_that_lose_lines_are_shuffled(spark):
+    shared = "a line that stands in a good many documents, and is long"
+    rows = [(k, f"own line {k}\n{shared}" if k % 50 == 0 else f"own line {k} and nothing that others have, however long it may be") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = ln.apply_bitmaps(docs, ln.shared_lines(docs, copies=5))
+    got = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in out.collect()}
+    assert got == {k: (f"own line {k}", 2, 1) if k % 50 == 0 and k != 1950 else (t, t.count("\n") + 1, 0) for k, t in rows}
+    # Below the rows that the filter lets by there is an exchange, below the others none but the one made here.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first, second = plan[plan.index("Union") :].split("MapInArrow", 1)[1].split("NOT ", 1)
+    assert "hashpartitioning(_id" in first or "BroadcastHashJoin" in first
+    assert "hashpartitioning(" not in second
