@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from polycat.llm.arrays import LOWER, SPACE, Words, is_long, mix, sliced, steps, text_bytes, word_hashes
 from polycat.llm.filters import passes, row_filter
-from polycat.llm.shared import Workspace, id_key
+from polycat.llm.shared import Workspace, id_key, tidy
 
 
 def _long_shingles(data: np.ndarray, width: int) -> np.ndarray:
@@ -185,7 +185,9 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
             break
         state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return work.save(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), f"{name}-labels")
+    labels = work.save(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), f"{name}-labels")
+    tidy(work.spark)  # of the broadcasts of all rounds
+    return labels
 
 
 BLOCK, BLOCK_VALUES = 256, 1 << 18

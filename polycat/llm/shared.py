@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polycat.operators.sampling import ranked
-from polycat.storage import Scope, Workspace, shared_dir
+from polycat.storage import Scope, Workspace, shared_dir, tidy
 
-__all__ = ["NO_ID", "Scope", "Workspace", "fold", "id_key", "numbered", "partitions", "shared_dir"]
+__all__ = ["NO_ID", "Scope", "Workspace", "fold", "id_key", "numbered", "partitions", "shared_dir", "tidy"]
 
 
 def fold(doc_id: str, parts: int):
