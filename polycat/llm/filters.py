@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,13 @@ def passes(words: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> np.
     for bit in (x & (64 * len(words) - 1) for x in (a, a >> 32 if b is None else b)):
         hit &= (words[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) > 0
     return hit
+
+
+def marked(sent):
+    """Whether hashes are in a filter; only the hashes go to Python."""
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        return pd.Series(passes(sent.value, hashes.to_numpy()))
+
+    return may

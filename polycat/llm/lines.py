@@ -16,14 +16,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polycat.llm.arrays import LONG_BYTES, LOWER, SPACE, STEP_BYTES, is_long, pieces, sliced, steps, text_bytes
-from polycat.llm.filters import passes, row_filter
+from polycat.llm.filters import marked, row_filter
 from polycat.llm.shared import NO_ID, Workspace, id_key, numbered, partitions
 
 def line_keys(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -257,16 +256,6 @@ def kept_text(data: np.ndarray, keep: bytes) -> bytes:
     return b"\n".join(raw[begin[x] : end[y - 1]] for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def marked(sent):
-    """Whether hashes are in a filter; only the hashes go to Python."""
-
-    @F.pandas_udf("boolean")
-    def may(hashes: pd.Series) -> pd.Series:
-        return pd.Series(passes(sent.value, hashes.to_numpy()))
-
-    return may
-
-
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the texts that the bitmaps leave, all rows and columns; counts as ``_n_lines`` and ``_n_dropped``.
 
@@ -284,7 +273,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, *, doc_id: str = "doc_id"
     # The table's own columns travel as one, so that no name of theirs meets one of these.
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("_kept"), F.col(text).alias("_text"), id_key(docs, doc_id).alias("_id"), _text_key(text).alias("_key"))
     tried = own.withColumn("_may", may(F.xxhash64("_key")))
-    joined = tried.where("_may").join(marks, ["_id", "_key"], "left").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep")
+    # Merged at every size: what is shuffled grows with the rows that lose lines, and with nothing else.
+    joined = tried.where("_may").join(marks.hint("merge"), ["_id", "_key"], "left").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.coalesce("n_dropped", F.lit(0).cast("bigint")).alias("n_dropped"), "keep")
     rest = tried.where("not _may").select("_kept", "_text", lines.cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,7 +97,7 @@ def test_only_texts_that_lose_lines_are_shuffled(spark):
     got = {r.doc_id: (r.text, r._n_lines, r._n_dropped) for r in out.collect()}
     assert got == {k: (f"own line {k}", 2, 1) if k % 50 == 0 and k != 1950 else (t, t.count("\n") + 1, 0) for k, t in rows}
     # Below the rows that the filter lets by there is an exchange, below the others none but the one made here.
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    first, second = plan[plan.index("Union") :].split("MapInArrow", 1)[1].split("NOT ", 1)
-    assert "hashpartitioning(_id" in first or "BroadcastHashJoin" in first
-    assert "hashpartitioning(" not in second
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    first, second = plan[: plan.index("Filter NOT")].rsplit("FileScan", 1)
+    assert "SortMergeJoin" in first and "hashpartitioning(_id" in first
+    assert "hashpartitioning" not in second and "Join" not in second
