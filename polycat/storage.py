@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[int, str] = {}
@@ -43,11 +44,18 @@ def tidy(spark: SparkSession) -> None:
     """Let go of what earlier steps left on the driver.
 
     Spark deletes broadcasts and shuffle files once the driver's garbage collection finds that nobody refers to
-    them any more.  Between the steps of a long job that is done here, so that neither they nor the heap
-    grow until it happens by itself.
+    them any more.  Between the steps of a long job that is done here, and the heap that is free then
+    goes back to the machine, where the JVM can be told to do so.
     """
     gc.collect()
-    spark._jvm.java.lang.System.gc()
+    jvm = spark._jvm
+    try:
+        options = jvm.java.lang.management.ManagementFactory.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+        for name, percent in (("MinHeapFreeRatio", "20"), ("MaxHeapFreeRatio", "30")):
+            options.setVMOption(name, percent)
+    except Py4JJavaError:
+        pass  # another JVM: it keeps its heap
+    jvm.java.lang.System.gc()
 
 
 class Workspace:
