@@ -1,8 +1,8 @@
 """Benchmark passages in documents, also paraphrased, by latent semantic retrieval.
 
 Words are hashed to features and weighed by inverse document frequency over all
-documents.  A randomised SVD of TF-IDF passages (two distributed passes over a
-sample of about 2,000 documents, and all benchmark items) gives a latent space.  Every window of every document around which an item's
+documents.  A randomised SVD of the TF-IDF passages of all documents and all
+benchmark items (one distributed pass) gives a latent space.  Every window of every document around which an item's
 rarest words stand is projected into it, and those whose cosine with the item is high, or that
 have most of its words, are aligned with it by the longest common subsequence of words, the closest first.
 A document leaks an item if the two share most words in order, or a good part of
@@ -56,8 +56,12 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts += batch.num_rows
         for a, b in steps(offsets):
             words, h = hashed_words(*sliced(data, offsets, a, b))
-            order = np.unique(words.doc.astype(np.int64) << BITS | feature_of(h))
-            total += np.bincount(order & ((1 << BITS) - 1), minlength=len(total))
+            f = feature_of(h)
+            order = np.argsort(f.astype(np.uint16), kind="stable")  # of one feature, words stay in the order of texts
+            f, doc = f[order], words.doc[order]
+            new = np.ones(len(f), bool)
+            new[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+            total += np.bincount(f[new], minlength=len(total))
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total))), pa.array(np.append(texts, total))], names=["feature", "n"])
 
 
@@ -75,63 +79,75 @@ def _passages(words: Words, h: np.ndarray, idf: np.ndarray, size: int) -> Iterat
     place = np.arange(len(h)) - words.first[words.doc]
     new = np.flatnonzero(place % size == 0)
     f = feature_of(h)
-    for lo in range(0, len(new), 1024):
-        a, b = new[lo], new[lo + 1024] if lo + 1024 < len(new) else len(h)
-        first = new[lo : lo + 1024] - a
+    for lo in range(0, len(new), 4096):
+        a, b = new[lo], new[lo + 4096] if lo + 4096 < len(new) else len(h)
+        first = new[lo : lo + 4096] - a
         w = idf[f[a:b]]
         norm = np.sqrt(np.add.reduceat(w * w, first))
         yield first, f[a:b], w / np.repeat(np.maximum(norm, 1e-9), np.diff(np.append(first, b - a)))
 
 
-def _times(rows: tuple, matrix: np.ndarray) -> np.ndarray:
+def _add_sketch(out: np.ndarray, rows: tuple, matrix: np.ndarray) -> None:
+    """Add A'(A M) of some passages A to ``out``, which has a row for each column of M."""
     first, f, w = rows
-    return np.add.reduceat(matrix[f] * w[:, None], first)
+    many = np.diff(np.append(first, len(f)))
+    owner = np.repeat(np.arange(len(first)), many)
+    # Passages side by side, filled up with words of no weight.
+    place = owner * many.max() + np.arange(len(f)) - first[owner]
+    feature, weight = np.zeros(len(first) * many.max(), np.int64), np.zeros(len(first) * many.max(), np.float32)
+    feature[place], weight[place] = f, w
+    y = np.matmul(weight.reshape(len(first), 1, -1), matrix[feature].reshape(len(first), -1, matrix.shape[1]))[:, 0].astype(np.float64)
+    for k, column in enumerate(y.T):
+        out[k] += np.bincount(f, column[owner] * w, out.shape[1])
 
 
-def _add_transposed(out: np.ndarray, rows: tuple, y: np.ndarray) -> None:
-    first, f, w = rows
-    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(f))))
-    order = np.argsort(f, kind="stable")
-    cut = np.flatnonzero(np.diff(f[order], prepend=-1))
-    out[f[order][cut]] += np.add.reduceat(y[owner[order]] * w[order][:, None], cut)
+#: Features whose sums travel together.
+SLICE = 512
 
 
-def _partial(idf: np.ndarray, matrix: np.ndarray, gram: bool):
-    """A'(A M) of the passages of a partition, or (A M)'(A M)."""
+def _sketches(idf: np.ndarray, matrix: np.ndarray):
+    """A'(A M) of the passages A of a partition, in slices of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((matrix.shape[1] if gram else len(matrix), matrix.shape[1]), np.float32)
+        out = np.zeros(matrix.shape[::-1])
         for batch in batches:
             data, offsets = lowered(batch.column(0))
-            for a, b in steps(offsets, 1 << 19):
+            for a, b in steps(offsets, 1 << 20):
                 words, h = hashed_words(*sliced(data, offsets, a, b))
                 for rows in _passages(words, h, idf, PASSAGE):
-                    y = _times(rows, matrix)
-                    if gram:
-                        out += y.T @ y
-                    else:
-                        _add_transposed(out, rows, y)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+                    _add_sketch(out, rows, matrix)
+        at = range(0, len(matrix), SLICE)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out[:, k : k + SLICE].astype(np.float32).tobytes() for k in at], pa.binary())], names=["at", "part"])
 
     return run
 
 
-def latent_space(texts: DataFrame, idf: np.ndarray, *, rank: int = RANK, parts: int = 4, seed: int = 3) -> np.ndarray:
-    """Right singular vectors (features x rank) of the TF-IDF passages of ``texts``, by a randomised range finder.
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each slice of a partition that has all its parts."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[at] = total.get(at, 0.0) + np.frombuffer(part, np.float32).astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["at", "part"])
 
-    ``parts`` tasks each send a matrix of fixed size.
-    """
-    start = np.random.default_rng(seed).standard_normal((len(idf), rank)).astype(np.float32)
-    dealt = texts.repartition(parts)
 
-    def total(matrix: np.ndarray, gram: bool) -> np.ndarray:
-        got = dealt.mapInArrow(_partial(idf, matrix, gram), "part binary").toArrow().column(0).to_pylist()
-        return sum((np.frombuffer(x, np.float32).reshape(-1, rank).astype(np.float64) for x in got), np.zeros((rank if gram else len(idf), rank)))
+def latent_space(texts: DataFrame, idf: np.ndarray, *, rank: int = RANK, seed: int = 3) -> np.ndarray:
+    """Right singular vectors (features x rank) of the TF-IDF passages of ``texts``, by a randomised range finder in one pass (Nystrom's way).
 
-    q, _ = np.linalg.qr(total(start, False) + 1e-9 * start)
-    q = q.astype(np.float32)
-    _, turn = np.linalg.eigh(total(q, True))
-    return (q @ turn[:, ::-1].astype(np.float32)).astype(np.float32)
+    Each task has a matrix of fixed size.  They are added up by slices of features in a
+    shuffle of as many matrices as there are tasks: four for each core at most,
+    whatever the input.  The driver gets the sum.
+    """
+    start = np.random.default_rng(seed).standard_normal((len(idf), rank)).astype(np.float32)
+    parts = texts.coalesce(4 * texts.sparkSession.sparkContext.defaultParallelism).mapInArrow(_sketches(idf, start), "at bigint, part binary")
+    got = parts.repartition(-(-len(idf) // SLICE), "at").mapInArrow(_summed, "at bigint, part binary").toArrow()
+    total = 1e-9 * start.astype(np.float64)
+    for at, part in zip(got.column("at").to_pylist(), got.column("part").to_pylist(), strict=True):
+        total[at : at + SLICE] += np.frombuffer(part).reshape(rank, -1).T
+    q, r = np.linalg.qr(total)
+    core = start.T @ total
+    _, turn = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-6, hermitian=True) @ r.T)
+    return (q @ turn[:, ::-1]).astype(np.float32)
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -418,7 +434,7 @@ def _items(rows: list[tuple], idf: np.ndarray, space: np.ndarray) -> Items:
 BLOCK_BYTES, BLOCKS_A_PASS = 4 << 20, 4
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, sample: int = 2000, close: float = 0.55, most: float = 0.75, part: float = 0.55, answered: float = 0.8, near: float = 0.85, far: float = 0.4) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, sample: int | None = None, close: float = 0.55, most: float = 0.75, part: float = 0.55, answered: float = 0.8, near: float = 0.85, far: float = 0.4) -> DataFrame:
     """``docs`` with ``leaks``: an array of (item_id, cosine, share, start), empty where nothing leaks.
 
     An item leaks if ``most`` of its words are found in order in reach of a window,
@@ -429,8 +445,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     has where the window's latent cosine with it is at least ``close``.  All windows
     with enough of the item's words in reach are aligned, those with the greatest
     cosine first.  Words are runs of letters, digits and non-ASCII bytes, in
-    lower case.  ``sample``: about so many documents, drawn by a hash of ``key`` and text, span
-    the latent space; word weights come from all documents and all documents are
+    lower case.  The latent space and the word weights come from all documents (with
+    ``sample``, the space from about so many, drawn by a hash of ``key`` and text, and all items), and all documents are
     searched whole.  The benchmark is looked for in blocks of bounded size, some in
     each pass over the documents, so that no worker holds more; several passes keep what they find by
     hashes of the texts, and only documents that may have leaked something are shuffled to be put together with it.
@@ -445,8 +461,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     texts = docs.select(F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text"), (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer")).where("text is not null")
     idf = inverse_frequencies(texts)
-    rows = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(5)), F.lit(1 << 20)) < min(1 << 20, -(-(sample << 20) // max(rows, 1)))).select(F.col(text).alias("text"))
+    drawn = texts
+    if sample is not None:
+        share = min(1 << 20, -(-(sample << 20) // max(docs.count(), 1)))
+        drawn = docs.where(F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(5)), F.lit(1 << 20)) < share).select(F.col(text).alias("text"))
     size = F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)) + 16
     blocks = max(1, -(-int(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
     space = latent_space(drawn.unionByName(items.select("text")), idf)

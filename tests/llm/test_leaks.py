@@ -267,3 +267,36 @@ def test_long_texts_are_searched_in_pieces(monkeypatch):
             near = words[max(0, start - 80) : start + 160]
             assert share == 1.0 and fast_lcs(items[item][1].split(), near) == len(items[item][1].split())
     assert leaks.long_leaks(block, data[:0]) == []
+
+
+def test_latent_space_is_spanned_by_all_documents(spark):
+    docs, items, _ = synonyms()
+    r = random.Random(7)
+    docs += [(2000 + k, " ".join(f"n{k % 90}x{r.randrange(60)}" for _ in range(40))) for k in range(4000)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    shown = lambda **given: sorted((x.doc_id, y.item_id, y.cosine) for x in leaks.find_leaks(df, bench, **given).collect() for y in x.leaks)
+    got, want = shown(), shown(sample=1 << 30)
+    assert len(got) >= 90 and [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-3)
+
+
+def test_latent_space_is_the_same_however_texts_are_dealt(spark):
+    """The sums of one task and of many; passages of every length; against the two products in full."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    rows = [" ".join(f"t{k % 6}w{r.randrange(40)}" for _ in range(k % 101)) for k in range(400)]
+    texts = spark.createDataFrame([(t,) for t in rows], "text string")
+    idf = leaks.inverse_frequencies(texts)
+    words, h = leaks.hashed_words(*leaks.lowered(pa.array(rows)))
+    df = np.bincount([f for k in range(len(rows)) for f in set(leaks.feature_of(h[words.first[k] : words.first[k + 1]]).tolist())], minlength=len(idf))
+    assert np.allclose(idf, np.log((2 + len(rows)) / (1 + df)), atol=1e-5)
+    start = np.random.default_rng(3).standard_normal((len(idf), 9)).astype(np.float32)
+    whole = np.zeros((len(idf), 9))
+    for first, f, w in leaks._passages(words, h, idf, leaks.PASSAGE):
+        for a, b in zip(first, [*first[1:], len(f)], strict=True):
+            np.add.at(whole, f[a:b], w[a:b, None] * (w[a:b] @ start[f[a:b]]))
+    q, _ = np.linalg.qr(whole)
+    for parts in (1, 13):
+        v = leaks.latent_space(texts.repartition(parts), idf, rank=9)
+        assert np.allclose(v.T @ v, np.eye(9), atol=1e-4) and np.allclose(q @ (q.T @ v), v, atol=1e-3)
