@@ -79,9 +79,10 @@ def resume(previous: DataFrame, ledger: DataFrame, rows: DataFrame, *, unit: str
     """A catalogue and its ledger of finished units (files) after some more rows.
 
     Rows of units that the ledger has are left out, so running a range again
-    doesn't count it twice.
+    doesn't count it twice.  The ledger, a row for each file, goes to every task: dealt by
+    unit, the rows of one large file would all be one task's.
     """
-    fresh = rows.join(ledger.select(unit), unit, "left_anti")
+    fresh = rows.join(F.broadcast(ledger.select(unit).distinct()), unit, "left_anti")
     added = count_first(fresh, key, payload)
     return merge(previous, added.select(*previous.columns), key=key), ledger.select(unit).unionByName(fresh.select(unit).distinct())
 

@@ -495,3 +495,18 @@ def test_what_the_cascade_leaves_of_all_rows_are_those_of_one_key(spark):
     left = sorted((r.members, r.first) for r in entry.queries()["fibre_residual"](spark, sf).collect())
     want = sorted((r["count"], r.source_index) for r in catalogue.catalogue(weight_rows(spark.read.parquet(f"{sf}/part.parquet"), F.col("p_partkey"), MANY)).where("count > 1").collect())
     assert left == want and left
+
+
+def test_resuming_does_not_deal_rows_by_file(spark):
+    """With a ledger too large for Spark to send by itself, too: the rows of one file aren't one task's."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).select(F.col("id").alias("source_index"), F.lit(1).alias("file"), (F.col("id") % 3).alias("key"))
+        none = rows.where("false")
+        out, _ = catalogue.resume(catalogue.count_first(none, ["key"], []), none.select("file"), rows, unit="file", key=["key"], payload=[])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(tuple(r) for r in out.select("key", "count", "source_index").collect()) == [(0, 334, 0), (1, 333, 1), (2, 333, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
