@@ -502,9 +502,10 @@ def test_resuming_does_not_deal_rows_by_file(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        rows = spark.range(1000).select(F.col("id").alias("source_index"), F.lit(1).alias("file"), (F.col("id") % 3).alias("key"))
+        rows = spark.range(1000).select(F.col("id").alias("source_index"), (F.col("id") % 1 + 1).cast("int").alias("file"), (F.col("id") % 3).alias("key"))
         none = rows.where("false")
-        out, _ = catalogue.resume(catalogue.count_first(none, ["key"], []), none.select("file"), rows, unit="file", key=["key"], payload=[])
+        ledger = spark.range(5, 8).select(F.col("id").cast("int").alias("file"))
+        out, _ = catalogue.resume(catalogue.count_first(none, ["key"], []), ledger, rows, unit="file", key=["key"], payload=[])
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
         assert sorted(tuple(r) for r in out.select("key", "count", "source_index").collect()) == [(0, 334, 0), (1, 333, 1), (2, 333, 2)]
