@@ -7,6 +7,7 @@ collide on the free ones.
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from polycat.kernel.canonical import chirotope_counts, digest, layers
 from polycat.operators import cascade as C
-from polycat.operators.classify import polytopes_of
+from polycat.operators.classify import AT_ONCE, REMEMBERED, polytopes_of
 
 # The columns that cost nothing.
 FREE = ["h11", "h12", "h13", "h22", "chi", "point_count", "dual_point_count", "bh_mp", "bh_np", "bh_mv", "bh_nv"]
@@ -33,10 +34,21 @@ def _with(df: DataFrame, blob: str, columns: dict[str, tuple[str, pa.DataType]],
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields), *(f"{c} {t}" for c, (t, _) in columns.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: OrderedDict[bytes | None, tuple] = OrderedDict({None: (None,) * len(columns)})
         for batch in batches:
-            rows = [(None,) * len(columns) if p is None else value(p) for p in polytopes_of(unpacked_forms(batch.column(names.index(blob))))]
-            new = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns.values())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *columns])
+            blobs = batch.column(names.index(blob))
+            for at in range(0, batch.num_rows, AT_ONCE):  # their hulls are in memory together
+                some = blobs[at : at + AT_ONCE]
+                mine = some.to_pylist()
+                fresh = [b for b in dict.fromkeys(mine) if b not in known]
+                for b, p in zip(fresh, polytopes_of(unpacked_forms(pa.array(fresh, pa.binary()))), strict=True):
+                    known[b] = (None,) * len(columns) if p is None else value(p)
+                rows = [known[b] for b in mine]
+                while len(known) > REMEMBERED:
+                    known.popitem(last=False)
+                known.setdefault(None, (None,) * len(columns))
+                new = [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns.values())]
+                yield pa.RecordBatch.from_arrays([*(c[at : at + AT_ONCE] for c in batch.columns), *new], names=[*names, *columns])
 
     return source.mapInArrow(run, fields)
 
