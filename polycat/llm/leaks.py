@@ -96,9 +96,10 @@ def _add_sketch(out: np.ndarray, rows: tuple, matrix: np.ndarray) -> None:
     place = owner * many.max() + np.arange(len(f)) - first[owner]
     feature, weight = np.zeros(len(first) * many.max(), np.int64), np.zeros(len(first) * many.max(), np.float32)
     feature[place], weight[place] = f, w
-    y = np.matmul(weight.reshape(len(first), 1, -1), matrix[feature].reshape(len(first), -1, matrix.shape[1]))[:, 0].astype(np.float64)
-    for k, column in enumerate(y.T):
-        out[k] += np.bincount(f, column[owner] * w, out.shape[1])
+    y = np.matmul(weight.reshape(len(first), 1, -1), matrix.take(feature, axis=0).reshape(len(first), -1, matrix.shape[1]))[:, 0]
+    w = w.astype(np.float64)
+    for k, column in enumerate(np.ascontiguousarray(y.T, np.float64)):
+        out[k] += np.bincount(f, column.take(owner) * w, out.shape[1])
 
 
 #: Features whose sums travel together.
@@ -206,19 +207,30 @@ class Items:
     def __post_init__(self):
         whole = np.concatenate([np.zeros(0, np.uint64), *self.words])
         self.vocabulary, number = np.unique(whole, return_inverse=True)
+        bits = min(max(len(self.vocabulary).bit_length() + 3, 8), 20)
+        self.lead_shift = np.uint64(64 - bits)
+        self.lead_first = np.searchsorted((self.vocabulary >> self.lead_shift).astype(np.int64), np.arange((1 << bits) + 1))
         owner = np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
-        self.pairs = np.unique(owner * len(self.vocabulary) + number)
+        self.pairs, self.times = np.unique(owner * len(self.vocabulary) + number, return_counts=True)
+        self.pairs_first = np.searchsorted(self.pairs, np.arange(len(self.words) + 1) * len(self.vocabulary))
         self.table = None
         if len(self.words) * len(self.vocabulary) <= MOST_CELLS:
             self.table = np.zeros(len(self.words) * len(self.vocabulary), bool)
             self.table[self.pairs] = True
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The number of each word in the items' vocabulary, or -1."""
-        if not len(self.vocabulary):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == h, at, -1)
+        """The number of each word in the items' vocabulary, or -1: words with the same leading bits are looked through."""
+        out = np.full(len(h), -1)
+        lead = (h >> self.lead_shift).astype(np.int64)
+        at, end = self.lead_first.take(lead), self.lead_first.take(lead + 1)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.vocabulary[at[left]] == h[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
     def has(self, item: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Whether each item has the word of that number."""
@@ -228,6 +240,23 @@ class Items:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return (number >= 0) & (self.pairs[at] == key)
 
+    def within(self, item: np.ndarray, left: np.ndarray, right: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of stretches of a text, laid side by side: where each stretch begins, the place of each word, whether it is its item's,
+        and how many words stretch and item have in common, each as often as both have it.  No common subsequence is longer."""
+        many = right - left
+        base = np.cumsum(many) - many
+        at = np.arange(int(many.sum())) - np.repeat(base - left, many)
+        stretch = np.repeat(np.arange(len(item)), many)
+        mine = self.has(item[stretch], number[at])
+        which = stretch[mine]
+        # The item's different words are counted, for one stretch after the other.
+        own = self.pairs_first[item + 1] - self.pairs_first[item]
+        shift = np.cumsum(own) - own - self.pairs_first[item]
+        pair = np.searchsorted(self.pairs, item[which] * len(self.vocabulary) + number[at[mine]])
+        found = np.bincount(pair + shift[which], minlength=int(own.sum()))
+        have = self.times[np.arange(len(found)) - np.repeat(shift, own)]
+        return base, at, mine, np.add.reduceat(np.minimum(found, have), np.cumsum(own) - own)
+
 
 @dataclass
 class Retriever:
@@ -249,6 +278,7 @@ class Retriever:
         Where m of n words must be found, at most n - m are missing, so at least k of
         any n - m + k are found; the rarest ones are taken, for each way to leak.
         """
+        self.space = self.space * self.idf[:, None]  # of a word as it counts in a window
         self.length = np.array([len(w) for w in self.items.words], np.int64)
         self.need, self.hits = np.zeros(len(self.length), np.int64), np.zeros(len(self.length), np.int64)
         self.least = np.zeros(len(self.length), np.int64)  # where the window is near
@@ -272,7 +302,7 @@ class Retriever:
         self.key_first = np.searchsorted(keys // max(1, len(self.length)), np.arange(len(self.items.vocabulary) + 1))
 
     def project(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
-        v = np.add.reduceat(self.space[f] * self.idf[f][:, None], first)
+        v = np.add.reduceat(self.space.take(f, axis=0), first)
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def zones(self, words: Words, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -299,10 +329,9 @@ class Retriever:
             yield item[first[enough]], place[first[enough]], place[last[enough]]
             lo = hi
 
-    def windows(self, words: Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def windows(self, words: Words, h: np.ndarray, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """First word, size, item and cosine of all windows that have as many of an item's words in reach as the rule asks for."""
         f = feature_of(h)
-        number = self.items.numbers(h)
         for item, a, b in self.zones(words, number):
             # Windows begin at every step-th word; the last one of a text ends with it.
             size, length = self.items.size[item], self.length[item]
@@ -318,10 +347,10 @@ class Retriever:
                 # The words of each zone with all that its windows have around them, and which are the item's.
                 left = np.maximum(np.minimum(lowest[some] * step[some], final[some]) - length[some], 0) + start[some]
                 right = np.minimum(start[some] + highest[some] * step[some] + size[some] + length[some], end[some])
-                many = right - left
-                base = np.cumsum(many) - many
-                at = np.arange(int(many.sum())) - np.repeat(base - left, many)
-                seen = np.append(0, np.cumsum(self.items.has(np.repeat(item[some], many), number[at])))
+                base, _, mine, common = self.items.within(item[some], left, right, number)
+                seen = np.append(0, np.cumsum(mine))
+                hope = common >= self.least[item[some]]
+                some, base, left = some[hope], base[hope], left[hope]
                 zone = np.repeat(np.arange(len(some)), n[some])
                 k = np.arange(len(zone)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + lowest[some][zone]
                 which = some[zone]
@@ -348,27 +377,38 @@ class Retriever:
         out: list[list[tuple]] = [[] for _ in range(words.rows)]
         if not len(h) or not self.items.ids:
             return out
-        found = [x for x in self.windows(words, h) if len(x[0])]
+        number = self.items.numbers(h)
+        found = [x for x in self.windows(words, h, number) if len(x[0])]
         if not found:
             return out
         begin, size, item, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
         owner = words.doc[begin]
-        best: dict[tuple[int, int], tuple] = {}
         order = np.lexsort((begin, item, owner))
         begin, size, item, cosine, owner = (c[order] for c in (begin, size, item, cosine, owner))
-        # Windows whose surroundings overlap: what all of them together don't have, none has.
+        # Windows whose surroundings overlap: what all of them together don't have, none has.  They are aligned only
+        # where they have enough words in common, and only the item's words are.
         new = np.ones(len(begin), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] >= 2 * self.length[item[1:]] + size[1:])
-        hopeless = np.zeros(len(begin), bool)
         first = np.flatnonzero(new)
-        for lo, hi in zip(first.tolist(), np.append(first[1:], len(begin)).tolist(), strict=True):
-            mine = self.items.words[item[lo]]
-            a = max(int(begin[lo]) - len(mine), int(words.first[owner[lo]]))
-            b = min(int(begin[hi - 1] + size[lo]) + len(mine), int(words.first[owner[lo] + 1]))
-            hopeless[lo:hi] = common_subsequence(mine, h[a:b]) < np.where(cosine[lo:hi] >= self.near, self.least[item[lo]], self.need[item[lo]])
+        ends = np.append(first[1:], len(begin))
+        of, text = item[first], owner[first]
+        left = np.maximum(begin[first] - self.length[of], words.first[text])
+        right = np.minimum(begin[ends - 1] + size[first] + self.length[of], words.first[text + 1])
+        longest = np.zeros(len(first), np.int64)
+        for some in np.array_split(np.arange(len(first)), 1 + int((right - left + self.length[of]).sum()) // (1 << 20)):
+            if not len(some):
+                continue
+            base, at, mine, common = self.items.within(of[some], left[some], right[some], number)
+            mine = np.flatnonzero(mine)
+            cut = np.append(np.searchsorted(mine, base), len(mine))
+            for k in np.flatnonzero(common >= self.least[of[some]]).tolist():
+                longest[some[k]] = common_subsequence(self.items.words[of[some[k]]], h[at[mine[cut[k] : cut[k + 1]]]])
+        hope = np.repeat(longest, ends - first) >= np.where(cosine >= self.near, self.least[item], self.need[item])
+        begin, size, item, cosine, owner = (c[hope] for c in (begin, size, item, cosine, owner))
+        best: dict[tuple[int, int], tuple] = {}
         for k in np.lexsort((-cosine, item, owner)).tolist():
             key = (int(owner[k]), int(item[k]))
-            if key in best or hopeless[k]:
+            if key in best:
                 continue
             mine = self.items.words[key[1]]
             reach = len(mine) if cosine[k] >= self.close else _half(len(mine))

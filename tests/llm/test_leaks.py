@@ -300,3 +300,47 @@ def test_latent_space_is_the_same_however_texts_are_dealt(spark):
     for parts in (1, 13):
         v = leaks.latent_space(texts.repartition(parts), idf, rank=9)
         assert np.allclose(v.T @ v, np.eye(9), atol=1e-4) and np.allclose(q @ (q.T @ v), v, atol=1e-3)
+
+
+def block_of(items):
+    idf = np.ones(1 << leaks.BITS, np.float32)
+    space = np.random.default_rng(0).standard_normal((1 << leaks.BITS, 8)).astype(np.float32)
+    return leaks.Retriever(idf, space, leaks._items([(k, t, None) for k, t in enumerate(items)], idf, space), 0.55, 0.75, 0.55, 0.8, 0.85, 0.4)
+
+
+def test_texts_with_few_different_words_of_an_item_are_not_aligned(monkeypatch):
+    """However often they have these; texts that have the item are aligned and found as before."""
+    import pyarrow as pa
+
+    items = [" ".join(f"i{k}w{j}" for j in range(30)) for k in range(4)]
+    texts = [" ".join(f"i{k % 4}w{j % 9} x{j % 5}" for j in range(400)) for k in range(40)]
+    texts[7] += " " + items[2]
+    calls = []
+    plain = leaks.common_subsequence
+    monkeypatch.setattr(leaks, "common_subsequence", lambda a, b: calls.append(1) or plain(a, b))
+    got = block_of(items).leaks(*leaks.lowered(pa.array(texts)))
+    assert [(k, x[0], x[2]) for k, mine in enumerate(got) for x in mine] == [(7, 2, 1.0)]
+    assert len(calls) <= 2
+
+
+def test_words_in_common_are_counted_as_often_as_both_have_them(monkeypatch):
+    r = random.Random(6)
+    items = [[r.randrange(12) for _ in range(r.randint(3, 20))] for _ in range(9)]
+    text = [r.randrange(15) for _ in range(300)]
+    # Hashes that share their leading bits, so that some words are looked for one after the other.
+    h = lambda words: np.array([(w % 3 << 60) + w * 5 for w in words], np.uint64)
+    for cells in (leaks.MOST_CELLS, 0):
+        monkeypatch.setattr(leaks, "MOST_CELLS", cells)
+        block = leaks.Items(list(range(9)), [h(x) for x in items], [0] * 9, np.zeros((9, 2), np.float32), np.full(9, 4))
+        number = block.numbers(h(text))
+        assert [None if n < 0 else int(block.vocabulary[n]) for n in number.tolist()] == [int(x) if x in block.vocabulary else None for x in h(text)]
+        item = np.array([r.randrange(9) for _ in range(50)])
+        left = np.array([r.randrange(300) for _ in range(50)])
+        right = np.minimum(left + np.array([r.randrange(40) for _ in range(50)]), 300)
+        base, at, mine, common = block.within(item, left, right, number)
+        for k in range(50):
+            stretch = text[left[k] : right[k]]
+            own = slice(base[k], base[k] + len(stretch))
+            assert at[own].tolist() == list(range(left[k], right[k])) and mine[own].tolist() == [w in items[item[k]] for w in stretch]
+            assert common[k] == (Counter(stretch) & Counter(items[item[k]])).total() >= plain_lcs(items[item[k]], stretch)
+    assert leaks.Items([], [], [], np.zeros((0, 2), np.float32), np.zeros(0, np.int64)).numbers(h(text)).tolist() == [-1] * 300
