@@ -88,3 +88,17 @@ def test_an_empty_table_goes_through(spark, folder, tmp_path):
 def test_rejection_is_a_documented_rule(spark):
     df = spark.createDataFrame([("und", 0.0), ("en", 0.39), ("en", 0.41)], "lang_pred string, score double")
     assert df.where(~langid.rejected()).count() == 1
+
+
+def test_decontaminate_draws_no_documents_for_its_space(spark, tmp_path, monkeypatch):
+    """Word weights come from all documents, the latent space from all documents and all items."""
+    from polycat.llm import leaks
+
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id % 700, ' v', id % 90) AS text")
+    spark.createDataFrame([(k, f"item {k} of these") for k in range(7)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name in ("inverse_frequencies", "latent_space"):
+        plain = getattr(leaks, name)
+        monkeypatch.setattr(leaks, name, lambda texts, *a, name=name, plain=plain, **k: seen.setdefault(name, texts.count()) and plain(texts, *a, **k))
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == 5000
+    assert seen == {"inverse_frequencies": 5000, "latent_space": 5007}
