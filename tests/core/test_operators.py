@@ -324,6 +324,22 @@ def test_scopes_delete_their_own_tables_alone(spark):
         mine.collect()
 
 
+def test_intermediate_tables_are_nothing_but_their_parts(spark):
+    import os
+
+    from polycat.storage import Scope, Workspace
+
+    with Scope(spark):
+        work = Workspace(spark, "bare")
+        rows = work.save(spark.range(100).repartition(3), "t")
+        # Hadoop starts a process for each file that it makes in a plain folder.
+        files = os.listdir(f"{work.base.removeprefix('file://')}/t")
+        assert len(files) == 3 and all(f.startswith("part-") for f in files)
+        assert sorted(r.id for r in rows.collect()) == list(range(100))
+        work.save(spark.range(7), "t")  # over what is there
+        assert len(os.listdir(f"{work.base.removeprefix('file://')}/t")) == spark.range(7).rdd.getNumPartitions() and work.spark.read.parquet(f"{work.base}/t").count() == 7
+
+
 def gorenstein(low, high):
     from itertools import combinations_with_replacement
 
